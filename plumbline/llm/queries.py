@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op10_best_fit_packing
+from .quality_rules import op6_quality_rules
 from .secret_scan import op1_secret_scan
 from .url_rules import op4_url_rules
 
@@ -14,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op4_url_rules": op4_url_rules,
+        "op6_quality_rules": op6_quality_rules,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
