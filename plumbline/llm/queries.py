@@ -6,20 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .compaction import op2_size_tiered_compaction
+from .hnsw import op8_hnsw_search
+from .line_dedup import op3_line_dedup
+from .mixing import op9_mixing, op9_sql
+from .ngram_join import op5_ngram_join
 from .packing import op10_best_fit_packing
 from .quality_rules import op6_quality_rules
 from .secret_scan import op1_secret_scan
+from .toxicity import op7_toxicity
 from .url_rules import op4_url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_size_tiered_compaction": op2_size_tiered_compaction,
+        "op3_line_dedup": op3_line_dedup,
         "op4_url_rules": op4_url_rules,
+        "op5_ngram_join": op5_ngram_join,
         "op6_quality_rules": op6_quality_rules,
+        "op7_toxicity": op7_toxicity,
+        "op8_hnsw_search": op8_hnsw_search,
+        "op9_mixing": op9_mixing,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": op9_sql()}

@@ -57,3 +57,54 @@ def digest(text: str | None) -> int:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
+
+
+class Rolling:
+    """Hashes of any span of a word sequence, and of the sequence with one word left out."""
+
+    base = np.uint64(0x5851F42D4C957F2D)
+    inverse = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
+
+    def __init__(self):
+        self._up, self._down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self._up) < n:
+            self._up, self._down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, b)]), dtype=np.uint64) for b in (self.base, self.inverse))
+
+    def sums(self, hashes: np.ndarray) -> np.ndarray:
+        self._powers(len(hashes) + 1)
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self._up[: len(hashes)], dtype=np.uint64)])
+
+    def spans(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray, tag: int = 0) -> np.ndarray:
+        """A hash of each [begin, end): of its words, its length and ``tag``."""
+        raw = (sums[end] - sums[begin]) * self._down[begin]
+        return mix(mix(raw + (end - begin).astype(np.uint64)) + np.uint64(tag))
+
+    def without_one(self, sums: np.ndarray) -> np.ndarray:
+        """For a whole sequence: its hash without word i, for each i; equal to ``spans`` of the shorter sequence."""
+        n = len(sums) - 1
+        raw = sums[:n] + (sums[n] - sums[1:]) * self.inverse
+        return mix(mix(raw + np.uint64(n - 1)))
+
+
+def sketch_bits(df, column: str, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits positions with those of ``column``'s values (long) set.
+
+    Its size is fixed by ``bits`` whatever the number of rows; a value that was not there
+    may look as if it was, never the other way round.
+    """
+    from pyspark.sql import functions as F
+
+    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = df.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_sketch(sketch: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the (unsigned) values may be in the sketch."""
+    at = values & np.uint64(len(sketch) * 64 - 1)
+    return (sketch[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
