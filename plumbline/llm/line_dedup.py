@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .support import materialise, read
-from .words import Rolling, WordHashes, digest, in_sketch, signed, sketch_bits
+from .words import Rolling, WordHashes, in_sketch, signed, sketch_bits
 
 _OCCURRENCES = "doc_id long, key long, line_no int, h long, k1 long, k2 long, k3 long, k4 long"
 _HEAD, _TAIL = 1, 2
@@ -44,7 +44,7 @@ def _occurrences(least: int):
         lines = _Lines(least)
         for batch in batches:
             ids, parts = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, key in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 _, sums, judged, b, e = lines.of(text)
                 if not len(judged):
                     continue
@@ -52,7 +52,7 @@ def _occurrences(least: int):
                 m, m2 = n // 2, (n - 1) // 2
                 cols = [span(sums, b, e), span(sums, b, b + m, _HEAD), span(sums, e - m, e, _TAIL), span(sums, b, b + m2, _HEAD), span(sums, e - m2, e, _TAIL)]
                 ids += [doc_id] * len(judged)
-                parts.append(np.column_stack([np.full(len(judged), digest(text)), judged, *map(signed, cols)]))
+                parts.append(np.column_stack([np.full(len(judged), key), judged, *map(signed, cols)]))
             x = np.concatenate(parts) if parts else np.zeros((0, 7), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32)), *[pa.array(x[:, k]) for k in range(2, 7)]], names=[c.split()[0] for c in _OCCURRENCES.split(", ")])
 
@@ -150,8 +150,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, *, text: str, least: int, bits
 
 
 def find(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words: int = 8, sketch: int = 26) -> DataFrame:
-    """(doc_id, key, drop, n_exact, n_near): for rows with lines to drop, their numbers.  ``key`` is the text's digest."""
-    occ = materialise(docs.select(F.col(doc).cast("long"), F.col(text)).mapInArrow(_occurrences(min_words), _OCCURRENCES), "line-occurrences")
+    """(doc_id, key, drop, n_exact, n_near): for rows with lines to drop, their numbers.  ``key`` is a hash of the text."""
+    occ = materialise(docs.select(F.col(doc).cast("long"), F.col(text), _key(text)).mapInArrow(_occurrences(min_words), _OCCURRENCES), "line-occurrences")
     place = F.struct("doc_id", "key", "line_no")
     agg = occ.groupBy("h").agg(F.min(place).alias("o"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in ("k1", "k2", "k3", "k4")])
     lines = materialise(agg, "lines")
@@ -179,15 +179,15 @@ def _rewrite(at_text: int, at_drop: int, names: list[str]):
     return run
 
 
-@F.udf("long", useArrow=True)
-def _digest(text):
-    return digest(text)
+def _key(text: str):
+    """Tells apart rows that share an id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def dedup(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words: int = 8, sketch: int = 26) -> DataFrame:
     """The input rows with repeated lines taken out, plus ``_n_exact`` and ``_n_near``, the lines each row lost.
 
-    Over all lines of ``min_words`` words or more, in order of (document, digest of its
+    Over all lines of ``min_words`` words or more, in order of (document, hash of its
     text, line number), a line is dropped if any earlier line is equal to it or one word
     apart, whether or not that earlier line is itself dropped.  Case of A-Z and white
     space do not count.  Shorter lines stay.
@@ -197,7 +197,7 @@ def dedup(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words
     other columns pass through.
     """
     drop = find(docs, text=text, doc=doc, min_words=min_words, sketch=sketch)
-    d = docs.withColumn("_key", _digest(F.col(text)))
+    d = docs.withColumn("_key", _key(text))
     j = d.join(drop.withColumnsRenamed({"doc_id": "_d", "key": "_k"}), d[doc].cast("long").eqNullSafe(F.col("_d")) & (d["_key"] == F.col("_k")), "left")
     j = j.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("drop", F.array().cast("array<int>")).alias("_drop"), F.coalesce("n_exact", F.lit(0).cast("long")).alias("_n_exact"), F.coalesce("n_near", F.lit(0).cast("long")).alias("_n_near"))
     out = j.mapInArrow(_rewrite(docs.columns.index(text), len(docs.columns), j.columns), j.schema)

@@ -14,13 +14,19 @@ TOPIC_SQL = ("CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN text LIKE '%
              "WHEN text LIKE '% | %' THEN 'table' WHEN length(text) >= 4000 THEN 'long' ELSE 'prose' END")
 DIMENSIONS = ("source", "lang", "topic")
 BUDGET, TEMPER, TOLERANCE, ROUNDS = 0.7, 0.5, 1e-9, 60
+#: Sweeps over all dimensions between two writes.
+SWEEPS = 3
 
 
-def with_tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, u) of each row; ``u`` is a uniform number fixed by the id."""
+def _measures() -> dict[str, Column]:
+    """A row's topic, tokens, and ``u``, a uniform number fixed by its id."""
     u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return docs.select("doc_id", "source", "lang", F.expr(TOPIC_SQL).alias("topic"),
-                       F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("tokens"), u.alias("u"))
+    return {"topic": F.expr(TOPIC_SQL), "tokens": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"), "u": u}
+
+
+def with_tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens, u) of each row."""
+    return docs.select("doc_id", "source", "lang", *[c.alias(k) for k, c in _measures().items()])
 
 
 def cells_of(rows: DataFrame, dimensions: Sequence[str]) -> DataFrame:
@@ -50,13 +56,13 @@ def rake(cells: DataFrame, dimensions: Sequence[str], *, tolerance: float, round
     """Scale the weights to each dimension's targets in turn until all marginals fit.
 
     Only cells are shuffled: there are as many as combinations of categories, however
-    many rows the corpus has.  Each round is written, so its lineage stays short.
+    many rows the corpus has.  Every few sweeps are written, so their lineage stays short.
     """
     off = F.lit(0.0)
     for d in dimensions:
         off = F.greatest(off, F.abs(F.sum("w").over(Window.partitionBy(d)) - F.col(f"to_{d}")))
-    for _ in range(rounds):
-        for d in dimensions:
+    for _ in range(0, rounds, SWEEPS):
+        for d in SWEEPS * tuple(dimensions):
             cells = cells.withColumn("w", F.col("w") * F.col(f"to_{d}") / F.sum("w").over(Window.partitionBy(d)))
         cells = materialise(cells, "raked")
         worst = cells.select(off.alias("off")).agg(F.max("off")).first()[0]
@@ -82,6 +88,16 @@ def calibrated(cells: DataFrame, budget: float) -> Column:
     return F.least(F.lit(1.0), rate * scale)
 
 
+def probabilities(rows: DataFrame, *, budget: float, targets: Mapping[str, Mapping[str, float]] | None, temper: float, dimensions: Sequence[str]) -> DataFrame:
+    """(c_<dimension>..., w, p): raked weight and probability of each cell."""
+    cells = rake(with_targets(materialise(cells_of(rows, dimensions), "mix-cells"), dimensions, targets, temper), dimensions, tolerance=TOLERANCE, rounds=ROUNDS)
+    return materialise(cells.select(*[F.col(d).alias(f"c_{d}") for d in dimensions], "w", calibrated(cells, budget).alias("p")), "mix-probabilities")
+
+
+def _chance() -> Column:
+    return F.when(F.col("tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(F.lit(0.0))
+
+
 def mix(docs: DataFrame, *, budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
     """One row per input row: its cell, tokens, probability, and whether it is sampled.
 
@@ -92,12 +108,18 @@ def mix(docs: DataFrame, *, budget: float = BUDGET, targets: Mapping[str, Mappin
     are not read.
     """
     rows = materialise(with_tokens(docs), "mix-rows")
-    cells = rake(with_targets(materialise(cells_of(rows, dimensions), "mix-cells"), dimensions, targets, temper), dimensions, tolerance=TOLERANCE, rounds=ROUNDS)
-    p = cells.select(*[F.col(d).alias(f"c_{d}") for d in dimensions], "w", calibrated(cells, budget).alias("p"))
-    same = [rows[d].eqNullSafe(p[f"c_{d}"]) for d in dimensions]
-    out = rows.join(p, same, "left")
-    chance = F.when(F.col("tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(F.lit(0.0))
-    return out.select("doc_id", *dimensions, "tokens", F.coalesce("w", F.lit(0.0)).alias("cell_weight"), chance.alias("probability"), (F.col("u") < chance).alias("sampled"))
+    p = probabilities(rows, budget=budget, targets=targets, temper=temper, dimensions=dimensions)
+    out = rows.join(p, [rows[d].eqNullSafe(p[f"c_{d}"]) for d in dimensions], "left")
+    return out.select("doc_id", *dimensions, "tokens", F.coalesce("w", F.lit(0.0)).alias("cell_weight"), _chance().alias("probability"), (F.col("u") < _chance()).alias("sampled"))
+
+
+def sample(docs: DataFrame, *, budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] | None = None, temper: float = TEMPER, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
+    """The sampled rows with all their columns; see ``mix``."""
+    p = probabilities(materialise(with_tokens(docs), "mix-rows"), budget=budget, targets=targets, temper=temper, dimensions=dimensions)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in")
+    d = docs.select(own, "source", "lang", *[c.alias(k) for k, c in _measures().items()])
+    out = d.join(p, [d[x].eqNullSafe(p[f"c_{x}"]) for x in dimensions])
+    return out.where(F.col("u") < _chance()).select("_in.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .support import materialise, read
-from .words import WordHashes, digest, signed, split, windows
+from .words import WordHashes, signed, split, windows
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -44,7 +44,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         rows = []
-        for doc_id, host, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for doc_id, host, text, key in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             text = text or ""
             words, seen, dup, lines = split(text), set(), 0, Counter()
             for line in text.split("\n"):
@@ -53,16 +53,21 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(line)
                     if normal := normal_line(line):
                         lines[xxhash.xxh3_64_intdigest(normal.encode("utf-8", "surrogatepass"))] += n
-            rows.append((doc_id, host, digest(text), len(words), len(text) - sum(map(text.count, _SPACE)), sum(map(text.count, _SYMBOLS)), dup,
+            rows.append((doc_id, host, key, len(words), len(text) - sum(map(text.count, _SPACE)), sum(map(text.count, _SYMBOLS)), dup,
                          _repeated(words, hashes), signed(np.fromiter(lines, np.uint64, len(lines))), list(lines.values())))
         cols = list(zip(*rows, strict=True)) or [()] * 10
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64()), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _MEASURED.split(", ")])
 
 
+def _key(text: str):
+    """Tells apart rows that share an id and a host, and equal texts of a host together."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def measure(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", host: str = "source") -> DataFrame:
     """Base figures of each row, and its distinct normalised lines with their words."""
-    return docs.select(F.col(doc).cast("long"), F.col(host).cast("string"), F.col(text)).mapInArrow(_measure, _MEASURED)
+    return docs.select(F.col(doc).cast("long"), F.col(host).cast("string"), F.col(text), _key(text)).mapInArrow(_measure, _MEASURED)
 
 
 def frequent_lines(measured: DataFrame, *, max_docs: int, max_share: float) -> DataFrame:
@@ -104,10 +109,30 @@ def judge(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", host: str
                       (~failed & ~depleted).alias("kept"), removed.alias("n_removed_words"), F.coalesce("drop_lines", F.array().cast("array<long>")).alias("drop_lines"))
 
 
-def without_lines(text: str | None, drop: set[int]) -> str:
+def without_lines(text: str | None, drop: list[int]) -> str | None:
+    """The text without the lines whose normal form has one of the (signed) hashes."""
     import xxhash
 
-    return "\n".join(x for x in (text or "").split("\n") if not (n := normal_line(x)) or xxhash.xxh3_64_intdigest(n.encode("utf-8", "surrogatepass")) not in drop)
+    if not drop:
+        return text
+    gone = {h % (1 << 64) for h in drop}
+    return "\n".join(x for x in (text or "").split("\n") if not (n := normal_line(x)) or xxhash.xxh3_64_intdigest(n.encode("utf-8", "surrogatepass")) not in gone)
+
+
+def clean(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", host: str = "source", **limits) -> DataFrame:
+    """The rows that the rules keep, all their columns, without their over-frequent lines; see ``judge``."""
+    v = judge(docs, text=text, doc=doc, host=host, **limits).where("kept").select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("key").alias("_k"), F.col("drop_lines").alias("_drop"))
+    d = docs.withColumn("_key", _key(text))
+    same = d[doc].cast("long").eqNullSafe(F.col("_d")) & d[host].cast("string").eqNullSafe(F.col("_h")) & (d["_key"] == F.col("_k"))
+    j = d.join(v.dropDuplicates(["_d", "_h", "_k"]), same).select(*[F.col(f"`{c}`") for c in docs.columns], "_drop")
+    at, names = docs.columns.index(text), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [without_lines(t, x) for t, x in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=names)
+
+    return j.mapInArrow(run, docs.schema)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

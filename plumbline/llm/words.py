@@ -49,12 +49,6 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def digest(text: str | None) -> int:
-    """A signed 64-bit digest of a text (null: as empty)."""
-    h = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
