@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import new_folder, read
+from .support import new_folder, read, unused
 
 _MANIFEST = "run string, shard string, bytes long, rows long, merges int"
 
@@ -62,7 +62,7 @@ class ShardStore:
     def _listed(self, runs: dict[str, str], merges: int) -> DataFrame:
         """Manifest rows of written runs ({run: folder}), from the files' own metadata; no column is read."""
         files = self.spark.read.schema(self.schema).parquet(*runs.values())
-        per = files.groupBy(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+        per = files.groupBy(files.metadataColumn("_metadata")["file_path"].alias("shard"), files.metadataColumn("_metadata")["file_size"].alias("bytes")).agg(F.count("*").alias("rows"))
         run = F.regexp_extract("shard", r"([^/]+/[^/]+)/[^/]+$", 1)
         return per.select(run.alias("run"), "shard", "bytes", "rows", F.lit(merges).alias("merges"))
 
@@ -72,9 +72,9 @@ class ShardStore:
     def append(self, arrivals: DataFrame, by: Column | None = None) -> int:
         """Write arrivals as small shards, one run for each value of ``by``, in one job, and commit them."""
         after, batch = max(self.versions(), default=0), uuid.uuid4().hex
-        rows = arrivals.select(*[F.col(f"`{f.name}`") for f in self.schema], (F.lit(0) if by is None else by).alias("_arrival"))
-        rows.write.partitionBy("_arrival").option("compression", "zstd").parquet(f"{self.root}/{batch}")
-        written = [x.getPath().getName() for x in self._fs().listStatus(self._path(f"{self.root}/{batch}")) if x.getPath().getName().startswith("_arrival=")]
+        rows = arrivals.select(*[F.col(f"`{f.name}`") for f in self.schema], (F.lit(0) if by is None else by).alias(arrival := unused(arrivals, "_arrival")))
+        rows.write.partitionBy(arrival).option("compression", "zstd").parquet(f"{self.root}/{batch}")
+        written = [x.getPath().getName() for x in self._fs().listStatus(self._path(f"{self.root}/{batch}")) if x.getPath().getName().startswith(f"{arrival}=")]
         old = self.manifest(after)
         return self._commit(old.unionByName(self._listed({f"{batch}/{x}": f"{self.root}/{batch}/{x}" for x in written}, 0)) if written else old, after)
 
@@ -135,7 +135,8 @@ class ShardStore:
         runs = [r["run"] for r in self.manifest(version).select("run").distinct().collect()]
         if not runs:
             return self.spark.createDataFrame([], self.schema).withColumn(shard, F.lit(None).cast("string"))
-        return self.spark.read.schema(self.schema).parquet(*map(self._folder, sorted(runs))).select("*", F.col("_metadata.file_path").alias(shard))
+        rows = self.spark.read.schema(self.schema).parquet(*map(self._folder, sorted(runs)))
+        return rows.select("*", rows.metadataColumn("_metadata")["file_path"].alias(shard))
 
 
 def op2_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +149,7 @@ def op2_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ShardStore(spark, new_folder(spark, "shards"), schema=docs.schema)
     store.append(docs, F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(10)), F.lit(0)))
     version = store.compact()
-    rows = store.read().select("doc_id", "source", "lang", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("_shard").alias("shard"))
+    at = unused(docs, "_shard")
+    rows = store.read(shard=at).select("doc_id", "source", "lang", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col(at).alias("shard"))
     listed = store.manifest(version).select("shard", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "merges")
     return rows.join(listed, "shard", "left").withColumn("version", F.lit(version))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import materialise, read
+from .support import materialise, read, unused
 from .words import Rolling, WordHashes, in_sketch, signed, sketch_bits
 
 _OCCURRENCES = "doc_id long, key long, line_no int, h long, k1 long, k2 long, k3 long, k4 long"
@@ -170,11 +170,13 @@ def _without(text: str | None, drop: list[int] | None) -> str | None:
     return "\n".join(x for k, x in enumerate((text or "").split("\n")) if k not in gone)
 
 
-def _rewrite(at_text: int, at_drop: int, names: list[str]):
+def _rewrite(at: int, names: list[str]):
+    """The first columns, with the text at ``at`` rewritten by the last column, the numbers of the lines to drop."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [_without(t, d) for t, d in zip(batch.column(at_text).to_pylist(), batch.column(at_drop).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at_text else c for k, c in enumerate(batch.columns)], names=names)
+            new = [_without(t, d) for t, d in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=names)
 
     return run
 
@@ -184,8 +186,8 @@ def _key(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def dedup(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words: int = 8, sketch: int = 26) -> DataFrame:
-    """The input rows with repeated lines taken out, plus ``_n_exact`` and ``_n_near``, the lines each row lost.
+def dedup(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words: int = 8, sketch: int = 26, counts: tuple[str, str] | None = None) -> DataFrame:
+    """The input rows with repeated lines taken out; ``counts`` names two more columns, the lines each row lost as equal and as near.
 
     Over all lines of ``min_words`` words or more, in order of (document, hash of its
     text, line number), a line is dropped if any earlier line is equal to it or one word
@@ -196,15 +198,18 @@ def dedup(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words
     a text are one document: they lose the same lines.  Empty tables give empty results;
     other columns pass through.
     """
-    drop = find(docs, text=text, doc=doc, min_words=min_words, sketch=sketch)
-    d = docs.withColumn("_key", _key(text))
-    j = d.join(drop.withColumnsRenamed({"doc_id": "_d", "key": "_k"}), d[doc].cast("long").eqNullSafe(F.col("_d")) & (d["_key"] == F.col("_k")), "left")
-    j = j.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("drop", F.array().cast("array<int>")).alias("_drop"), F.coalesce("n_exact", F.lit(0).cast("long")).alias("_n_exact"), F.coalesce("n_near", F.lit(0).cast("long")).alias("_n_near"))
-    out = j.mapInArrow(_rewrite(docs.columns.index(text), len(docs.columns), j.columns), j.schema)
-    return out.drop("_drop")
+    found = find(docs, text=text, doc=doc, min_words=min_words, sketch=sketch)
+    key, drop = unused(docs, "_key"), unused(docs, "_drop")
+    d = docs.withColumn(key, _key(text))
+    number = lambda c, name: F.coalesce(found[c], F.lit(0).cast("long")).alias(name)
+    more = [number(c, name) for c, name in zip(("n_exact", "n_near"), counts or (), strict=False)]
+    j = d.join(found, d[doc].cast("long").eqNullSafe(found["doc_id"]) & (d[key] == found["key"]), "left")
+    j = j.select(*[d[f"`{c}`"] for c in docs.columns], *more, found["drop"].alias(drop))
+    kept = j.columns[:-1]
+    return j.mapInArrow(_rewrite(docs.columns.index(text), kept), j.schema[:-1])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with lines that repeat an earlier line, up to one word, taken out."""
-    docs = read(spark, sf_dir, "documents")
-    return dedup(docs).select("doc_id", "text", F.col("_n_exact").alias("n_exact"), F.col("_n_near").alias("n_near"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup(docs, counts=("n_exact", "n_near"))

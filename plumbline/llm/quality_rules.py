@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import materialise, read
+from .support import materialise, read, unused
 from .words import WordHashes, signed, split, windows
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -121,10 +121,11 @@ def without_lines(text: str | None, drop: list[int]) -> str | None:
 
 def clean(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", host: str = "source", **limits) -> DataFrame:
     """The rows that the rules keep, all their columns, without their over-frequent lines; see ``judge``."""
-    v = judge(docs, text=text, doc=doc, host=host, **limits).where("kept").select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("key").alias("_k"), F.col("drop_lines").alias("_drop"))
-    d = docs.withColumn("_key", _key(text))
-    same = d[doc].cast("long").eqNullSafe(F.col("_d")) & d[host].cast("string").eqNullSafe(F.col("_h")) & (d["_key"] == F.col("_k"))
-    j = d.join(v.dropDuplicates(["_d", "_h", "_k"]), same).select(*[F.col(f"`{c}`") for c in docs.columns], "_drop")
+    v = judge(docs, text=text, doc=doc, host=host, **limits).where("kept").select("doc_id", "host", "key", "drop_lines").dropDuplicates(["doc_id", "host", "key"])
+    key, drop = unused(docs, "_key"), unused(docs, "_drop")
+    d = docs.withColumn(key, _key(text))
+    same = d[doc].cast("long").eqNullSafe(v["doc_id"]) & d[host].cast("string").eqNullSafe(v["host"]) & (d[key] == v["key"])
+    j = d.join(v, same).select(*[d[f"`{c}`"] for c in docs.columns], v["drop_lines"].alias(drop))
     at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
 
