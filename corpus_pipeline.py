@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup, mixing, ngram_join, packing, quality_rules
-from plumbline.llm.support import new_folder, read
+from plumbline.llm.support import new_folder, read, unused
 
 #: Not in SQL: near-duplicate components, token ids and bin packing; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -24,14 +24,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier line, up to one word."""
-    return _sized(line_dedup.dedup(docs).drop("_n_exact", "_n_near"))
+    return _sized(line_dedup.dedup(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group that shingle links join.  Rows with a null id stay."""
     stay = ngram_join.join(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = docs.join(stay, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    n = unused(docs, "_n")
+    one = docs.join(stay, "doc_id", "left_semi").withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n)
     return one.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
