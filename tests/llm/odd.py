@@ -6,7 +6,7 @@ SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, _
           "u string, w string, p string, _in string, _shard string, _arrival string, _metadata string, hash string, body string, repo string, base string, host string, basket string, a long, b long, rank int")
 EXTRA = ("x",) + (1, 1, "k", 2, "l", "t", "t", "u", "w", "p", "i", "s", "a", "m", "h", "b", "r", "b", "h", "b", 1, 2, 3)
 
-LONG = " ".join(f"word{k % 977} and some{k % 31} token = abcdef{k}" for k in range(30_000))
+LONG = " ".join(f"word{k % 977} and some{k % 31} token = abcdef{k}" for k in range(6_000))
 SAME = "The quick brown fox jumps over the lazy dog near the old river bank today.\nAnother fairly ordinary line of text that says nothing much at all."
 
 

@@ -58,6 +58,7 @@ def check(df, rows, **limits):
 
 def test_table(spark):
     rows = [(i, t, s) for i, t, _, s in rows_of(spark, "/root/testdata/sf0.01")]
+    rows += [(10_000 + k, f"own words number w{chr(97 + k)}\nAll rights of this page are kept by its owner, 20{k}\nand every copy needs leave", "src0") for k in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     want = check(df, rows, max_docs=3, max_share=0.02)
     assert any(not x[7] and not x[6] for x in want)
