@@ -33,7 +33,7 @@ def window_ages(df: DataFrame, *, width: float = 5, least: int = 10, mode: str =
     so_far = F.sum("n").over(Window.partitionBy(*by, "centre").orderBy("far").rangeBetween(Window.unboundedPreceding, 0))
     spec = grid.withColumn("so_far", so_far).groupBy(*by, "centre").agg(
         F.coalesce(F.sum(F.when(F.col("far") <= half, F.col("n"))), F.lit(0)).alias("inside"), F.min(F.when(F.col("so_far") >= least, F.col("far"))).alias("reach"))
-    steps = F.coalesce(F.least(F.lit(MOST_STEPS), F.greatest(F.lit(0), F.ceil(F.col("reach") - half).cast("int"))), F.lit(MOST_STEPS))
+    steps = F.when(F.col("reach").isNull(), MOST_STEPS).otherwise(F.least(F.lit(MOST_STEPS), F.greatest(F.lit(0), F.ceil(F.col("reach") - half).cast("int"))))
     spec = spec.where(F.col("inside") != least).select(*by, "centre", (F.lit(0) if mode == NOT_DYNAMIC else F.when(F.col("inside") > least, 0).otherwise(steps)).alias("widened"))
     return grid.join(spec, [*by, "centre"]).where(F.col("far") <= half + F.col("widened")).select(*by, "age", "centre", "widened")
 

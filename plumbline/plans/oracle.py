@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from ..operators.tuning import candidates
 from ..sources.cohort import COHORT_SQL, MOVING, REFERENCE, TABLES, VALUES
-from .queries import FINE, LOO_RIDGES, PERCENTILES, SITES_KNOWN
+from .queries import FINE, LOO_RIDGES, PERCENTILES, SHIFT, SITES_KNOWN
 
 D = "::DOUBLE"
 EPS = f"2.220446049250313e-16{D}"
@@ -26,7 +26,7 @@ def sql(ctes: list[str], final: str) -> str:
 
 
 def r(x: str, digits: int = 5, name: str = "") -> str:
-    return f"round({x}, {digits}) + 0.0{D} AS {name or x}"
+    return f"round({x} + {SHIFT!r}{D}, {digits}) AS {name or x}"
 
 
 def xs(degree: int) -> list[str]:
@@ -219,7 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "bhattacharyya_raw": sql(distance("ref", "mov"), f"SELECT bundle, {r('distance', 6)}, n_hc FROM dist"),
         "bhattacharyya_harmonized": sql([*CLINICAL, f"har AS ({clinic_apply('md')})", *distance("ref", "har")], f"SELECT bundle, {r('distance', 6)}, n_hc FROM dist"),
         "qc_summary": sql(distance("ref", "mov"), f"SELECT count(*) AS n_bundles, {r('avg(distance)', 6, 'mean')}, {r('min(distance)', 6, 'min')}, {r('max(distance)', 6, 'max')} FROM dist WHERE NOT isnan(distance)"),
-        "cohens_d": sql([], "SELECT metric, round(CASE WHEN n <= 1 THEN 0 WHEN n > 2 AND n < 50 THEN d * (n - 3) / (n - 2.25::DOUBLE) * sqrt((n - 2) / n) ELSE d END, 6) + 0.0::DOUBLE AS cohens_d FROM (SELECT metric, least(n1, n2)::DOUBLE AS n, abs(m1 - m2) / sqrt((s1 * s1 + s2 * s2) / 2) AS d FROM (" + cohen + "))"),
+        "cohens_d": sql([], "SELECT metric, " + r("CASE WHEN n <= 1 THEN 0 WHEN n > 2 AND n < 50 THEN d * (n - 3) / (n - 2.25::DOUBLE) * sqrt((n - 2) / n) ELSE d END", 6, "cohens_d") + " FROM (SELECT metric, least(n1, n2)::DOUBLE AS n, abs(m1 - m2) / sqrt((s1 * s1 + s2 * s2) / 2) AS d FROM (" + cohen + "))"),
         "window_effect_size": sql([REF_HC, *window("rw", "refhc", 5, 10, "dynamic"), *window("mw", "mov", 5, 10, "dynamic"), curve("rc", "rw"), curve("mc", "mw")],
                                   f"SELECT bundle, centre, {r('rc.average - mc.average', 5, 'mean_error')}, {r('rc.deviation - mc.deviation', 5, 'std_error')}, {r('(rc.average - mc.average) / sqrt((rc.deviation * rc.deviation + mc.deviation * mc.deviation) / 2)', 5, 'effect_size')} FROM rc JOIN mc USING (bundle, centre)"),
         "info_counts": sql([], "SELECT site, disease, sex, handedness, count(*) AS n FROM obs GROUP BY ALL"),

@@ -15,8 +15,10 @@ from ..sources import sinks
 from ..sources.cohort import MOVING, REFERENCE, cohort, moving, reference
 from ..sources.observations import keep_first, union_sites
 
-#: Digits of values that are averages of few decimals, so that none lies half-way between two.
-FINE = 9
+#: Digits of values taken from the tables as they are.
+FINE = 6
+#: Added before rounding: averages of few decimals often lie exactly half-way between two numbers, where the last bit decides.
+SHIFT = 1.23456e-7
 LINE, CURVE = Covariates(1), Covariates(2)
 #: The clinical queries' ridge, that which tuning finds on these tables.
 CLINICAL = Options(degree=2, ridge_mov=0.01)
@@ -41,7 +43,7 @@ def query(f: Callable) -> Callable:
 
 def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
     """All doubles rounded, as sums differ in their last bits with the order of rows."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(F.col(c) + F.lit(SHIFT), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @query
