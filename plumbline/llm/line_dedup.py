@@ -13,6 +13,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +60,13 @@ def _occurrences(least: int):
     return run
 
 
-def _texts(least: int, wanted):
+def _texts(least: int, wanted, holders):
+    """(h, line) of wanted lines, from texts whose key may hold one; the other texts are not taken apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, seen = _Lines(least), set()
         for batch in batches:
+            batch = batch.filter(pa.array(in_sketch(holders.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
             hs, out = [], []
             for text in batch.column(0).to_pylist():
                 words, sums, judged, b, e = lines.of(text)
@@ -127,11 +131,11 @@ def near_lines(docs: DataFrame, lines: DataFrame, *, text: str, least: int, bits
     share a half with another line need to emit variants.
     """
     spark = docs.sparkSession
-    keys = lines.select("h", F.explode(F.array_distinct(F.array("k1", "k2", "k3", "k4"))).alias("k"))
+    keys = lines.select("h", F.col("o.key").alias("key"), F.explode(F.array_distinct(F.array("k1", "k2", "k3", "k4"))).alias("k"))
     shared = keys.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where(F.col("a") != F.col("b")).select("k")
-    candidates = keys.join(shared, "k", "left_semi").select("h")
-    wanted = spark.sparkContext.broadcast(sketch_bits(candidates, "h", bits))
-    texts = materialise(docs.select(F.col(text)).mapInArrow(_texts(least, wanted), "h long, line binary").groupBy("h").agg(F.first("line").alias("line")), "line-texts")
+    candidates = materialise(keys.join(shared, "k", "left_semi").select("h", "key").distinct(), "line-candidates")
+    wanted, holders = (spark.sparkContext.broadcast(sketch_bits(candidates, c, bits)) for c in ("h", "key"))
+    texts = materialise(docs.select(F.col(text), _key(text)).mapInArrow(_texts(least, wanted, holders), "h long, line binary").groupBy("h").agg(F.first("line").alias("line")), "line-texts")
     met = texts.mapInArrow(_variants(), "v long, pos int, h long").groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     twice = spark.sparkContext.broadcast(sketch_bits(met, "v", bits))
     variants = texts.mapInArrow(_variants(twice), "v long, pos int, h long")
@@ -175,8 +179,11 @@ def _rewrite(at: int, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [_without(t, d) for t, d in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=names)
+            text, drop = batch.column(at), batch.column(len(names))
+            lose = drop.is_valid()
+            new = [_without(t, d) for t, d in zip(text.filter(lose).to_pylist(), drop.filter(lose).to_pylist(), strict=True)]
+            text = pc.replace_with_mask(text, lose, pa.array(new, text.type)) if new else text
+            yield pa.RecordBatch.from_arrays([text if k == at else batch.column(k) for k in range(len(names))], names=names)
 
     return run
 
