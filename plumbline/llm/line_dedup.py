@@ -25,37 +25,49 @@ _HEAD, _TAIL = 1, 2
 
 
 class _Lines:
-    """Hashes of the lines of a text that have at least ``least`` words."""
+    """Hashed lines of texts that have at least ``least`` words, many texts at a time."""
+
+    #: Words after which a group of lines is handed on.
+    group = 100_000
 
     def __init__(self, least: int):
         self.least, self.hashes, self.rolling = least, WordHashes(), Rolling()
 
-    def of(self, text: str | None) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(all lines as words, sums, numbers of the judged lines, their begins and ends)."""
-        lines = [x.split() for x in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
-        ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
-        begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
-        judged = np.flatnonzero(ends - begins >= self.least)
-        sums = self.rolling.sums(self.hashes.of(list(chain.from_iterable(lines))))
-        return lines, sums, judged, begins[judged], ends[judged]
+    def sums(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sums over the words of all lines, the lines' begins, their ends)."""
+        n = np.fromiter(map(len, lines), np.int64, len(lines))
+        ends = np.cumsum(n)
+        return self.rolling.sums(self.hashes.of(list(chain.from_iterable(lines)))), ends - n, ends
+
+    def groups(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int], list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers of the texts, line numbers, words of the judged lines, sums, begins, ends)."""
+        at, no, lines, size = [], [], [], 0
+        for k, text in enumerate(texts):
+            for j, line in enumerate((text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
+                words = line.split()
+                if len(words) >= self.least:
+                    at.append(k)
+                    no.append(j)
+                    lines.append(words)
+                    size += len(words)
+            if size >= self.group:
+                yield at, no, lines, *self.sums(lines)
+                at, no, lines, size = [], [], [], 0
+        if lines:
+            yield at, no, lines, *self.sums(lines)
 
 
 def _occurrences(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = _Lines(least)
+        span = lines.rolling.spans
         for batch in batches:
-            ids, parts = [], []
-            for doc_id, text, key in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                _, sums, judged, b, e = lines.of(text)
-                if not len(judged):
-                    continue
-                span, n = lines.rolling.spans, e - b
+            for at, no, _, sums, b, e in lines.groups(batch.column(1).to_pylist()):
+                n = e - b
                 m, m2 = n // 2, (n - 1) // 2
                 cols = [span(sums, b, e), span(sums, b, b + m, _HEAD), span(sums, e - m, e, _TAIL), span(sums, b, b + m2, _HEAD), span(sums, e - m2, e, _TAIL)]
-                ids += [doc_id] * len(judged)
-                parts.append(np.column_stack([np.full(len(judged), key), judged, *map(signed, cols)]))
-            x = np.concatenate(parts) if parts else np.zeros((0, 7), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32)), *[pa.array(x[:, k]) for k in range(2, 7)]], names=[c.split()[0] for c in _OCCURRENCES.split(", ")])
+                own = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(no, pa.int32()), *map(pa.array, map(signed, cols))], names=[c.split()[0] for c in _OCCURRENCES.split(", ")])
 
     return run
 
@@ -68,17 +80,14 @@ def _texts(least: int, wanted, holders):
         for batch in batches:
             batch = batch.filter(pa.array(in_sketch(holders.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
             hs, out = [], []
-            for text in batch.column(0).to_pylist():
-                words, sums, judged, b, e = lines.of(text)
-                if not len(judged):
-                    continue
+            for _, _, words, sums, b, e in lines.groups(batch.column(0).to_pylist()):
                 h = lines.rolling.spans(sums, b, e)
                 for k in np.flatnonzero(in_sketch(wanted.value, h)):
                     if (v := int(h[k])) not in seen:
                         if len(seen) < 500_000:
                             seen.add(v)
                         hs.append(v)
-                        out.append(b" ".join(words[judged[k]]))
+                        out.append(b" ".join(words[k]))
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.asarray(hs, np.uint64))), pa.array(out, pa.binary())], names=["h", "line"])
 
     return run
@@ -88,26 +97,35 @@ def _variants(wanted=None):
     """(v, pos, h) of every line: itself (pos -1) and itself without each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rolling = WordHashes(), Rolling()
+        hashed = _Lines(0)
         for batch in batches:
-            v, pos, at = [], [], []
-            for k, line in enumerate(batch.column(1).to_pylist()):
-                w = line.split(b" ")
-                sums = rolling.sums(hashes.of(w))
-                x = np.concatenate([rolling.spans(sums, np.zeros(1, np.int64), np.asarray([len(w)])), rolling.without_one(sums)])
-                p = np.arange(-1, len(w), dtype=np.int32)
+            for at, words, sums, b, e in _whole_lines(hashed, batch.column(1).to_pylist()):
+                line = np.repeat(np.arange(len(words)), e - b)
+                v = np.concatenate([hashed.rolling.spans(sums, b, e), hashed.rolling.without_one(sums, b[line], e[line])])
+                pos = np.concatenate([np.full(len(words), -1), np.arange(len(line)) - b[line]]).astype(np.int32)
+                own = np.asarray(at)[np.concatenate([np.arange(len(words)), line])]
                 if wanted is not None:
-                    keep = in_sketch(wanted.value, x)
-                    x, p = x[keep], p[keep]
-                v.append(x)
-                pos.append(p)
-                at.append(np.full(len(x), k))
-            at = np.concatenate(at) if at else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(v) if v else np.zeros(0, np.uint64))), pa.array(np.concatenate(pos) if pos else np.zeros(0, np.int32)), batch.column(0).take(pa.array(at))], names=["v", "pos", "h"])
+                    keep = in_sketch(wanted.value, v)
+                    v, pos, own = v[keep], pos[keep], own[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(v)), pa.array(pos), batch.column(0).take(pa.array(own))], names=["v", "pos", "h"])
 
     return run
 
 
+def _whole_lines(hashed: _Lines, lines: list[bytes]) -> Iterator[tuple[list[int], list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of the lines, their words, sums, begins, ends), some lines at a time."""
+    at, words, size = [], [], 0
+    for k, line in enumerate(lines):
+        at.append(k)
+        words.append(line.split(b" "))
+        size += len(words[-1])
+        if size >= hashed.group:
+            yield at, words, *hashed.sums(words)
+            at, words, size = [], [], 0
+    if words:
+        yield at, words, *hashed.sums(words)
+
+
 def alike(a: bytes, b: bytes) -> bool:
     """Whether two lines are at most one word apart."""
     x, y = sorted((a.split(b" "), b.split(b" ")), key=len)

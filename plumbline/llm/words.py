@@ -75,11 +75,10 @@ class Rolling:
         raw = (sums[end] - sums[begin]) * self._down[begin]
         return mix(mix(raw + (end - begin).astype(np.uint64)) + np.uint64(tag))
 
-    def without_one(self, sums: np.ndarray) -> np.ndarray:
-        """For a whole sequence: its hash without word i, for each i; equal to ``spans`` of the shorter sequence."""
-        n = len(sums) - 1
-        raw = sums[:n] + (sums[n] - sums[1:]) * self.inverse
-        return mix(mix(raw + np.uint64(n - 1)))
+    def without_one(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For word i of the sequence, in [begin, end): a hash of that span without the word; equal to ``spans`` of the shorter span."""
+        raw = ((sums[:-1] - sums[begin]) + (sums[end] - sums[1:]) * self.inverse) * self._down[begin]
+        return mix(mix(raw + (end - begin - 1).astype(np.uint64)))
 
 
 def sketch_bits(df, column: str, bits: int) -> np.ndarray:
