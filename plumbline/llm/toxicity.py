@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ LEET = {
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
 _MIXED = re.compile(r"[0-9@$!|+€(*]*[^\W\d_]+[0-9@$!|+€(*]+[^\W\d_][^\s]*|(?<!\S)[0-9@$!|+€]{1,2}[^\W\d_]{2,}[^\s]*")
-_REPEATED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+_REPEATED = re.compile(r"(.)\1\1", re.S)
 PREFIXES = range(4, 8)
 
 
@@ -115,30 +116,33 @@ def decode(token: str, lm: np.ndarray) -> str:
     return max(((s + lm[a, b, 0], w) for (a, b), (s, w) in best.items()), default=(0.0, ""))[1]
 
 
-class Restorer:
-    """Words of a text: as they stand, and those restored from disguises."""
+class Restorer(dict):
+    """Words of a text: as they stand, and those restored from disguises.
 
-    def __init__(self, lm: np.ndarray):
-        self.lm, self.known = lm, {}
+    As a mapping, the words of each token (lower case, without white space), remembered for tokens seen before.
+    """
 
-    def _decoded(self, token: str) -> str:
-        if token not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[token] = decode(token, self.lm)
-        return self.known[token]
+    def __init__(self, lm: np.ndarray):
+        self.lm = lm
+
+    def __missing__(self, token: str) -> list[str]:
+        plain = _WORD.findall(token)
+        words = plain.copy()
+        if m := _MIXED.search(token):
+            mixed = m[0].rstrip("!?.,;:'\"$%&*#()+|")
+            if not re.fullmatch(r"[0-9a-f\-]{9,}", mixed) and "@" not in mixed[1:-1].replace("@", "", 1) and "." not in mixed:
+                words.append(decode(mixed, self.lm))
+        words += [decode(w, self.lm) for w in plain if _REPEATED.search(w)]
+        if len(token) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[token] = words
+        return words
 
     def __call__(self, text: str) -> list[str]:
         low = text.lower()
-        words = _WORD.findall(low)
-        for m in _MIXED.finditer(low):
-            token = m[0].rstrip("!?.,;:'\"$%&*#()+|")
-            if not re.fullmatch(r"[0-9a-f\-]{9,}", token) and "@" not in token[1:-1].replace("@", "", 1) and "." not in token:
-                words.append(self._decoded(token))
-        for m in _SPACED.finditer(low):
-            words.append(self._decoded(re.sub(r"[ .\-_*]", "", m[0])))
-        for m in _REPEATED.finditer(low):
-            words.append(self._decoded(m[0]))
+        words = list(chain.from_iterable(map(self.__getitem__, low.split())))
+        words += [decode(re.sub(r"[ .\-_*]", "", m[0]), self.lm) for m in _SPACED.finditer(low)]
         return words
 
 
@@ -185,7 +189,7 @@ class WordWeights(dict):
 
 def evidence(words: list[str], weights: WordWeights) -> list[float]:
     """What the model sees of a document: strongest weight, distinct weights summed, hits, hits a hundred words."""
-    hits = [(x, w) for w in words if (x := weights[w]) > 0]
+    hits = [(x, w) for x, w in zip(map(weights.__getitem__, words), words, strict=True) if x > 0]
     if not hits:
         return [0.0, 0.0, 0.0, 0.0]
     distinct = {w: x for x, w in hits}
