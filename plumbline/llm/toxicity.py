@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,18 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou",
 }
 _WORD = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
-_MIXED = re.compile(r"[0-9@$!|+€(*]*[^\W\d_]+[0-9@$!|+€(*]+[^\W\d_][^\s]*|(?<!\S)[0-9@$!|+€]{1,2}[^\W\d_]{2,}[^\s]*")
-_REPEATED = re.compile(r"(.)\1\1", re.S)
+_RUN = re.compile(r"(.)\1*", re.S)
+_LEET = re.compile(f"[{re.escape(''.join(LEET))}]")
+_DOUBLED = re.compile(f"([{LETTERS}])\\1")
+_SPELLED = re.compile(r"(?:[^\W_][.\-_]+){2,}[^\W_]")  # s.t.u.p.i.d
+#: Where disguised runs of one character and symbols leave a choice that the best reading may miss.
+_OPEN = re.compile(r"(.)\1\1|([^a-zß-ÿ])\2|[^\w\s.,;:'\"\-/]", re.S)
+_PAIR = re.compile(r"\S\S")
+_score = itemgetter(0)
+#: Runs of single characters, and of pieces of at most two, in the lengths of tokens.
+_SINGLES, _PIECES = re.compile(b"\x01{2,}"), re.compile(b"\x01*\x02[\x01\x02]+|\x01+\x02[\x01\x02]*")
+#: Where the words of single characters end is less sure: so many readings, within so much log-likelihood of the best.
+READINGS, NEARLY = 4, 4.0
 PREFIXES = range(4, 8)
 
 
@@ -82,57 +92,99 @@ def language_model(trigrams: np.ndarray) -> np.ndarray:
     return np.log(three / three.sum(2, keepdims=True))
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of one character, what it may stand for and at what cost."""
+def lattice(token: str, *, strict: bool = False) -> list[list[tuple[str, float]]]:
+    """For each run of one character, what it may stand for and at what cost; a space is a word's end.
+
+    White space and punctuation end a word or stand for nothing, a symbol of ``LEET`` may
+    also end one.  If ``strict``, every character of ``LEET`` is a letter and a longer run
+    stands for two.
+    """
     out: list[list[tuple[str, float]]] = []
-    for m in re.finditer(r"(.)\1*", token.lower(), re.S):
+    for m in _RUN.finditer(token.lower()):
         c, n = m[1], len(m[0])
         options = [(c, 0.0)] if c in _CODE else []
         options += [(x, -1.0) for x in LEET.get(c, "")]
         if not options:
-            continue  # a separator
-        if n == 1:
-            out.append(options)
-        else:  # once or twice, whatever the length
-            out.append([(x, p) for x, p in options] + [(x + x, p - (0.0 if n == 2 else 0.5)) for x, p in options])
+            if not out or out[-1] is not _GAP:
+                out.append(_GAP)
+            continue
+        if n > 1 and strict:
+            options = [(x + x, p) for x, p in options]
+        elif n > 1:  # once or twice, whatever the length
+            options += [(x + x, p - (0.0 if n == 2 else 0.5)) for x, p in options]
+        if c in LEET and not c.isdigit():
+            options += [] if strict else [(" ", -1.0)]
+            options += [("", -1.0)] if c == "*" else []
+        out.append(options)
     return out
 
 
-def decode(token: str, lm: np.ndarray) -> str:
-    """The likeliest word behind a disguised token (Viterbi over the last two letters)."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(token):
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in best.items():
-            for letters, cost in options:
-                s, x, y = score + cost, a, b
+_GAP = [("", 0.0), (" ", 0.0)]
+
+
+def decode(token: str, lm: list[float], *, strict: bool = False, most: int = 1) -> list[str]:
+    """The words of the likeliest reading of disguised text, then those of up to ``most`` - 1 readings nearly as likely.
+
+    Viterbi over the last two letters, 0 being a word's end, with the ``most`` best paths
+    of each state.  ``lm`` is the flat language model.  Paths are chains, so a long text
+    costs in proportion to its length.
+    """
+    best: dict[int, list[tuple[float, tuple | None]]] = {0: [(0.0, None)]}
+    for options in lattice(token, strict=strict):
+        nxt: dict[int, list[tuple[float, tuple | None]]] = {}
+        for state, paths in best.items():
+            for letters, s in options:
+                xy = state
                 for c in letters:
-                    k = _CODE[c]
-                    s += lm[x, y, k]
-                    x, y = y, k
-                if (x, y) not in nxt or nxt[x, y][0] < s:
-                    nxt[x, y] = (s, word + letters)
+                    k, y = _CODE.get(c, 0), xy % _SIZE
+                    if k or y:  # a word ends once
+                        s += lm[xy * _SIZE + k]
+                        xy = y * _SIZE + k
+                if most > 1:
+                    nxt[xy] = sorted(nxt.get(xy, []) + [(score + s, (path, letters)) for score, path in paths], key=_score, reverse=True)[:most]
+                elif xy not in nxt or nxt[xy][0][0] < paths[0][0] + s:
+                    nxt[xy] = [(paths[0][0] + s, (paths[0][1], letters))]
         best = nxt
-    return max(((s + lm[a, b, 0], w) for (a, b), (s, w) in best.items()), default=(0.0, ""))[1]
+    ends = sorted(((s + (lm[xy * _SIZE] if xy % _SIZE else 0.0), p) for xy, paths in best.items() for s, p in paths), key=_score, reverse=True)[:most]
+    words = []
+    for s, path in ends:
+        if s >= ends[0][0] - NEARLY:
+            letters = []
+            while path:
+                path, last = path
+                letters.append(last)
+            words += "".join(reversed(letters)).split()
+    return words
 
 
 class Restorer(dict):
     """Words of a text: as they stand, and those restored from disguises.
 
-    As a mapping, the words of each token (lower case, without white space), remembered for tokens seen before.
+    Every token with a character of ``LEET`` or a doubled letter, and every run of single
+    characters or of pieces of at most two, goes through the lattice.  As a mapping, the words of each token (lower case,
+    without white space), and of each run the words that its tokens lack, remembered for
+    those seen before.
     """
 
     def __init__(self, lm: np.ndarray):
-        self.lm = lm
+        self.lm = lm.ravel().tolist()
+
+    def restored(self, text: str) -> list[str]:
+        most = READINGS if text[1:2] == " " and not _PAIR.search(text) else 1
+        words = decode(text, self.lm, most=most)
+        return words + decode(text, self.lm, strict=True, most=most) if _OPEN.search(text) else words
 
     def __missing__(self, token: str) -> list[str]:
         plain = _WORD.findall(token)
-        words = plain.copy()
-        if m := _MIXED.search(token):
-            mixed = m[0].rstrip("!?.,;:'\"$%&*#()+|")
-            if not re.fullmatch(r"[0-9a-f\-]{9,}", mixed) and "@" not in mixed[1:-1].replace("@", "", 1) and "." not in mixed:
-                words.append(decode(mixed, self.lm))
-        words += [decode(w, self.lm) for w in plain if _REPEATED.search(w)]
+        new: list[str] = []
+        if " " in token or _LEET.search(token) or _SPELLED.search(token):
+            new = self.restored(token)
+        else:
+            for w in plain:
+                if _DOUBLED.search(w):
+                    new += self.restored(w)
+        new = [w for w in dict.fromkeys(new) if w not in plain]
+        words = new if " " in token else plain + new
         if len(token) <= 64:
             if len(self) >= 200_000:
                 self.clear()
@@ -140,9 +192,11 @@ class Restorer(dict):
         return words
 
     def __call__(self, text: str) -> list[str]:
-        low = text.lower()
-        words = list(chain.from_iterable(map(self.__getitem__, low.split())))
-        words += [decode(re.sub(r"[ .\-_*]", "", m[0]), self.lm) for m in _SPACED.finditer(low)]
+        tokens = text.lower().split()
+        words = list(chain.from_iterable(map(self.__getitem__, tokens)))
+        lengths = bytes([n if n < 3 else 0 for n in map(len, tokens)])
+        for m in chain(_SINGLES.finditer(lengths), _PIECES.finditer(lengths)):
+            words += self[" ".join(tokens[m.start() : m.end()])]
         return words
 
 

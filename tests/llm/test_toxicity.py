@@ -39,3 +39,16 @@ def test_odd(spark):
         assert score(empty(spark), model).count() == 0
     assert score(empty(spark), learn(empty(spark), labels)).count() == 0
     assert learn(odd(spark).withColumn("text", F.lit(None).cast("string")), labels) is not None
+
+
+def test_every_disguise_reaches_the_lattice(spark):
+    lm = language_model(count_trigrams(documents(spark, "/root/testdata/sf0.01"), "text"))
+    restore = Restorer(lm)
+    for disguised, words in (
+        ("1d107", ["idiot"]), ("idio7", ["idiot"]), ("idi07", ["idiot"]), ("1053r", ["loser"]), ("a$$", ["ass"]), ("f00l", ["fool"]), ("iddiioott", ["idiot"]), ("stuupid", ["stupid"]),
+        ("$ c u m", ["scum"]), ("sc um", ["scum"]), ("you are a i d i o t", ["a", "idiot"]), ("s t u p i d i d i o t", ["stupid", "idiot"]), ("(stup1d,1d10t)!", ["stupid", "idiot"]),
+    ):
+        got = restore(disguised)
+        assert all(w in got for w in words), (disguised, got)
+    assert restore("it is of a") == ["it", "is", "of", "a"]
+    assert len(restore("ab1" * 100_000)) > 0  # in proportion to its length
