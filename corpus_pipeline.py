@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier line, up to one word."""
-    return _sized(line_dedup.dedup(docs))
+    """Documents without lines that repeat an earlier line; lines of 8 words or more also up to one word."""
+    return _sized(line_dedup.dedup(docs, exact_words=1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,7 +57,9 @@ class _Lines:
             yield at, no, lines, *self.sums(lines)
 
 
-def _occurrences(least: int):
+def _occurrences(least: int, least_near: int):
+    """Every line of ``least`` words or more; the keys only where it has ``least_near``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = _Lines(least)
         span = lines.rolling.spans
@@ -66,8 +68,9 @@ def _occurrences(least: int):
                 n = e - b
                 m, m2 = n // 2, (n - 1) // 2
                 cols = [span(sums, b, e), span(sums, b, b + m, _HEAD), span(sums, e - m, e, _TAIL), span(sums, b, b + m2, _HEAD), span(sums, e - m2, e, _TAIL)]
-                own = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(no, pa.int32()), *map(pa.array, map(signed, cols))], names=[c.split()[0] for c in _OCCURRENCES.split(", ")])
+                own, h, *keys = pa.array(at), *map(signed, cols)
+                keys = [pa.array(k, mask=n < least_near) for k in keys]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(no, pa.int32()), pa.array(h), *keys], names=[c.split()[0] for c in _OCCURRENCES.split(", ")])
 
     return run
 
@@ -149,7 +152,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, *, text: str, least: int, bits
     share a half with another line need to emit variants.
     """
     spark = docs.sparkSession
-    keys = lines.select("h", F.col("o.key").alias("key"), F.explode(F.array_distinct(F.array("k1", "k2", "k3", "k4"))).alias("k"))
+    keys = lines.select("h", F.col("o.key").alias("key"), F.explode(F.array_distinct(F.array("k1", "k2", "k3", "k4"))).alias("k")).where(F.col("k").isNotNull())
     shared = keys.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where(F.col("a") != F.col("b")).select("k")
     candidates = materialise(keys.join(shared, "k", "left_semi").select("h", "key").distinct(), "line-candidates")
     wanted, holders = (spark.sparkContext.broadcast(sketch_bits(candidates, c, bits)) for c in ("h", "key"))
@@ -171,9 +174,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, *, text: str, least: int, bits
     return both.select("h", "a", "b").mapInArrow(_verified, "h long").distinct()
 
 
-def find(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words: int = 8, sketch: int = 26) -> DataFrame:
+def find(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words: int = 8, exact_words: int | None = None, sketch: int = 26) -> DataFrame:
     """(doc_id, key, drop, n_exact, n_near): for rows with lines to drop, their numbers.  ``key`` is a hash of the text."""
-    occ = materialise(docs.select(F.col(doc).cast("long"), F.col(text), _key(text)).mapInArrow(_occurrences(min_words), _OCCURRENCES), "line-occurrences")
+    occ = materialise(docs.select(F.col(doc).cast("long"), F.col(text), _key(text)).mapInArrow(_occurrences(min_words if exact_words is None else min(exact_words, min_words), min_words), _OCCURRENCES), "line-occurrences")
     place = F.struct("doc_id", "key", "line_no")
     agg = occ.groupBy("h").agg(F.min(place).alias("o"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in ("k1", "k2", "k3", "k4")])
     lines = materialise(agg, "lines")
@@ -211,19 +214,21 @@ def _key(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def dedup(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words: int = 8, sketch: int = 26, counts: tuple[str, str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words: int = 8, exact_words: int | None = None, sketch: int = 26, counts: tuple[str, str] | None = None) -> DataFrame:
     """The input rows with repeated lines taken out; ``counts`` names two more columns, the lines each row lost as equal and as near.
 
     Over all lines of ``min_words`` words or more, in order of (document, hash of its
     text, line number), a line is dropped if any earlier line is equal to it or one word
     apart, whether or not that earlier line is itself dropped.  Case of A-Z and white
-    space do not count.  Shorter lines stay.
+    space do not count.  Lines of fewer, but ``exact_words`` words or more, are
+    dropped only if an earlier line is equal; with 1 that is every line that is not empty.
+    Shorter lines stay.  ``exact_words`` is ``min_words`` if not given.
 
     Null text stays null; a null id comes before all others.  Rows that repeat an id and
     a text are one document: they lose the same lines.  Empty tables give empty results;
     other columns pass through.
     """
-    found = find(docs, text=text, doc=doc, min_words=min_words, sketch=sketch)
+    found = find(docs, text=text, doc=doc, min_words=min_words, exact_words=exact_words, sketch=sketch)
     key, drop = unused(docs, "_key"), unused(docs, "_drop")
     d = docs.withColumn(key, _key(text))
     number = lambda c, name: F.coalesce(found[c], F.lit(0).cast("long")).alias(name)
@@ -235,6 +240,6 @@ def dedup(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with lines that repeat an earlier line, up to one word, taken out."""
+    """All documents with lines that repeat an earlier line taken out; lines of 8 words or more also if they are one word apart."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(docs, counts=("n_exact", "n_near"))
+    return dedup(docs, exact_words=1, counts=("n_exact", "n_near"))

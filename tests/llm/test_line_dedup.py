@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from plumbline.llm.line_dedup import dedup
+import corpus_pipeline
+from plumbline.llm.line_dedup import dedup, op3_line_dedup
 
 from .odd import SCHEMA, empty, odd, rows_of
 
@@ -75,3 +76,38 @@ def test_odd(spark):
     assert got.columns == df.columns == [x.split()[0] for x in SCHEMA.split(", ")]
     assert result(got.select("doc_id", "text")) == brute(keyed(df.select("doc_id", "text")))
     assert dedup(empty(spark)).count() == 0
+
+
+def brute_short(rows, least=8):
+    """As ``brute``, and lines of fewer words go if an earlier one is equal."""
+    order = sorted({(-1 if i is None else i, k): t for i, k, t in rows}.items())
+    seen, gone, long = set(), set(), []
+    for at, t in order:
+        for n, x in enumerate((t or "").split("\n")):
+            w = words(x)
+            if w and (w in seen or len(w) >= least and any(near(w, v) for v in long if abs(len(v) - len(w)) < 2)):
+                gone.add((at, n))
+            seen.add(w)
+            long += [w] if len(w) >= least else []
+    out = []
+    for i, k, t in rows:
+        at = (-1 if i is None else i, k)
+        out.append((i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (at, n) not in gone)))
+    return sorted(out, key=str)
+
+
+def test_short_lines(spark, tmp_path):
+    long = "a line of eight words that stands twice"
+    rows = [(1, f"Home\nsix words of a page foot\n\nown words one\n{long}"), (2, f"home \nsix words of a  page FOOT\n\nown words two\n{long}\nhome"), (3, "six words of a page head\nHome\nHome"), (4, None), (None, "home")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_short(keyed(df))
+    assert (2, "\nown words two") in want and (3, "six words of a page head") in want
+    got = op3_line_dedup(spark, str(tmp_path))
+    assert result(got) == want and got.agg(F.sum("n_exact")).first()[0] == 7
+    assert result(corpus_pipeline.lines(spark, df, str(tmp_path))) == want
+
+
+def test_short_lines_of_table(spark, sf):
+    df = spark.createDataFrame([(i, t) for i, t, *_ in rows_of(spark, sf)], "doc_id long, text string")
+    assert result(op3_line_dedup(spark, sf)) == brute_short(keyed(df))
