@@ -70,23 +70,28 @@ def measure(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", host: s
     return docs.select(F.col(doc).cast("long"), F.col(host).cast("string"), F.col(text), _key(text)).mapInArrow(_measure, _MEASURED)
 
 
-def frequent_lines(measured: DataFrame, *, max_docs: int, max_share: float) -> DataFrame:
-    """(host, line): lines in more than ``max_docs`` distinct texts of a host and in more than ``max_share`` of them.
+def frequent_lines(measured: DataFrame, *, max_docs: int, max_share: float = 0.0) -> DataFrame:
+    """(host, line): lines in more than ``max_docs`` distinct texts of a host and, if a ``max_share`` is given, in more than that share of them.
 
     Copies of a text count once.  Counts are combined before the shuffle, so a line that
     a third of all documents carry sends one row per task.
     """
     texts = measured.dropDuplicates(["host", "key"])
-    size = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
     n = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+    if max_share <= 0:
+        return n.select("host", "line")
+    size = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
     same = n["host"].eqNullSafe(size["host"])
     return n.join(size, same).where(n["n"] > max_share * size["n_texts"]).select(n["host"], "line")
 
 
-def judge(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", host: str = "source", max_docs: int = 20, max_share: float = 0.1,
+def judge(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", host: str = "source", max_docs: int = 20, max_share: float = 0.0,
           min_words: int = 10, max_removed: float = 0.5) -> DataFrame:
     """One row per input row: base figures, the lines to remove, and the verdict.
 
+    A line is over-frequent if it is in more than ``max_docs`` distinct texts of its
+    host, however large the host; ``max_share`` demands a share of them as well.
+
     Base rules fail a text of under ``min_words`` words, or with over a fifth of its
     words in repeated 5-word windows.  Of the others, a text is depleted, and so
     rejected, if removing its over-frequent lines takes more than ``max_removed`` of

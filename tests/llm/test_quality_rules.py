@@ -70,3 +70,15 @@ def test_odd(spark):
     check(odd(spark), rows, max_docs=1, max_share=0.1)
     assert clean(odd(spark)).columns == [x.split()[0] for x in SCHEMA.split(", ")]
     assert judge(empty(spark)).count() == 0 and clean(empty(spark)).count() == 0
+
+
+def test_large_host(spark):
+    """The number of texts decides by itself, whatever share of the host they are."""
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    foot = "all rights of this page"
+    rows = [(k, f"a page of its own with words that no other page has {name(k)}" + (f"\n{foot}" if k < 21 else "") + ("\nseen on twenty" if k < 20 else ""), "large") for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in clean(df).collect()}
+    assert len(got) == 1000 and not any(foot in t for t in got.values())
+    assert sum("seen on twenty" in t for t in got.values()) == 20
+    check(df, rows, max_docs=20, max_share=0.0)
