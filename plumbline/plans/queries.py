@@ -206,6 +206,16 @@ def tune_lambda(obs, ref, mov):
     return rounded(tuning.tune(ref, _narrow(mov), CURVE, ridge_ref=0.0, tau=2.0), 6)
 
 
+@query
+def tune_objective_whole(obs, ref, mov):
+    return rounded(tuning.objective(ref, mov, CURVE, ridge_ref=0.0, tau=2.0))
+
+
+@query
+def tune_lambda_whole(obs, ref, mov):
+    return rounded(tuning.tune(ref, mov, CURVE, ridge_ref=0.0, tau=2.0), 6)
+
+
 @query
 def pairwise_apply(obs, ref, mov):
     """All subjects of the moving site, not only its controls."""
