@@ -7,11 +7,10 @@ every piece then finds its place from its rank among pieces of its length.
 
 from __future__ import annotations
 
-import re
-import unicodedata
+import json
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,53 +21,65 @@ from pyspark.sql import functions as F
 from .support import materialise, read
 
 END = 0  # the id after each document
-#: Pre-tokens of which a worker remembers the ids.
-REMEMBERED = 800_000
-#: Texts of these code points only are cut into pre-tokens here; any other goes to the tokenizer whole.
-_PLAIN_CLASS = "\t\n\r -~¡-ɏ‐-‧€"
-_PLAIN = re.compile(f"[{_PLAIN_CLASS}]*")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
 
 
-def _plain_pattern(pattern: str) -> re.Pattern:
-    """The tokenizer's pattern for plain texts: letters and numbers as explicit classes, which Python's re can match."""
-    plain = [c for c in map(chr, range(0x2100)) if _PLAIN.fullmatch(c)]
-    letters, numbers = ("".join(c for c in plain if unicodedata.category(c)[0] == kind) for kind in "LN")
-    return re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]"))
+def _byte_letters() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class PieceEncoder:
-    """Ids (little-endian unsigned 32-bit) of texts; ids of a pre-token are looked up if seen before."""
+def _ranks(tokenizer_file: str) -> dict[bytes, int] | None:
+    """Bytes of each token to its id, if the file is plain byte-level BPE whose ids follow the order of its merges; else None."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not plain or spec.get("normalizer") or spec.get("post_processor") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    letter, vocab = _byte_letters(), model["vocab"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    order = [vocab["".join(m)] for m in merges]
+    added = {x["content"] for x in spec.get("added_tokens", [])}
+    singles = [vocab[c] for c in letter if c in vocab]
+    if len(singles) < 256 or order != sorted(order) or (order and max(singles) > order[0]):
+        return None
+    return {bytes(letter[c] for c in token): k for token, k in vocab.items() if token not in added}
+
+
+class Encoder:
+    """Ids (little-endian unsigned 32-bit) of whole texts.
+
+    The tokenizer file's merges run in an engine that keeps no offsets or masks, which
+    takes a quarter of the time.  Texts that hold a special token's string, and files of
+    another kind, go through the tokenizer itself; both give the same ids.
+    """
 
     def __init__(self, tokenizer_file: str, pattern: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.cut = _plain_pattern(pattern).findall
-        self.known: dict[str, bytes] = {}
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = None
+        if ranks := _ranks(tokenizer_file):
+            import tiktoken
 
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            self.fast = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def __call__(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self._whole(text)
-        parts = self.cut(text)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if new := [x for x in set(parts) if x not in self.known]:
-            for part, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[part] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, parts))
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast is None or any(s in text for s in self.special):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.asarray(self.fast(text), "<u4")
 
 
-def pieces_of(ids: bytes, size: int) -> list[tuple[int, int, int]]:
-    """(start, length, crc32) of a document's pieces; only the first may be shorter than ``size``."""
-    n = len(ids) // 4
+def pieces_of(ids: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(start, length, crc32) of a document's pieces, its end id included; only the first may be shorter than ``size``."""
+    raw, n = np.append(ids, np.uint32(END)).astype("<u4").tobytes(), len(ids) + 1
     first = n if n <= size else (n % size or size)
     cuts = [0, *range(first, n, size), n]
-    return [(a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def cut_pieces(docs: DataFrame, *, text: str, doc: str, size: int, tokenizer_file: str, pattern: str) -> DataFrame:
@@ -78,13 +89,12 @@ def cut_pieces(docs: DataFrame, *, text: str, doc: str, size: int, tokenizer_fil
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, seen, task = PieceEncoder(tokenizer_file, pattern), Counter(), TaskContext.get().partitionId()
-        end = np.asarray([END], "<u4").tobytes()
+        encode, seen, task = Encoder(tokenizer_file, pattern), Counter(), TaskContext.get().partitionId()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         for batch in batches:
             rows = []
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for k, (start, length, crc) in enumerate(pieces_of(encode(body.as_py() or "") + end, size)):
+            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k, (start, length, crc) in enumerate(pieces_of(encode(body or ""), size)):
                     rows.append((doc_id, k, start, length, crc, task, seen[length]))
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names=[x.split()[0] for x in _PIECES.split(", ")])
@@ -93,74 +103,84 @@ def cut_pieces(docs: DataFrame, *, text: str, doc: str, size: int, tokenizer_fil
 
 
 class Plan:
-    """Patterns of lengths that share a sequence, found under availability counts."""
+    """Patterns of lengths that share a sequence, found under availability counts.
+
+    The index has, for every sum up to ``size``, whether a single length, how many pairs
+    and (through the pairs) which triples of available lengths make it.  It is kept up to
+    date as lengths are taken, so a look-up never finds what is used up.  There are at
+    most ``size`` counters of each kind, whatever the corpus.
+    """
 
     def __init__(self, available: np.ndarray, size: int):
-        self.left, self.size = available.astype(np.int64).copy(), size
+        self.left, self.size = np.zeros(size + 1, np.int64), size
+        self.have, self.pairs = np.zeros(size + 1, bool), np.zeros(size + 1, np.int64)
         self.patterns: list[tuple[list[int], int]] = []
+        for length in np.flatnonzero(available[1:]) + 1:
+            self._set(int(length), int(available[length]))
         for length in range(size, 0, -1):  # first what fills a sequence exactly
-            while self.left[length] and (rest := self.complement([length])) is not None:
+            while self.left[length] and (rest := self._with([length], self.complement)) is not None:
                 self._emit([length, *rest])
         for length in range(size, 0, -1):  # then the residuals by best fit
             while self.left[length]:
                 self._emit(self._best_fit(length))
 
-    def _free(self, taken: list[int]) -> np.ndarray:
-        free = self.left
+    def _set(self, x: int, n: int) -> None:
+        """Length ``x`` is now available ``n`` times; pair sums follow."""
+        was, self.left[x] = int(self.left[x]), n
+        if (was > 0) != (n > 0):
+            self.have[x] = False
+            self.pairs[x + 1 :][self.have[1 : self.size - x + 1]] += 1 if n else -1
+            self.have[x] = n > 0
+        if 2 * x <= self.size and (was > 1) != (n > 1):
+            self.pairs[2 * x] += 1 if n > 1 else -1
+
+    def _with(self, taken: list[int], look: Callable[[int], list[int] | None]) -> list[int] | None:
+        """What ``look`` finds for the gap that ``taken`` leaves, while ``taken`` is not available."""
+        for x in taken:
+            self._set(x, int(self.left[x]) - 1)
+        found = look(self.size - sum(taken))
         for x in taken:
-            free = free.copy() if free is self.left else free
-            free[x] -= 1
-        return free
+            self._set(x, int(self.left[x]) + 1)
+        return found
 
-    def complement(self, taken: list[int]) -> list[int] | None:
-        """One, two or three available lengths whose sum is exactly the gap, the largest length first; [] if there is no gap."""
-        gap = self.size - sum(taken)
+    def complement(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths whose sum is exactly ``gap``, the largest length first; [] if there is no gap."""
         if gap <= 0:
             return []
-        free = self._free(taken)
-        if free[gap] > 0:
+        if self.have[gap]:
             return [gap]
-        if pair := self._pair(free, gap):
-            return pair
-        sums = self._pair_sums(free, gap)
-        for a in np.flatnonzero((free[: gap + 1] > 0) & sums[gap - np.arange(gap + 1)])[::-1]:
-            less = free.copy()
-            less[a] -= 1
-            if pair := self._pair(less, gap - int(a)):
+        if self.pairs[gap]:
+            return self._pair(gap)
+        for a in np.flatnonzero(self.have[1:gap] & (self.pairs[gap - 1 : 0 : -1] > 0))[::-1] + 1:
+            self._set(int(a), int(self.left[a]) - 1)
+            pair = self._pair(gap - int(a)) if self.pairs[gap - a] else None
+            self._set(int(a), int(self.left[a]) + 1)
+            if pair:
                 return [int(a), *pair]
         return None
 
-    @staticmethod
-    def _pair(free: np.ndarray, total: int) -> list[int] | None:
+    def _pair(self, total: int) -> list[int]:
         a = np.arange((total + 1) // 2, total)
-        ok = (free[a] > 0) & (free[total - a] > np.where(2 * a == total, 1, 0))
-        hit = np.flatnonzero(ok)
-        return [int(a[hit[-1]]), total - int(a[hit[-1]])] if len(hit) else None
-
-    @staticmethod
-    def _pair_sums(free: np.ndarray, up_to: int) -> np.ndarray:
-        """Whether two available lengths sum to each total (a length may be counted twice; _pair verifies)."""
-        have = (free[: up_to + 1] > 0).astype(np.float64)
-        have[0] = 0
-        n = 1 << (2 * up_to + 2).bit_length()
-        return np.fft.irfft(np.fft.rfft(have, n) ** 2, n)[: up_to + 1] > 0.5
+        ok = self.have[a] & (self.left[total - a] > (2 * a == total))
+        first = int(a[np.flatnonzero(ok)[-1]])
+        return [first, total - first]
 
     def _best_fit(self, length: int) -> list[int]:
         taken = [length]
-        while (gap := self.size - sum(taken)) > 0:
-            if rest := self.complement(taken):
+        while sum(taken) < self.size:
+            if rest := self._with(taken, self.complement):
                 return taken + rest
-            fits = np.flatnonzero(self._free(taken)[1 : gap + 1] > 0)
-            if not len(fits):
+            largest = self._with(taken, lambda gap: [int(x) + 1 for x in np.flatnonzero(self.have[1 : gap + 1])[-1:]])
+            if not largest:
                 break
-            taken.append(int(fits[-1]) + 1)
+            taken += largest
         return taken
 
     def _emit(self, lengths: list[int]) -> None:
         need = Counter(lengths)
         copies = int(min(self.left[x] // n for x, n in need.items()))
         for x, n in need.items():
-            self.left[x] -= copies * n
+            self._set(x, int(self.left[x]) - copies * n)
         self.patterns.append((lengths, copies))
 
     def slots(self) -> np.ndarray:
@@ -198,10 +218,11 @@ def _place(slots: np.ndarray):
 def pack(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", size: int = 2048, tokenizer_file: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per piece, with its sequence and its offset there.
 
-    Null text is empty: one end id.  Only documents of more than ``size`` ids are cut.
-    Repeated rows are packed each; rows with a null id too.  Empty tables give empty
-    results; extra columns are not read.  Ties between pieces of one length fall to
-    their order in the input's tasks, which the written piece table fixes.
+    Null text is empty: one end id.  Only documents of more than ``size`` ids are cut; a
+    very long text is encoded whole, in memory in proportion to its length.  Repeated
+    rows are packed each; rows with a null id too.  Empty tables give empty results;
+    extra columns are not read.  Ties between pieces of one length fall to their order in
+    the input's tasks, which the written piece table fixes.
     """
     import public_tokenizers
 
