@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import materialise
+from .support import discard, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("m").alias("a"), "b")
+def _neighbours(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    return _neighbours(edges).where(F.col("b") > F.col("a")).join(least, "a").select(F.col("m").alias("a"), "b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -25,14 +27,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Each turn hangs every id on the least of its neighbours, first those above it, then
     those below.  Turns are written, and end when one changes nothing; they grow with
-    the logarithm of the longest path.  Only sums come back to the driver.
+    the logarithm of the longest path.  Only sums come back to the driver.  The least
+    neighbours are written too: both sides of the join are then plain shuffles, of which
+    adaptive execution splits the rows of an id with very many edges.
     """
     def tidy(e: DataFrame) -> DataFrame:
         return e.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     now, before = materialise(tidy(edges), name), None
     while True:
-        now = materialise(tidy(_small_star(tidy(_large_star(now)))), name)
+        least = materialise(_neighbours(now).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
+        old, now = now, materialise(tidy(_small_star(tidy(_large_star(now, least)))), name)
+        discard(old, least)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if state == before:
             break

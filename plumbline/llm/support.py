@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Folders of intermediate tables, until they are discarded.
+_WRITTEN: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,8 +49,35 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, never a re-computation.
+    This cuts the lineage: a lost executor costs a re-read, never a re-computation.  The
+    folder stays until ``discard`` or ``clear`` deletes it.
     """
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.intermediate_path = path
+    _WRITTEN.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "intermediate_path", None):
+            _delete(df.sparkSession, path)
+            if path in _WRITTEN:
+                _WRITTEN.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every intermediate table of this process.
+
+    Results are lazy and read these tables, so call it once they are written elsewhere.
+    """
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
