@@ -10,8 +10,11 @@ the columns that is large enough for every linking pair to show:
   k and l of them in the region, at least t - min(n - k, m - l) common ones are in it:
   pairs with fewer are discarded, the others are verified on whole sets.
 * Columns of many documents are not multiplied out.  They can only decide for documents
-  of which they make up so much of the region that a pair could be missed without them;
-  those documents are multiplied with each other in dense blocks of rows.
+  of which they make up so much of the region that a pair could be missed without them.
+  Those documents are multiplied by a few leaders of each such column, so a large
+  group of near copies falls together at a cost in proportion to its size.  What then
+  still shares three quarters of its columns with another component is multiplied in
+  blocks of rows, component by component, where sizes and shares allow a link.
 
 Equal sets are one row of the matrix.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .support import materialise, read
+from .support import discard, materialise, read
 from .words import WordHashes, in_sketch, signed, sketch_bits, split, windows
 
 SHINGLE = 5
@@ -103,14 +106,14 @@ def _blocks(n_blocks: int, heavy: np.ndarray, kept):
     return run
 
 
-_PRODUCT = "a long, b long, common long, needed long"
+_PRODUCT = "a long, b long, common long, needed long, size long"
 
 
 def _product(pdf: pd.DataFrame) -> pd.DataFrame:
     """Overlaps of one block of columns: pairs a < b, and (a, null) with the number of a's columns not multiplied out."""
     ids, n, k, lengths = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("ids", "n", "k", "lengths"))
     if pdf["block"].iloc[0] < 0:
-        return pd.DataFrame({"a": ids, "b": pd.array([None] * len(ids), "Int64"), "common": lengths, "needed": _least(n, k)})
+        return pd.DataFrame({"a": ids, "b": pd.array([None] * len(ids), "Int64"), "common": lengths, "needed": _least(n, k), "size": k})
     h = np.concatenate([np.frombuffer(x, _U8) for x in pdf["hashes"]])
     at = np.repeat(np.arange(len(ids)), lengths)
     order = np.argsort(h, kind="stable")
@@ -137,26 +140,29 @@ def _product(pdf: pd.DataFrame) -> pd.DataFrame:
         # below the edge both are shown; above it only where both show everything
         kx, ky = (np.where(whole, n[z], np.where(k[z] == n[z], -1, k[z])) for z in (x, y))
         miss = np.minimum(np.where(kx < 0, n[x], n[x] - kx), np.where(ky < 0, n[y], n[y] - ky))
-        parts.append(pd.DataFrame({"a": ids[x], "b": ids[y], "common": common, "needed": np.maximum(1, _needed(n[x], n[y]) - miss)}))
+        parts.append(pd.DataFrame({"a": ids[x], "b": ids[y], "common": common, "needed": np.maximum(1, _needed(n[x], n[y]) - miss), "size": k[x]}))
     if len(many):
         x, c = np.unique(many, return_counts=True)
-        parts.append(pd.DataFrame({"a": ids[x], "b": pd.array([None] * len(x), "Int64"), "common": c, "needed": _least(n[x], k[x])}))
-    return pd.concat([p.astype({"b": "Int64"}) for p in parts]) if parts else pd.DataFrame({"a": [], "b": [], "common": [], "needed": []}).astype({"a": "int64", "b": "Int64", "common": "int64", "needed": "int64"})
+        parts.append(pd.DataFrame({"a": ids[x], "b": pd.array([None] * len(x), "Int64"), "common": c, "needed": _least(n[x], k[x]), "size": k[x]}))
+    return pd.concat([p.astype({"b": "Int64"}) for p in parts]) if parts else pd.DataFrame({x: [] for x in ("a", "b", "common", "needed", "size")}).astype({"a": "int64", "b": "Int64", "common": "int64", "needed": "int64", "size": "int64"})
 
 
-def _heavy_columns(sets: DataFrame, *, rows: int, share: float) -> np.ndarray:
-    """Columns that a fixed-size sample finds in many documents.
+def _heavy_columns(sets: DataFrame, total: int, kept, *, rows: int, block_rows: int) -> np.ndarray:
+    """Columns that a sample finds in many documents.
 
-    The list only decides which columns are left to the dense blocks early; results are
-    the same with any list.
+    The sample takes ids by hash: about ``rows`` of them, or as many as show every column
+    that would fill a block by itself.  The list only decides which columns are left out
+    of the blocks early; results are the same with any list.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [np.frombuffer(b, np.int64) for b in batch.column(0).to_pylist()]
+            use = in_sketch(kept.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) if kept is not None else np.ones(batch.num_rows, bool)
+            x = [np.frombuffer(b, np.int64) for b, u in zip(batch.column(1).to_pylist(), use, strict=True) if u]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))], names=["h"])
 
-    some = sets.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("region")
-    often = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") > max(DENSE, share * rows))
+    share = max(rows / max(total, 1), DENSE / block_rows)
+    some = sets.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "region")
+    often = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") > DENSE)
     return often.select("h").toArrow()["h"].to_numpy().view(np.uint64)
 
 
@@ -179,84 +185,136 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "s", "t").mapInArrow(_verify, "a long, b long").distinct()
 
 
-# Documents whose region is mostly made of columns that were not multiplied out
+# Documents of which too much of the region is columns that were not multiplied out
 
-_CHUNK = 256
+#: Columns of a chunk of rows that are multiplied at once.
+_CHUNK = 1 << 17
+#: Size classes: ratio of neighbouring ones, and how many apart two documents that link may be.
+_RATIO, _APART = 1.1, 4
+#: Documents that a column offers as partners in one turn.
+LEADERS = 3
 
 
-def _pack_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    sets = [shingles(t, hashes) for t in pdf["text"]]
-    return pd.DataFrame([{"cls": pdf["cls"].iloc[0], "c": pdf["c"].iloc[0], "ids": pdf["doc_id"].to_numpy(np.int64).tobytes(), "lengths": np.asarray([len(s) for s in sets], np.int64).tobytes(),
-                          "hashes": np.concatenate(sets).astype(_U8).tobytes()}])
+    for batch in batches:
+        sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
+        n = np.asarray([len(x) for x in sets], np.int64)
+        values = pa.array(signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), values)], names=["doc_id", "n", "columns"])
 
 
-def _chunk_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between two chunks of documents, as many as join what they join (a spanning forest)."""
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            ids = np.frombuffer(r["ids"] + r["ids2"], np.int64) if r["ids2"] else np.frombuffer(r["ids"], np.int64)
-            lengths = np.frombuffer(r["lengths"] + (r["lengths2"] or b""), np.int64)
-            h = np.frombuffer(r["hashes"] + (r["hashes2"] or b""), _U8)
-            ends = np.cumsum(lengths)
-            sets = [h[e - m : e] for e, m in zip(ends, lengths, strict=True)]
-            value, column, count = np.unique(h, return_inverse=True, return_counts=True)
-            common = np.zeros((len(ids), len(ids)), np.float32)
-            row, often = np.repeat(np.arange(len(ids)), lengths), count > 1
-            number = np.cumsum(often) - 1
-            use = often[column]
-            row, col, width = row[use], number[column[use]], 2048
-            for a in range(0, int(often.sum()), width):  # the product, a slab of columns at a time
-                here = (col >= a) & (col < a + width)
-                m = np.zeros((len(ids), width), np.float32)
-                m[row[here], col[here] - a] = 1
-                common += m @ m.T
-            union = lengths[:, None] + lengths[None, :] - common
-            i, j = np.nonzero(np.triu((100 * common >= 75 * union) & (common > 0), 1))
-            parent = list(range(len(ids)))
-
-            def root(x: int, parent: list[int] = parent) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                p, q = root(x), root(y)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    if ids[x] != ids[y]:
-                        out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-        yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-
-def dense_links(texts: DataFrame) -> DataFrame:
-    """Links among documents, by dense products of blocks of rows of similar sizes.
-
-    Blocks meet only if their sizes allow a link.  The cost is the square of the number
-    of these documents; they are only those that frequent columns dominate.
+def _merged(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """(c, m): labels that links between ``docs`` (doc_id, c) hang on the least one within two steps."""
+    of = lambda x, name: docs.select(F.col("doc_id").alias(x), F.col("c").alias(name))
+    edges = links.select("a", "b").join(of("a", "g"), "a").join(of("b", "h"), "b").where("g <> h").select("g", "h")
+    both = edges.unionByName(edges.select(F.col("h").alias("g"), F.col("g").alias("h"))).distinct()
+    one = both.groupBy("g").agg(F.least(F.min("h"), F.col("g")).alias("m"))
+    two = both.join(one.withColumnsRenamed({"g": "h"}), "h").groupBy("g").agg(F.min("m").alias("m2"))
+    return two.join(one, "g").select(F.col("g").alias("c"), F.least("m", "m2").alias("m"))
+
+
+def _met(docs: DataFrame, turn: int) -> DataFrame:
+    """(doc_id, n, open, leads) of the documents (doc_id, n, c, central, columns) that may link with another component.
+
+    ``open`` counts a document's columns that other components hold as well; a link needs
+    three quarters of them.  The leaders of a column are drawn by hash, central documents
+    first, and one of another component for those of a leader's own.
+    """
+    each = docs.select("doc_id", "n", "c", "central", F.explode("columns").alias("h"))
+    drawn = [F.struct(~F.col("central"), F.xxhash64("doc_id", F.lit(turn), F.lit(k)), "c", "doc_id") for k in range(LEADERS)]
+    ends = each.groupBy("h").agg(F.min(F.struct("c", "doc_id")).alias("lo"), F.max(F.struct("c", "doc_id")).alias("hi"), *[F.min(x).alias(f"l{k}") for k, x in enumerate(drawn)])
+    ends = ends.where("lo.c <> hi.c").select("h", "lo", "hi", *[F.struct(F.col(f"l{k}.c").alias("c"), F.col(f"l{k}.doc_id").alias("doc_id")).alias(f"l{k}") for k in range(LEADERS)])
+    ends = materialise(ends, "ngram-leaders")  # a plain shuffle on both sides of the join, so that a column of very many rows is split
+    other = F.when(F.col("c") == F.col("lo.c"), F.col("hi.doc_id")).otherwise(F.col("lo.doc_id"))
+    lead = lambda k: F.when(F.col(f"l{k}.c") != F.col("c"), F.col(f"l{k}.doc_id")).otherwise(other)
+    sets = each.join(ends, "h").groupBy("doc_id", "n", F.array_sort(F.array_distinct(F.array(*map(lead, range(LEADERS))))).alias("leads")).agg(F.count("*").alias("common"))
+    per = sets.groupBy("doc_id", "n").agg(F.sum("common").alias("open"), F.max_by("leads", F.struct("common", "leads")).alias("leads"))
+    out = materialise(per.where(4 * F.col("open") >= 3 * F.col("n")), "ngram-open")
+    discard(ends)
+    return out
+
+
+def hidden_links(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """Links among ``texts`` (doc_id, text, central) that join what ``links`` leave apart.
+
+    Documents of one label are known to be one component.  Turns of leaders join what is
+    alike, each in proportion to the documents' columns.  A document without three
+    quarters of its columns under other labels is finished, as labels only merge.  Turns
+    end when they join little; the rest is multiplied, so results are the same with any
+    number of turns.
+    """
+    listed = texts.mapInArrow(_listed, "doc_id long, n long, columns array<long>").join(texts.groupBy("doc_id").agg(F.max("central").alias("central")), "doc_id")
+    docs = materialise(listed.withColumn("c", F.col("doc_id")), "ngram-columns")
+    found, new, turn = links, links, 0
+    while True:
+        merged = _merged(docs, new).withColumnRenamed("c", "g")
+        old, docs = docs, materialise(docs.join(merged, docs["c"] == merged["g"], "left").withColumn("c", F.coalesce("m", "c")).drop("g", "m"), "ngram-columns")
+        discard(old)
+        met = _met(docs, turn)
+        n_open = met.count()
+        if not n_open:
+            return found
+        if turn and new.count() * 20 < n_open:
+            return found.unionByName(block_links(docs.join(met.groupBy("doc_id").agg(F.max("open").alias("open")), "doc_id")))
+        docs = docs.join(met.select("doc_id"), "doc_id", "left_semi")
+        pairs = met.select("doc_id", F.explode("leads").alias("lead")).select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+        new = materialise(verified(pairs, texts), "ngram-links")
+        found = found.unionByName(new)
+        turn += 1
+
+
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    sets = pdf["columns"].to_list()
+    return pd.DataFrame([{"chunk": pdf["chunk"].iloc[0], "cls": pdf["cls"].iloc[0], "own": pdf["own"].iloc[0], "least": pdf["n"].min(), "open": pdf["open"].max(), "ids": pdf["doc_id"].to_numpy(np.int64).tobytes(),
+                          "c": pdf["c"].to_numpy(np.int64).tobytes(), "lengths": np.asarray([len(x) for x in sets], np.int64).tobytes(), "hashes": np.concatenate(sets).astype(np.int64).tobytes()}])
+
+
+def _multiplied(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of two chunks of documents (or within one) between different components."""
+    r = pdf.iloc[0]
+    two = ("", "2") if r["chunk"] != r["chunk2"] else ("",)
+    ids, c, lengths, h = (np.concatenate([np.frombuffer(r[x + k], np.int64) for k in two]) for x in ("ids", "c", "lengths", "hashes"))
+    value, column, count = np.unique(h, return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(len(ids)), lengths), count > 1
+    use = often[column]
+    row, col, width = row[use], (np.cumsum(often) - 1)[column[use]], 2048
+    common = np.zeros((len(ids), len(ids)), np.float32)
+    for a in range(0, int(often.sum()), width):  # a slab of columns at a time
+        here = (col >= a) & (col < a + width)
+        m = np.zeros((len(ids), width), np.float32)
+        m[row[here], col[here] - a] = 1
+        common += m @ m.T
+    union = lengths[:, None] + lengths[None, :] - common
+    i, j = np.nonzero(np.triu((100 * common >= 75 * union) & (common > 0) & (c[:, None] != c[None, :]), 1))
+    return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+
+
+def block_links(docs: DataFrame) -> DataFrame:
+    """Links between components of ``docs`` (doc_id, n, c, open, columns), multiplied in blocks of rows.
+
+    A component of many documents has blocks of its own, which never meet each other.
+    Blocks meet where sizes and open columns allow a link.
     """
-    t = texts.select("doc_id", "text", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int").alias("cls"))
-    chunks = {r["cls"]: -(-r["count"] // _CHUNK) for r in t.groupBy("cls").count().collect()}  # one row per power of 4/3
-    if not chunks:
-        return texts.sparkSession.createDataFrame([], "a long, b long")
-    per = F.create_map(*[F.lit(x) for kv in chunks.items() for x in kv])
-    c = t.withColumn("c", F.pmod(F.xxhash64("doc_id"), per[F.col("cls")]).cast("int"))
-    packed = materialise(c.groupBy("cls", "c").applyInPandas(_pack_chunk, "cls int, c int, ids binary, lengths binary, hashes binary"), "ngram-chunks")
-    number = lambda cls: F.coalesce(per[cls], F.lit(0))
-    same = F.when(F.col("c") < number(F.col("cls")), F.sequence(F.col("c"), number(F.col("cls")) - 1)).otherwise(F.array().cast("array<int>"))
-    above = F.when(number(F.col("cls") + 1) > 0, F.sequence(F.lit(0), number(F.col("cls") + 1) - 1)).otherwise(F.array().cast("array<int>"))
-    meet = F.concat(F.transform(same, lambda x: F.struct(F.col("cls").alias("cls2"), x.alias("c2"))), F.transform(above, lambda x: F.struct((F.col("cls") + 1).alias("cls2"), x.alias("c2"))))
-    one = packed.select("*", F.explode(meet).alias("m")).select("cls", "c", "ids", "lengths", "hashes", "m.*")
-    two = packed.select(F.col("cls").alias("cls2"), F.col("c").alias("c2"), F.col("ids").alias("ids2"), F.col("lengths").alias("lengths2"), F.col("hashes").alias("hashes2"))
-    met = one.join(two, ["cls2", "c2"])
-    itself = (F.col("cls") == F.col("cls2")) & (F.col("c") == F.col("c2"))
-    other = lambda x: F.when(~itself, F.col(x)).alias(x)
-    return met.select("ids", "lengths", "hashes", other("ids2"), other("lengths2"), other("hashes2")).mapInArrow(_chunk_links, "a long, b long")
-
-
-def join(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", block_rows: int = 500_000, sketch: int = 26, sample_rows: int = 4000, sample_share: float = 0.02) -> DataFrame:
+    d = docs.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(_RATIO))).cast("int")).withColumn("rows", F.greatest(F.lit(4.0), F.least(F.lit(256.0), F.lit(float(_CHUNK)) / F.pow(F.lit(_RATIO), F.col("cls")))))
+    large = d.groupBy("cls", "c").agg(F.count("*").alias("m"), F.max("rows").alias("rows")).where(F.col("m") >= F.col("rows")).select("cls", "c", F.col("c").alias("own"))
+    d = d.join(large, ["cls", "c"], "left")
+    counts = d.groupBy(F.col("cls").alias("of_cls"), F.col("own").alias("of_own")).agg(F.ceil(F.count("*") / F.max("rows")).alias("parts"))
+    d = d.join(counts, (F.col("cls") == F.col("of_cls")) & F.col("own").eqNullSafe(F.col("of_own")))
+    d = d.withColumn("chunk", F.xxhash64("cls", F.coalesce(F.col("own").cast("string"), F.lit("")), F.pmod(F.xxhash64("doc_id"), F.col("parts"))))
+    chunks = materialise(d.select("chunk", "cls", "own", "n", "open", "doc_id", "c", "columns").groupBy("chunk").applyInPandas(
+        _packed, "chunk long, cls int, own long, least long, open long, ids binary, c binary, lengths binary, hashes binary"), "ngram-chunks")
+    one = chunks.select("chunk", "cls", "own", "least", "open")
+    two = one.select(*[F.col(x).alias(f"{x}2") for x in one.columns])
+    near = one.withColumn("cls2", F.explode(F.sequence(F.col("cls"), F.col("cls") + _APART))).join(two, "cls2")
+    near = near.where(((F.col("cls") < F.col("cls2")) | (F.col("chunk") <= F.col("chunk2"))) & (F.col("own").isNull() | F.col("own2").isNull() | (F.col("own") != F.col("own2"))))
+    near = near.where(7 * F.least("open", "open2") >= 3 * (F.col("least") + F.col("least2"))).select("chunk", "chunk2")
+    body = ("ids", "c", "lengths", "hashes")
+    met = near.join(chunks.select("chunk", *body), "chunk").join(chunks.select(F.col("chunk").alias("chunk2"), *[F.col(x).alias(f"{x}2") for x in body]), "chunk2")
+    return met.groupBy("chunk", "chunk2").applyInPandas(_multiplied, "a long, b long").distinct()
+
+
+def join(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", block_rows: int = 500_000, sketch: int = 26, sample_rows: int = 4000) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id), one row per input row.
 
     Documents link if 100 times the size of the intersection of their shingle sets is at
@@ -265,7 +323,9 @@ def join(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", block_rows
 
     Null text is empty: no shingles, no links.  Rows that repeat an id are one document
     with several texts.  A row with a null id links with nothing and has null ids.
-    Empty tables give empty results; extra columns are not read.
+    Texts are taken whole; a very long one costs memory in proportion to its length.
+    Equal overlaps decide nothing, as every link counts.  Empty tables give empty
+    results; extra columns are not read.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -277,18 +337,18 @@ def join(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", block_rows
         kept, rows = spark.sparkContext.broadcast(sketch_bits(same, "rep", sketch)), sets.where(real)
     else:  # the sketch would let most copies through
         kept, rows = None, sets.where(real).join(same.select("sig", F.col("rep").alias("doc_id")).distinct(), ["sig", "doc_id"], "left_semi")
-    heavy = _heavy_columns(rows, rows=sample_rows, share=sample_share)
+    heavy = _heavy_columns(rows, reps, kept, rows=sample_rows, block_rows=block_rows)
     n_blocks = max(1, -(-entries // block_rows))
     blocks = rows.select("doc_id", "n", "k", "region").mapInArrow(_blocks(n_blocks, heavy, kept), "block long, ids binary, n binary, k binary, lengths binary, hashes binary")
     product = materialise(blocks.groupBy("block").applyInPandas(_product, _PRODUCT), "ngram-product")
 
-    hot = materialise(product.where(F.col("b").isNull()).groupBy("a").agg(F.sum("common").alias("hot"), F.min("needed").alias("least")), "ngram-hot")
+    hot = materialise(product.where(F.col("b").isNull()).groupBy("a").agg(F.sum("common").alias("hot"), F.min("needed").alias("least"), F.max("size").alias("size")), "ngram-hot")
     pairs = product.where(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("needed").alias("needed"))
     extra = hot.select(F.col("a").alias("x"), "hot")
     pairs = pairs.join(extra.withColumnsRenamed({"x": "a", "hot": "hot_a"}), "a", "left").join(extra.withColumnsRenamed({"x": "b", "hot": "hot_b"}), "b", "left")
     possible = F.col("common") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
     pairs = materialise(pairs.where(possible >= F.col("needed")).select("a", "b", (F.col("common") / F.col("needed")).alias("fit")), "ngram-pairs")
-    dominated = hot.where(F.col("hot") >= F.col("least")).select(F.col("a").alias("doc_id"), F.lit(True).alias("dense"))
+    dominated = hot.where(F.col("hot") >= F.col("least")).select(F.col("a").alias("doc_id"), (10 * F.col("hot") >= 9 * F.col("size")).alias("central"))
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(dominated.select("doc_id"))
     wanted = spark.sparkContext.broadcast(sketch_bits(needed, "doc_id", sketch))
 
@@ -302,10 +362,10 @@ def join(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", block_rows
     # each document's best partner first; then whatever pairs still lie between components
     ways = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "fit").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "fit"))
     best = ways.groupBy("u").agg(F.max_by("v", F.struct("fit", -F.col("v"))).alias("v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    sizes = sets.select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n"))
-    thick = few.join(dominated, "doc_id").join(sizes, "doc_id").select("doc_id", "text", "n")
-    first = materialise(verified(best, few).unionByName(dense_links(thick)), "ngram-links")
-    label = components(first, "ngram-components")
+    first = materialise(verified(best, few), "ngram-links")
+    thick = materialise(few.join(dominated, "doc_id"), "ngram-thick")
+    first = materialise(hidden_links(thick, first), "ngram-links")
+    label = materialise(components(first, "ngram-components"), "ngram-labels")
     of = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
     apart = apart.join(best, ["a", "b"], "left_anti")
@@ -314,7 +374,7 @@ def join(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", block_rows
     named = sets.where(real).select("sig", "doc_id", "n").join(same.select("sig", "rep"), "sig")
     several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count_distinct("rep").alias("m")).where(F.col("m") > 1)
     shared = several.select("doc_id", "a").join(named, "doc_id").select("a", F.col("rep").alias("b"))
-    whole = components(first.unionByName(second).unionByName(shared), "ngram-components")
+    whole = materialise(components(first.unionByName(second).unionByName(shared), "ngram-components"), "ngram-labels")
     out = sets.join(same.select("sig", F.col("rep").alias("set_id")), "sig", "left").withColumn("set_id", F.when(real, F.col("set_id")).otherwise(F.col("doc_id")))
     out = out.join(whole.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("component_id"), "set_id")
