@@ -1,23 +1,24 @@
 """Approximate nearest neighbours by one small-world graph per shard (operator 8).
 
 Equal vectors are one node, so a vector that a third of all rows hold is indexed once.
-Every shard's hierarchical graph is a row of flat arrays; blocks of queries meet all
-shards, and the shards' best are merged.
+Every shard's hierarchical graph is a row of flat arrays.  Queries go to the shards: each
+shard's task reads its graph once and walks it for all its queries, and the shards' best
+are merged.  Shards grow with the root of the number of vectors, so they become fewer in
+proportion; the work is that of a stated query set against all of them.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .support import materialise, read
 
+#: Queries that meet a shard in one group, rows of the largest shard, tasks of one step.
+SLICE, LARGEST, MOST_TASKS = 16_384, 32_768, 20_000
 _GRAPH = "dim int, shard int, n int, ids binary, vectors binary, levels binary, neighbours binary"
 
 
@@ -154,25 +155,29 @@ def _load(n: int, dim: int, vectors: bytes, levels: bytes, neighbours: bytes) ->
 
 
 def _search(k: int, ef: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, v, g = None, None, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if last != (r["dim"], r["shard"]):
-                    v, g = _load(r["n"], r["dim"], r["vectors"], r["levels"], r["neighbours"])
-                    ids, norms, last = np.frombuffer(r["ids"], np.int64), np.linalg.norm(v, axis=1), (r["dim"], r["shard"])
-                qs = np.frombuffer(r["q_vectors"], np.float64).reshape(-1, r["dim"])
-                q_ids = np.frombuffer(r["q_ids"], np.int64)
-                out: list[tuple[int, int, float]] = []
-                for q_id, q, u in zip(q_ids.tolist(), qs, _unit(qs), strict=True):
-                    found = np.asarray(g.search(u, ef))
-                    exact = (v[found] @ q) / (norms[found] * np.linalg.norm(q))
-                    out += [(q_id, int(ids[found[x]]), float(exact[x])) for x in np.lexsort((ids[found], -exact))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "rep", "score"])
+    """The ``k`` best of one shard for each query of a group, by their exact cosines."""
+
+    def run(key: tuple, graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, float]] = []
+        if len(graph) and len(queries):
+            r = graph.iloc[0]
+            v, g = _load(r["n"], r["dim"], r["vectors"], r["levels"], r["neighbours"])
+            ids, norms = np.frombuffer(r["ids"], np.int64), np.linalg.norm(v, axis=1)
+            qs = np.stack(queries["v"].to_numpy()).astype(np.float64)
+            for q_id, q, u in zip(queries["id"].tolist(), qs, _unit(qs), strict=True):
+                found = np.asarray(g.search(u, ef))
+                exact = (v[found] @ q) / (norms[found] * np.linalg.norm(q))
+                out += [(q_id, int(ids[found[x]]), float(exact[x])) for x in np.lexsort((ids[found], -exact))[:k]]
+        return pd.DataFrame(out, columns=["query_id", "rep", "score"]).astype({"query_id": "int64", "rep": "int64", "score": "float64"})
 
     return run
 
 
+def shards_of(n: int, shard_rows: int) -> int:
+    """Shards of ``shard_rows`` vectors; of more where there are over (``shard_rows`` / 4) squared of them."""
+    return max(1, -(-n // max(shard_rows, min(LARGEST, int(4 * n**0.5)))))
+
+
 def build(vectors: DataFrame, *, vec_id: str, vector: str, k: int, shard_rows: int, m: int, ef: int) -> tuple[DataFrame, DataFrame, int]:
     """(members, graphs, number of shards).  ``members`` has each distinct vector's ``k`` + 1 smallest ids."""
     rows = vectors.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).select("id", F.transform("v", lambda x: x + 0.0).alias("v"))
@@ -180,32 +185,30 @@ def build(vectors: DataFrame, *, vec_id: str, vector: str, k: int, shard_rows: i
     first = Window.partitionBy("v").orderBy("id")
     ranked = rows.withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= k + 1)
     members = materialise(ranked.groupBy("v").agg(F.min("id").alias("rep"), F.array_sort(F.collect_set("id")).alias("ids")), "hnsw-members")
-    shards = max(1, -(-members.count() // shard_rows))
+    shards = shards_of(members.count(), shard_rows)
     shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")
-    graphs = members.select(F.size("v").alias("dim"), shard.alias("shard"), "rep", "v").groupBy("dim", "shard").applyInPandas(_build(m, ef), _GRAPH)
+    rows = members.select(F.size("v").alias("dim"), shard.alias("shard"), "rep", "v").repartitionByRange(min(shards, MOST_TASKS), "dim", "shard")  # a shard a task
+    graphs = rows.groupBy("dim", "shard").applyInPandas(_build(m, ef), _GRAPH)
     return members, materialise(graphs, "hnsw-graphs"), shards
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, shard_rows: int = 4096, m: int = 12, ef_build: int = 48,
-           ef_search: int = 96, block: int = 256) -> DataFrame:
+           ef_search: int = 96) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, itself left out.
 
     Nearness is cosine in double precision; ties go to the smaller id.  Vectors that are
     null, zero or hold null or non-finite components take no part; vectors of different
-    lengths do not meet.  Rows that repeat an id and a vector count once.  A query with
-    no candidate has no row; empty tables give empty results; extra columns are not read.
+    lengths do not meet; long ones cost in proportion to their length.  Rows that repeat
+    an id and a vector count once.  A query with no candidate has no row; empty tables
+    give empty results; extra columns are not read.
     """
     members, graphs, shards = build(vectors, vec_id=vec_id, vector=vector, k=k, shard_rows=shard_rows, m=m, ef=ef_build)
     q = queries.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).distinct()
-    blocks = max(1, -(-q.count() // block))
-
-    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"q_dim": key[0], "q_ids": pdf["id"].to_numpy(np.int64).tobytes(), "q_vectors": np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()}])
-
-    p = q.select("id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).groupBy("d", "b").applyInPandas(packed, "q_dim int, q_ids binary, q_vectors binary")
-    p = materialise(p, "hnsw-queries").withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = p.join(graphs, (p["q_dim"] == graphs["dim"]) & (p["q_shard"] == graphs["shard"])).drop("q_dim", "q_shard")
-    found = met.repartition(max(1, min(shards * blocks, 2000)), "shard", "q_ids").mapInArrow(_search(k + 1, ef_search), "query_id long, rep long, score double")
+    slices = max(1, -(-q.count() // SLICE))
+    key, tasks = ("dim", "shard", "slice"), min(2 * shards * slices, MOST_TASKS)
+    index = graphs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(tasks, *key)
+    asked = q.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), "id", "v").repartition(tasks, *key)
+    found = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_search(k + 1, ef_search), "query_id long, rep long, score double")
     each = found.join(members.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id")).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
