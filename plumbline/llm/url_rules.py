@@ -1,4 +1,10 @@
-"""URL filter by fixed rules and mined association rules (operator 4, native)."""
+"""URL filter by fixed rules and mined association rules (operator 4, native).
+
+Labels are few and stand in some regions of the URLs only, so a combination of tokens
+becomes a rule only if it holds where it was not learned: labelled rows are in folds (by
+default one for each fixed rule that labelled them), and what the other folds teach is
+tried on each.
+"""
 
 from __future__ import annotations
 
@@ -50,62 +56,109 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         named("h:", F.split(host, r"\.", -1)), named("p:", F.split(path, "/", -1)), named("e:", F.array(last)), named("q:", fields))))
 
 
-def mine(labelled: DataFrame, *, min_support: float, min_confidence: float) -> DataFrame:
-    """(antecedent, confidence, support) of the rules that imply a block.
+def _judged(folds: Column, n: Column, b: Column, min_count: Column, min_confidence: float) -> Column:
+    """struct(held, right): rows of the folds that the other folds' rows would have blocked, and those of them that are blocks.
 
-    ``labelled`` has ``basket`` (distinct tokens) and ``block``.  What fits is bounded by
-    the support: each frequent token needs ``min_support`` of the rows.
+    ``folds`` has (fold, n, b): rows and blocks of a combination in each fold, of ``n`` and ``b`` in all.
     """
-    basket = F.when(F.col("block"), F.concat("basket", F.array(F.lit(BLOCK)))).otherwise(F.col("basket"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(labelled.select(basket.alias("items")))
-    return model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select("antecedent", "confidence", "support")
+    tried = F.filter(folds, lambda f: (b - f["b"] >= min_count) & (b - f["b"] >= min_confidence * (n - f["n"])))
+    total = lambda x: F.aggregate(tried, F.lit(0).cast("long"), lambda s, f: s + f[x])
+    return F.struct(total("n").alias("held"), total("b").alias("right"))
+
+
+def _counted(each: DataFrame, by: str) -> DataFrame:
+    """(by, n, b, folds) of rows (by, fold, n, b); there are few folds."""
+    per = each.groupBy(by, "fold").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    return per.groupBy(by).agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.collect_list(F.struct("fold", "n", "b")).alias("folds"))
+
+
+def token_items(bags: DataFrame, *, min_count: Column) -> DataFrame:
+    """(token, item) of the tokens that a rule may use.  Tokens of the same labelled URLs are one item.
+
+    ``bags`` are distinct (key, basket, fold, n, b).  A token needs ``min_count`` blocks,
+    and as many outside one of its folds, else no rule with it can hold.
+    """
+    each = bags.select("key", "fold", "n", "b", F.explode("basket").alias("token"))
+    use = _counted(each, "token").where((F.col("b") >= min_count) & F.exists("folds", lambda f: F.col("b") - f["b"] >= min_count)).select("token")
+    where = each.select("key", "token").distinct().groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("s"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("t"))
+    same = where.join(use, "token", "left_semi")
+    return same.join(same.groupBy("m", "s", "t").agg(F.min("token").alias("item")), ["m", "s", "t"]).select("token", "item")
+
+
+def mine(rows: DataFrame, *, min_support: float) -> DataFrame:
+    """(antecedent) of the item combinations that ``min_support`` of the rows (items, block) have with a block."""
+    items = F.when(F.col("block"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(rows.select(items.alias("items")))
+    return model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("antecedent"))
 
 
 def match(baskets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, confidence): baskets that a mined rule blocks.
+    """(key, rule_key): the rules (rule_key, antecedent) that each of the distinct ``baskets`` (key, items) fulfils.
 
-    Inverted index: each rule is filed under its rarest token, each distinct basket is
-    looked up by its tokens, and the rest of the rule is then verified.
+    Inverted index: each rule is filed under its rarest item, each basket is looked up by
+    its items, and the rest of the rule is then verified.
     """
-    each = baskets.select("key", "basket", "n", F.explode("basket").alias("token"))
-    often = each.groupBy("token").agg(F.sum("n").alias("df"))
-    numbered = rules.withColumn("rule_key", F.concat_ws("\x01", F.array_sort("antecedent")))
-    filed = (numbered.select("*", F.explode("antecedent").alias("token")).join(often, "token")
-             .groupBy("rule_key").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.first("antecedent").alias("antecedent"), F.max("confidence").alias("confidence")))
-    hit = each.join(filed, "token").where(F.size(F.array_except("antecedent", "basket")) == 0)
-    return hit.groupBy("key").agg(F.max("confidence").alias("confidence"))
-
-
-def judge(pages: DataFrame, *, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, label: Column | None = None,
-          min_support: float = 0.005, min_confidence: float = 0.8) -> DataFrame:
-    """All columns that the caller selects from: ``_in`` (the input row), host, path, rule, verdict, confidence.
-
-    A fixed rule decides where one fits.  Other URLs are blocked if a mined rule of
-    enough support and confidence holds for them, else allowed.  ``label`` is a boolean
-    column (true: block; null: unlabelled) of ``pages``; by default the fixed rules'
-    verdicts serve as labels.
-
-    Null and malformed URLs have empty host and path, no tokens and are allowed.
-    Repeated rows repeat; an empty table or one without labelled rows mines nothing.
+    each = baskets.select("key", "items", F.explode("items").alias("item"))
+    often = each.groupBy("item").agg(F.count("*").alias("df"))
+    filed = (rules.select("rule_key", "antecedent", F.explode("antecedent").alias("item")).join(often, "item")
+             .groupBy("rule_key").agg(F.min_by("item", F.struct("df", "item")).alias("item"), F.first("antecedent").alias("antecedent")))
+    return each.join(materialise(filed, "url-index"), "item").where(F.size(F.array_except("antecedent", "items")) == 0).select("key", "rule_key")
+
+
+def judge(pages: DataFrame, *, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, label: Column | None = None, fold: Column | None = None,
+          min_support: float = 0.005, min_count: int = 5, min_confidence: float = 0.8, min_lift: float = 1.1) -> DataFrame:
+    """All columns that the caller selects from: ``_in`` (the input row), host, path, rule, verdict, confidence, lift, precision.
+
+    A fixed rule decides where one fits.  Other URLs are blocked if a mined rule holds
+    for them, else allowed.  ``label`` is a boolean column (true: block; null:
+    unlabelled) of ``pages``, with ``fold`` as its folds (four by hash of the URL, if not
+    given); by default the fixed rules' verdicts serve as labels and the rules as folds.
+
+    A mined rule needs ``min_support`` of the labelled rows and ``min_count`` of them, at
+    ``min_confidence``, ``min_lift`` times as often a block as all labelled rows, and the
+    same confidence (``precision``) on ``min_count`` rows of folds that it can be learned
+    without.  Of several rules the most confident is reported.  Every token takes part
+    in matching; tokens that always come together are mined as one, so a URL of very many
+    tokens adds no combinations of its own.
+
+    Null and malformed URLs have empty host and path, no tokens and are allowed.  Very
+    long URLs are taken whole.  Repeated rows repeat, and count as often; an empty table
+    or one without labelled rows mines nothing; other columns pass in ``_in``.
     """
     spark = pages.sparkSession
     host, path = split_url(F.col(url))
+    own = F.lit(None).cast("string") if label is None else (F.pmod(F.crc32(F.coalesce(F.col(url), F.lit("")).cast("binary")), F.lit(4)) if fold is None else fold).cast("string")
     p = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "html"]).alias("_in"), F.col(url).alias("_url"), host.alias("host"), path.alias("path"),
-                     (F.lit(None).cast("boolean") if label is None else label).alias("_label"))
+                     (F.lit(None).cast("boolean") if label is None else label).alias("_label"), own.alias("_fold"))
     p = p.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("basket", tokens(F.col("_url"), F.col("host"), F.col("path")))
-    p = p.withColumn("block", F.coalesce("_label", F.col("_rule.verdict") == "block")).drop("_url", "_label")
+    p = p.withColumn("block", F.coalesce("_label", F.col("_rule.verdict") == "block")).withColumn("fold", F.coalesce("_fold", F.col("_rule.rule"), F.lit(""))).drop("_url", "_label", "_fold")
     p = materialise(p.withColumn("key", F.concat_ws("\x01", "basket")), "url-baskets")
     labelled = p.where(F.col("block").isNotNull() & (F.size("basket") > 0))
-    if labelled.isEmpty():
-        mined = spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
+    bags = materialise(labelled.groupBy("key", "basket", "fold").agg(F.count("*").alias("n"), F.count_if("block").alias("b")), "url-bags")
+    n_all, b_all = bags.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    least = max(min_count, -(-int(min_support * n_all * 1e9) // 10**9))
+    items = materialise(token_items(bags, min_count=F.lit(least)), "url-items")
+    distinct = p.where((F.col("block").isNotNull() & (F.size("basket") > 0)) | F.col("_rule").isNull()).select("key", "basket").distinct()
+    baskets = distinct.select("key", F.explode("basket").alias("token")).join(items, "token").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    baskets = materialise(baskets, "url-item-baskets")
+    rows = labelled.select("key", "block").join(baskets, "key").select("items", "block")
+    if b_all and not items.isEmpty():
+        mined = mine(rows, min_support=least / n_all)
     else:
-        mined = materialise(mine(labelled, min_support=min_support, min_confidence=min_confidence), "url-rules")
-    free = p.where(F.col("_rule").isNull()).groupBy("key", "basket").agg(F.count("*").alias("n"))
-    blocked = match(free, mined)
-    verdict = F.when(F.col("_rule").isNotNull(), F.col("_rule.verdict")).when(F.col("confidence").isNotNull(), "block").otherwise("allow")
-    return p.join(blocked, "key", "left").select("_in", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("_rule").isNull(), F.col("confidence")).alias("confidence"))
+        mined = spark.createDataFrame([], "antecedent array<string>")
+    mined = materialise(mined.withColumn("rule_key", F.concat_ws("\x01", "antecedent")), "url-mined")
+    hits = materialise(match(baskets, mined), "url-hits")
+    stats = _counted(hits.join(bags.select("key", "fold", "n", "b"), "key"), "rule_key")
+    stats = stats.withColumn("tried", _judged(F.col("folds"), F.col("n"), F.col("b"), F.lit(least), min_confidence))
+    confidence, precision = F.col("b") / F.col("n"), F.col("tried.right") / F.col("tried.held")
+    good = (F.col("b") >= min_confidence * F.col("n")) & (F.col("b") * float(n_all) >= min_lift * b_all * F.col("n")) & (F.col("tried.held") >= min_count) & (F.col("tried.right") >= min_confidence * F.col("tried.held"))
+    kept = stats.where(good).select("rule_key", confidence.alias("confidence"), (confidence * n_all / max(b_all, 1)).alias("lift"), precision.alias("precision"))
+    blocked = hits.join(kept, "rule_key").groupBy("key").agg(F.max(F.struct("confidence", "lift", "precision")).alias("why"))
+    verdict = F.when(F.col("_rule").isNotNull(), F.col("_rule.verdict")).when(F.col("why").isNotNull(), "block").otherwise("allow")
+    mined_only = lambda c: F.when(F.col("_rule").isNull(), F.col(f"why.{c}")).alias(c)
+    return p.join(materialise(blocked, "url-blocked"), "key", "left").select("_in", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), *map(mined_only, ("confidence", "lift", "precision")))
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's URL."""
-    return judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("_in.page_id", "host", "path", "rule", "verdict", "confidence")
+    return judge(read(spark, sf_dir, "pages").select("page_id", "url")).select("_in.page_id", "host", "path", "rule", "verdict", "confidence", "lift", "precision")

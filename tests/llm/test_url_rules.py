@@ -1,3 +1,5 @@
+import re
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -22,36 +24,76 @@ def rule(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-def test_fixed_rules(spark):
+def tokens(url):
+    host, path = parts(url)
+    last = path.rsplit("/", 1)[-1].rsplit(".", 1)
+    query = url.split("?", 1)[1].split("#", 1)[0] if url and "?" in url else None
+    kinds = [("h:", host.split(".")), ("p:", path.split("/")), ("e:", last[1:] if len(last) > 1 and re.fullmatch("[A-Za-z0-9]{1,5}", last[1]) else []), ("q:", [x.split("=")[0] for x in query.split("&")] if query is not None else [])]
+    return frozenset(kind + re.sub("[0-9]+", "0", x) for kind, xs in kinds for x in xs if x)
+
+
+def brute(rows, *, least, confidence, lift, held):
+    """Verdicts of (url, block or None, fold): every combination of the tokens of every labelled URL, counted one by one."""
+    bags = Counter((tokens(u), b, f) for u, b, f in rows if b is not None)
+    n_all, b_all = sum(bags.values()), sum(n for (_, b, _), n in bags.items() if b)
+    kept = []
+    for c in {frozenset(c) for t, b, _ in bags if b for size in range(1, len(t) + 1) for c in combinations(sorted(t), size)}:
+        n, b = Counter(), Counter()
+        for (t, block, f), k in bags.items():
+            if c <= t:
+                n[f] += k
+                b[f] += k * block
+        sn, sb = sum(n.values()), sum(b.values())
+        if sb < least or sb < confidence * sn or sb * n_all < lift * b_all * sn:
+            continue
+        tried = [f for f in n if sb - b[f] >= least and sb - b[f] >= confidence * (sn - n[f])]
+        hn, hb = sum(n[f] for f in tried), sum(b[f] for f in tried)
+        if hn >= held and hb >= confidence * hn:
+            kept.append(c)
+    return ["block" if any(c <= tokens(u) for c in kept) else "allow" for u, _, _ in rows]
+
+
+def test_whole_table(spark):
+    """Fixed rules, and mined verdicts against the enumeration, over all pages."""
     sf = "/root/testdata/sf0.01"
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    got = op4_url_rules(spark, sf).collect()
-    assert sorted(r["page_id"] for r in got) == sorted(urls)
-    for r in got:
-        host, path = parts(urls[r["page_id"]])
-        verdict, name = rule(host, path)
-        assert (r["host"], r["path"], r["rule"]) == (host, path, name)
-        assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
+    got = {r["page_id"]: r for r in op4_url_rules(spark, sf).collect()}
+    assert sorted(got) == sorted(urls)
+    fixed = {i: rule(*parts(u)) for i, u in urls.items()}
+    labelled = sum(v is not None for v, _ in fixed.values())
+    mined = dict(zip(urls, brute([(u, None if fixed[i][0] is None else fixed[i][0] == "block", fixed[i][1]) for i, u in urls.items()], least=max(5, -(-labelled * 5 // 1000)), confidence=0.8, lift=1.1, held=5), strict=True))
+    for i, r in got.items():
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (*parts(urls[i]), fixed[i][1], fixed[i][0] or mined[i])
+        assert (r["precision"] is not None) == (fixed[i][0] is None and r["verdict"] == "block")
+    free = [r["verdict"] for r in got.values() if r["rule"] is None]
+    assert 0 < free.count("block") < len(free)
+
+
+def labelled_pages():
+    rows = [("spam", 1)] * 6 + [("spam/casino", 1)] * 6 + [("news", 0)] * 10 + [("news/casino", 0)] * 3 + [("blog/casino/win", 1)] * 12 + [("only/here", 1)] * 5
+    urls = [(k, f"http://h{k % 3}.org/{p}?x{k}=1", bool(b), "one" if p == "only/here" else str(k % 2)) for k, (p, b) in enumerate(rows)]
+    return urls + [(100 + k, f"http://other.org/{p}", None, None) for k, p in enumerate(("spam/new", "news/old", "win/casino", "blog", "only", ""))]
+
+
+def verdicts(spark, urls, **how):
+    df = spark.createDataFrame(urls, "page_id int, url string, bad boolean, part string")
+    return {r["page_id"]: r["verdict"] for r in judge(df, rules=(), label=F.col("bad"), fold=F.col("part"), **how).select("_in.page_id", "verdict").collect()}
 
 
 def test_mined_rules_against_enumeration(spark):
-    """Support and confidence of every token combination, counted one by one."""
-    rows = [("spam", 1)] * 6 + [("spam/casino", 1)] * 6 + [("news", 0)] * 10 + [("news/casino", 0)] * 3 + [("blog/casino/win", 1)] * 4
-    urls = [(k, f"http://h{k % 3}.org/{p}", bool(b)) for k, (p, b) in enumerate(rows)] + [(100 + k, f"http://other.org/{p}", None) for k, p in enumerate(("spam/new", "news/old", "win/casino", "blog", ""))]
-    df = spark.createDataFrame(urls, "page_id int, url string, bad boolean")
-    got = {r["page_id"]: r["verdict"] for r in judge(df, rules=(), label=F.col("bad"), min_support=0.1, min_confidence=0.9).select("_in.page_id", "verdict").collect()}
-    baskets = {k: {"h:" + x for x in u.split("/")[2].replace("0", "0").split(".")} | {"p:" + x for x in u.split("/")[3:] if x} for k, u, _ in urls}
-    baskets = {k: {"".join("0" if c.isdigit() else c for c in t) for t in b} for k, b in baskets.items()}
-    labelled = [(baskets[k], b) for k, _, b in urls if b is not None]
-    blocks = []
-    tokens = sorted(set().union(*(b for b, _ in labelled)))
-    for size in range(1, 6):
-        for c in combinations(tokens, size):
-            hit = [b for s, b in labelled if set(c) <= s]
-            if sum(hit) >= 0.1 * len(labelled) and sum(hit) >= 0.9 * len(hit):
-                blocks.append(set(c))
-    want = {k: "block" if any(c <= baskets[k] for c in blocks) else "allow" for k, _, _ in urls}
-    assert got == want and "block" in want.values() and "allow" in want.values()
+    """A token of one fold only makes no rule, however pure it is."""
+    urls = labelled_pages()
+    got = verdicts(spark, urls, min_support=0.1, min_confidence=0.9)
+    want = dict(zip([u[0] for u in urls], brute([(u, b, f) for _, u, b, f in urls], least=5, confidence=0.9, lift=1.1, held=5), strict=True))
+    assert got == want and got[100] == got[103] == "block" and got[101] == got[104] == got[105] == "allow"
+
+
+def test_urls_of_very_many_segments(spark):
+    """They add no combinations of their own: fifty segments that always come together, and fifty on one page."""
+    deep, alone = ("/".join(f"{x}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(50)) for x in ("d", "s"))
+    urls = labelled_pages() + [(200 + k, f"http://deep.org/{deep}", True, str(k % 2)) for k in range(12)] + [(300, f"http://deep.org/{alone}", True, "0"), (301, f"http://other.org/{deep.split('/')[7]}", None, None)]
+    got = verdicts(spark, urls, min_support=0.0, min_confidence=0.9)
+    assert got[100] == got[301] == "block" and got[101] == "allow"
 
 
 def test_odd(spark):
