@@ -182,6 +182,7 @@ def find(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words:
     lines = materialise(agg, "lines")
     near = near_lines(docs, lines, text=text, least=min_words, bits=sketch).select("h", F.lit(True).alias("near"))
     judged = lines.join(near, "h", "left").select("h", "o", "n", F.coalesce("near", F.lit(False)).alias("near")).where((F.col("n") > 1) | F.col("near"))
+    judged = materialise(judged, "line-judged")  # the join below is then between plain shuffles, so the places of one very common line are split
     each = occ.select("h", "doc_id", "key", "line_no").distinct().join(judged, "h")
     again = ~place.eqNullSafe(F.col("o"))
     drop = each.where(again | F.col("near")).groupBy("doc_id", "key").agg(F.collect_list("line_no").alias("drop"), F.count_if(again).alias("n_exact"), F.count_if(~again & F.col("near")).alias("n_near"))
@@ -224,9 +225,14 @@ def dedup(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", min_words
     dropped only if an earlier line is equal; with 1 that is every line that is not empty.
     Shorter lines stay.  ``exact_words`` is ``min_words`` if not given.
 
+    The edit bound is one word: a line with two words changed is not near.  A chain of
+    lines, each one word from the one before, so leaves its first line only.
+
     Null text stays null; a null id comes before all others.  Rows that repeat an id and
-    a text are one document: they lose the same lines.  Empty tables give empty results;
-    other columns pass through.
+    a text are one document: they lose the same lines.  Lines of one place in the order
+    do not tie, as text hash and line number tell them apart.  Very long texts are taken
+    whole, some hundred thousand words at a time.  Empty tables give empty results; other
+    columns pass through.
     """
     found = find(docs, text=text, doc=doc, min_words=min_words, exact_words=exact_words, sketch=sketch)
     key, drop = unused(docs, "_key"), unused(docs, "_drop")
