@@ -216,15 +216,19 @@ def _feature_counts(lm: np.ndarray):
     return run
 
 
-def learn_lexicon(train: DataFrame, lm: np.ndarray, *, n_toxic: int, n_clean: int, least_g2: float = 25.0, at_most: int = 5000) -> dict[str, float]:
-    """Log-odds of features that are significantly commoner in toxic documents, the most significant ``at_most``."""
+def learn_lexicon(train: DataFrame, lm: np.ndarray, *, n_toxic: int, n_clean: int, least_g2: float = 25.0) -> dict[str, float]:
+    """Log-odds of all features that are significantly commoner in toxic documents.
+
+    A feature needs a handful of documents to be significant, so there are fewer than the
+    labelled documents have words; their number has a bound.
+    """
     f = train.select("text", "toxic").mapInArrow(_feature_counts(lm), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     n = float(n_toxic + n_clean)
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     total = F.col("a") + F.col("b")
     g2 = 2 * (term(F.col("a"), total * (n_toxic / n)) + term(F.col("b"), total * (n_clean / n)))
     odds = F.log((F.col("a") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("b") + 0.5) / (n_clean + 1.0))
-    top = f.select("feature", odds.alias("w"), g2.alias("g2")).where((F.col("w") > 1.5) & (F.col("g2") >= least_g2)).orderBy(F.desc("g2"), "feature").limit(at_most)
+    top = f.select("feature", odds.alias("w"), g2.alias("g2")).where((F.col("w") > 1.5) & (F.col("g2") >= least_g2))
     return {r["feature"]: r["w"] for r in top.collect()}
 
 
@@ -273,6 +277,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str =
     The language model counts every document.  The classifier is fitted on at most
     ``max_labelled`` labelled rows, those of the smallest hashes of the id, so the
     labels are small enough to broadcast whatever the table's size.
+
+    Null labels and ids teach nothing; an id that is labelled twice is two examples, and a
+    document that repeats is one example each time.  Without documents of both labels
+    every score is alike.  Empty tables give such a model; extra columns are not read.
     """
     lm = language_model(count_trigrams(docs, text))
     some = (labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).alias("label_id"), (F.col(label) > 0).alias("toxic"))
@@ -296,7 +304,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str =
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """(doc_id, score), one row per input row.  Null text is empty; a row's score depends on its text alone."""
+    """(doc_id, score), one row per input row.
+
+    Null text is empty; a row's score depends on its whole text alone, however long, so
+    repeated rows tie.  Empty tables give empty results; extra columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
