@@ -41,6 +41,22 @@ def test_given_targets(spark):
     assert share["en"] == pytest.approx(0.7) and share["fr"] == pytest.approx(0.1)
 
 
+def test_a_topic_of_the_caller(spark):
+    """Long texts have no topic of their own; a column decides where one is given."""
+    df = spark.createDataFrame([(k, "word " * (5000 if k % 2 else 5), "en", "s", "ab"[k % 2]) for k in range(20)], "doc_id long, text string, lang string, source string, t string")
+    assert {r["topic"] for r in mix(df).collect()} == {"prose"}
+    out = mix(df, topic=F.col("t"), targets={"topic": {"a": 0.5, "b": 0.5}}, dimensions=("topic",)).collect()
+    assert {(r["topic"], round(r["cell_weight"], 9)) for r in out} == {("a", 0.5), ("b", 0.5)}
+
+
+def test_targets_that_no_weights_meet(spark):
+    """The gap that is left is told, not kept silent."""
+    df = spark.createDataFrame([(k, "some words", "fr" if k < 5 else "en", "one" if k < 5 else "two") for k in range(20)], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="gap"):
+        out = mix(df, targets={"lang": {"fr": 0.9, "en": 0.1}, "source": {"one": 0.5, "two": 0.5}}, dimensions=("lang", "source")).collect()
+    assert {round(r["gap"], 6) for r in out} == {0.4}
+
+
 def test_odd(spark):
     out = mix(odd(spark)).collect()
     assert len(out) == len(odd_rows()) and all(0 <= r["probability"] <= 1 for r in out)
