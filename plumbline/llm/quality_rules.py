@@ -89,17 +89,19 @@ def judge(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", host: str
           min_words: int = 10, max_removed: float = 0.5) -> DataFrame:
     """One row per input row: base figures, the lines to remove, and the verdict.
 
-    A line is over-frequent if it is in more than ``max_docs`` distinct texts of its
-    host, however large the host; ``max_share`` demands a share of them as well.
+    A line is over-frequent if it is in more than ``max_docs`` documents of its host,
+    however large the host; ``max_share`` demands a share of them as well.  Documents of
+    one and the same text count once: else a text with many copies would lose all its
+    lines, and with them every copy, which is for the duplicate operators to decide.
 
     Base rules fail a text of under ``min_words`` words, or with over a fifth of its
     words in repeated 5-word windows.  Of the others, a text is depleted, and so
     rejected, if removing its over-frequent lines takes more than ``max_removed`` of
     its words or leaves under ``min_words``.
 
-    Null text is empty text (no words: fails).  A null host is a host of its own.
-    Repeated rows give repeated results and count once.  Empty tables give empty
-    results; extra columns are not read.
+    Null text is empty text (no words: fails).  A null host is a host of its own.  Very
+    long texts are measured whole.  Repeated rows tie: they give repeated results and
+    count once.  Empty tables give empty results; extra columns are not read.
     """
     m = materialise(measure(docs, text=text, doc=doc, host=host), "quality-measured")
     often = frequent_lines(m, max_docs=max_docs, max_share=max_share)
