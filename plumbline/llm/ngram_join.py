@@ -191,8 +191,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 _CHUNK = 1 << 17
 #: Size classes: ratio of neighbouring ones, and how many apart two documents that link may be.
 _RATIO, _APART = 1.1, 4
-#: Documents that a column offers as partners in one turn.
-LEADERS = 3
+#: Documents that a column offers as partners in one turn; open documents that are multiplied at once.
+LEADERS, FEW = 3, 4096
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,8 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
         n = np.asarray([len(x) for x in sets], np.int64)
         values = pa.array(signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), values)], names=["doc_id", "n", "columns"])
+        columns = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), values)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), batch.column(2), columns], names=["doc_id", "n", "central", "columns"])
 
 
 def _merged(docs: DataFrame, links: DataFrame) -> DataFrame:
@@ -241,25 +242,24 @@ def hidden_links(texts: DataFrame, links: DataFrame) -> DataFrame:
     Documents of one label are known to be one component.  Turns of leaders join what is
     alike, each in proportion to the documents' columns.  A document without three
     quarters of its columns under other labels is finished, as labels only merge.  Turns
-    end when they join little; the rest is multiplied, so results are the same with any
-    number of turns.
+    end when few documents are open or little joins; the rest is multiplied, so results
+    are the same with any number of turns.
     """
-    listed = texts.mapInArrow(_listed, "doc_id long, n long, columns array<long>").join(texts.groupBy("doc_id").agg(F.max("central").alias("central")), "doc_id")
+    listed = texts.select("doc_id", "text", "central").mapInArrow(_listed, "doc_id long, n long, central boolean, columns array<long>")
     docs = materialise(listed.withColumn("c", F.col("doc_id")), "ngram-columns")
-    found, new, turn = links, links, 0
+    found, n_new, turn = links, 0, 0
     while True:
-        merged = _merged(docs, new).withColumnRenamed("c", "g")
-        old, docs = docs, materialise(docs.join(merged, docs["c"] == merged["g"], "left").withColumn("c", F.coalesce("m", "c")).drop("g", "m"), "ngram-columns")
-        discard(old)
         met = _met(docs, turn)
         n_open = met.count()
         if not n_open:
             return found
-        if turn and new.count() * 20 < n_open:
+        if n_open <= FEW or turn and n_new * 20 < n_open:
             return found.unionByName(block_links(docs.join(met.groupBy("doc_id").agg(F.max("open").alias("open")), "doc_id")))
+        new = materialise(verified(met.select(F.col("doc_id").alias("a"), F.explode("leads").alias("b")), texts), "ngram-links")
+        n_new = new.count()
         docs = docs.join(met.select("doc_id"), "doc_id", "left_semi")
-        pairs = met.select("doc_id", F.explode("leads").alias("lead")).select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
-        new = materialise(verified(pairs, texts), "ngram-links")
+        merged = _merged(docs, new if turn else new.unionByName(links)).withColumnRenamed("c", "g")
+        docs = materialise(docs.join(merged, docs["c"] == merged["g"], "left").withColumn("c", F.coalesce("m", "c")).drop("g", "m"), "ngram-columns")
         found = found.unionByName(new)
         turn += 1
 

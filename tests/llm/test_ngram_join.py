@@ -1,5 +1,6 @@
 import random
 
+from plumbline.llm import ngram_join
 from plumbline.llm.ngram_join import join, op5_ngram_join
 
 from .odd import empty, odd, odd_rows, rows_of
@@ -66,6 +67,26 @@ def test_common_passages_and_large_groups(spark):
     assert result(join(df, block_rows=50, sketch=10)) == brute(rows)
 
 
+def test_leaders_and_blocks(spark, monkeypatch):
+    """Near copies of one text, farther ones that only chains join, and cuts of it with words of their own; with turns of leaders and without."""
+    r = random.Random(7)
+    word = lambda: f"w{r.randrange(5000)}"
+    base = [word() for _ in range(100)]
+    rows = []
+    for k in range(160):
+        x = list(base)
+        for _ in range(r.choice((0, 1, 2, 3, 4, 9))):
+            x[r.randrange(len(x))] = word()
+        rows.append((k, " ".join(x)))
+    rows += [(k, " ".join(base[: r.randrange(70, 100)] + [word() for _ in range(r.randrange(0, 30))])) for k in range(200, 260)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert 5 < len({c for _, _, c in want}) < 200
+    for few in (10, 4096):
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        assert result(join(df, block_rows=3000)) == want
+
+
 def test_odd(spark):
     rows = [(i, t) for i, t, *_ in odd_rows()]
     assert result(join(odd(spark))) == brute(rows)
