@@ -69,13 +69,20 @@ def require_single(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def valid_sites(df: DataFrame, *, least: int, metric: str, bundle: str) -> DataFrame:
-    """Sites with at least ``least`` raw control rows of a metric and bundle."""
+    """Sites with at least ``least`` raw control rows of a metric and bundle; see ``require_sites``."""
     where = (F.col("disease") == "HC") & (F.col("metric") == metric) & (F.col("bundle") == bundle)
     if "harmonization" in df.columns:
         where &= F.col("harmonization") == "raw"
     return df.where(where).groupBy("site").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def require_sites(sites: DataFrame) -> DataFrame:
+    """``sites`` if there is one, else an error."""
+    if sites.isEmpty():
+        raise ValueError("no site has enough controls")
+    return sites
+
+
 def choose_bundles(available: Sequence[str], wanted: Sequence[str] | str | None = None) -> list[str]:
     """The wanted bundles that exist, else the first: by default the first whose name has ``skeleton``; ``all`` for all."""
     names = sorted(available)
@@ -97,3 +104,22 @@ def manufacturer(site: Column, *, reference: str | None = None, known: Mapping[s
     if known:
         guess = F.coalesce(F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[site], guess)
     return guess if reference is None else F.when(site == reference, "Reference").otherwise(guess)
+
+
+def label_site(site: Column, *, reference: str | None = None, reference_name: str | None = None, known: Mapping[str, str] | None = None) -> Column:
+    """A site's name without its maker: the reference as named, known sites without theirs, others in lower case without the one they hold."""
+    low = F.lower(site)
+    plain = lambda maker: F.replace(F.replace(low, F.lit(f"_{maker}"), F.lit("")), F.lit("3t"), F.lit("3T"))
+    out = F.when(low.contains("philips"), plain("philips")).when(low.contains("siemens"), plain("siemens")).when(low.contains("ge"), plain("ge")).otherwise(site)
+    if reference is not None:
+        out = F.when(site == reference, F.lit(reference_name) if reference_name else site).otherwise(out)
+    for name, maker in (known or {}).items():
+        out = F.when(site == name, F.lit(reference_name or name.replace(f"_{maker}", ""))).otherwise(out)
+    return out
+
+
+def site_makers(metadata: DataFrame, reference: str) -> DataFrame:
+    """(site, manufacturer) of a metadata table whose 14th column is the maker and whose 16th is the site; blank makers are unknown."""
+    maker, site = F.col(f"`{metadata.columns[13]}`"), F.col(f"`{metadata.columns[15]}`")
+    named = F.when(site == reference, "Reference").when(F.coalesce(maker, F.lit("")) == "", "unknown").otherwise(maker)
+    return metadata.select(site.alias("site"), named.alias("manufacturer")).where(F.col("site").isNotNull()).groupBy("site").agg(F.max("manufacturer").alias("manufacturer"))

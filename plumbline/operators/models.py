@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.observations import require
 from . import filters
 from .regression import Covariates, dot, fit, gram, nan_if_null, names_of, residuals, solve, with_design, with_ridge
 from .site_effect import empirical_bayes, shrunk
@@ -52,9 +55,12 @@ class Model:
 
     def curve(self, ages: Column, *, moving: bool = True) -> DataFrame:
         """(bundle, age, value) at the ages of an array column."""
+        return self.curve_at(self.params.select("bundle", F.explode(ages).alias("age")), moving=moving)
+
+    def curve_at(self, grid: DataFrame, *, moving: bool = True) -> DataFrame:
+        """(bundle, age, value) at the (bundle, age) of a table."""
         names = names_of(self.cov, self._prefix(moving))
-        grid = self.params.select("bundle", *names, F.explode(ages).alias("age"))
-        return grid.select("bundle", "age", dot(self.cov.at(F.col("age").cast("double")), [F.col(c) for c in names]).alias("value"))
+        return grid.select("bundle", "age").join(self.params.select("bundle", *names), "bundle").select("bundle", "age", dot(self.cov.at(F.col("age").cast("double")), [F.col(c) for c in names]).alias("value"))
 
     def _prefix(self, moving: bool) -> str:
         return ""
@@ -98,16 +104,78 @@ class Clinical(Model):
         return F.col("ref_std") / F.col("mov_delta") * (z - F.col("mov_gamma")) + self._line("ref_")
 
 
-def prepared(ref: DataFrame, mov: DataFrame, options: Options, degree: int) -> tuple[DataFrame, DataFrame, Covariates]:
-    """Rows to fit on and the covariates that both sites allow.
+def profile(ref: DataFrame, mov: DataFrame) -> list:
+    """A row a side and bundle, from one job: rows, sites, metrics and ages, and of the controls their number, ages and levels."""
+    cols = ["site", "metric", "bundle", "age", "sex", "handedness", "disease"]
+    both = ref.select(*cols, F.lit("ref").alias("side")).unionByName(mov.select(*cols, F.lit("mov").alias("side")))
+    hc = lambda c: F.when(F.col("disease") == "HC", F.col(c))
+    out = [F.count_if(F.col("disease") == "HC").alias("n_hc"), F.min(hc("age")).alias("hc_age_min"), F.max(hc("age")).alias("hc_age_max")]
+    for c in ("site", "metric", "age"):
+        out += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+    for c in ("sex", "handedness"):
+        out += [F.min(hc(c)).alias(f"{c}_min"), F.max(hc(c)).alias(f"{c}_max"), F.count_if((F.col("disease") == "HC") & F.coalesce(~F.col(c).isin(1, 2), F.lit(True))).alias(f"{c}_bad")]
+    return both.groupBy("side", "bundle").agg(*out).collect()
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """Rows to fit on, the covariates that both sites allow, and what is fitted."""
+
+    ref: DataFrame
+    mov: DataFrame
+    cov: Covariates
+    meta: Mapping[str, Any]
+
+
+def prepared(ref: DataFrame, mov: DataFrame, options: Options, degree: int) -> Prepared:
+    """Controls only of the moving site; of the reference all rows, unless asked otherwise.
 
-    Controls only of the moving site; of the reference all rows, unless asked otherwise.
+    An age limit is the range of all moving rows, patients too.  Each side must have one
+    site, both one metric and some bundle in common; only common bundles are fitted.
     """
-    mov = filters.controls(mov)
+    require(ref)
+    require(mov)
+    rows = profile(ref, mov)
+    one = lambda side, c: {x for r in rows if r["side"] == side for x in (r[f"{c}_min"], r[f"{c}_max"])}
+    for side, name in (("ref", "reference"), ("mov", "moving")):
+        if len(one(side, "site")) != 1:
+            raise ValueError(f"the {name} rows must be of one site")
+    if len(one("ref", "metric") | one("mov", "metric")) != 1:
+        raise ValueError("both sides must have one and the same metric")
     ref = filters.controls(ref) if options.ref_controls_only else ref
-    ref = filters.limit_age_range(ref, mov) if options.limit_age else ref
-    cov = Covariates(degree if options.degree is None else options.degree, options.sex, options.handedness)
-    return ref, mov, cov.only(filters.usable_covariates(ref, mov))
+    if options.limit_age:
+        ages = [x for r in rows if r["side"] == "mov" for x in (r["age_min"], r["age_max"]) if x is not None]
+        ref = ref.where(F.col("age").between(min(ages), max(ages))) if ages else ref.limit(0)
+    if options.limit_age or options.ref_controls_only:
+        rows = profile(ref, mov)
+    bundles = sorted({r["bundle"] for r in rows if r["side"] == "ref"} & {r["bundle"] for r in rows if r["side"] == "mov" and r["n_hc"]})
+    if not bundles:
+        raise ValueError("the sites have no bundle in common")
+    usable = {}
+    for c in ("sex", "handedness"):
+        if any(r[f"{c}_bad"] for r in rows):
+            raise ValueError(f"{c} has values other than 1 and 2")
+        usable[c] = not any(r["n_hc"] and r[f"{c}_min"] == r[f"{c}_max"] for r in rows)
+    cov = Covariates(degree if options.degree is None else options.degree, options.sex, options.handedness).only(usable)
+    ages = [x for r in rows if r["side"] == "mov" and r["n_hc"] for x in (r["hc_age_min"], r["hc_age_max"])]
+    meta = {"ref_site": one("ref", "site").pop(), "mov_site": one("mov", "site").pop(), "metric_name": one("mov", "metric").pop(), "min_age": min(ages), "max_age": max(ages),
+            "use_empirical_bayes": options.bayes, "limit_age_range": options.limit_age}
+    return Prepared(ref.where(F.col("bundle").isin(bundles)), filters.controls(mov).where(F.col("bundle").isin(bundles)), cov, meta)
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` held for the passes of one fit, which otherwise compute it anew each time."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table of a row a bundle, computed now; there are as many as regions of the brain, whatever the rows."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def metadata(name: str, ref: DataFrame, mov: DataFrame, cov: Covariates, options: Options) -> DataFrame:
@@ -133,48 +201,51 @@ def sides(ref: DataFrame, mov: DataFrame) -> DataFrame:
     return ref.select(*cols, F.lit("ref").alias("side")).unionByName(mov.select(*cols, F.lit("mov").alias("side")))
 
 
-def pairwise_effects(ref: DataFrame, mov: DataFrame, cov: Covariates, ridge: float = 0.0) -> DataFrame:
-    """(bundle, intercept, betas, sigma, moments): bundles that both sites have."""
-    both = sides(ref, mov)
-    params = fit(both, cov, ridge=ridge).drop("n")
+def pairwise_effects(both: DataFrame, cov: Covariates, ridge: float = 0.0, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(bundle, intercept, betas, sigma, moments) of ``sides``: bundles that both have.  ``settle`` may compute what the second pass uses."""
+    params = settle(fit(both, cov, ridge=ridge).drop("n"))
     names = names_of(cov)
     rows = residuals(with_design(both, cov), params, names)
     return rows.groupBy("bundle", *names).agg(*moments(rows)).where((F.col("n_ref") > 0) & (F.col("n_mov") > 0))
 
 
 def fit_pairwise(ref: DataFrame, mov: DataFrame, options: Options = Options()) -> Pairwise:
-    ref, mov, cov = prepared(ref, mov, options, 1)
-    e = pairwise_effects(ref, mov, cov, options.ridge).withColumns({"n": F.col("n_mov"), "gamma_hat": F.col("avg_mov") / F.col("sigma"), "delta_hat": F.col("std_mov") / F.col("sigma")})
+    p = prepared(ref, mov, options, 1)
+    with kept(sides(p.ref, p.mov)) as both:
+        e = small(pairwise_effects(both, p.cov, options.ridge, small))
+    e = e.withColumns({"n": F.col("n_mov"), "gamma_hat": F.col("avg_mov") / F.col("sigma"), "delta_hat": F.col("std_mov") / F.col("sigma")})
     gamma, delta = F.col("gamma_hat"), F.col("delta_hat")
     if options.bayes:
         e = e.join(empirical_bayes(e).select("bundle", "gamma_star", "delta_star"), "bundle")
         gamma, delta = F.col("gamma_star"), F.col("delta_star")
-    params = e.select("bundle", *names_of(cov), "sigma", F.col("avg_ref").alias("ref_gamma"), (F.col("std_ref") / F.col("sigma")).alias("ref_delta"), (gamma * F.col("sigma")).alias("mov_gamma"), delta.alias("mov_delta"))
-    return Pairwise(params, cov, {"name": "pairwise", "regul": options.ridge, "options": options})
+    params = e.select("bundle", *names_of(p.cov), "sigma", F.col("avg_ref").alias("ref_gamma"), (F.col("std_ref") / F.col("sigma")).alias("ref_delta"), (gamma * F.col("sigma")).alias("mov_gamma"), delta.alias("mov_delta"))
+    return Pairwise(small(params), p.cov, {"name": "pairwise", **p.meta, "regul": options.ridge, "options": options})
 
 
 def reference_params(ref: DataFrame, cov: Covariates, ridge: float) -> DataFrame:
     """(bundle, ref_intercept, ref_betas, ref_std)."""
     names = names_of(cov, "ref_")
-    params = fit(ref, cov, ridge=ridge, prefix="ref_").drop("n")
+    params = small(fit(ref, cov, ridge=ridge, prefix="ref_").drop("n"))
     return residuals(with_design(ref, cov), params, names).groupBy("bundle", *names).agg(nan_if_null(F.stddev_samp("residual")).alias("ref_std"))
 
 
 def fit_clinical(ref: DataFrame, mov: DataFrame, options: Options = Options()) -> Clinical:
     from .tuning import tune
 
-    ref, mov, cov = prepared(ref, mov, options, 2)
-    of_ref = reference_params(ref, cov, options.ridge_ref)
-    ridge = tune(ref, mov, cov, ridge_ref=options.ridge_ref, tau=options.tau).first()["ridge"] if options.ridge_mov == -1 else options.ridge_mov
-    r_names, m_names = names_of(cov, "ref_"), names_of(cov, "mov_")
-    grams = gram(with_design(mov, cov), cov.size).drop("n").join(of_ref, "bundle")
-    params = solve(with_ridge(grams, cov.size, ridge, [F.col(c) for c in r_names]), cov.size, m_names)
-    z = (F.col("residual") / F.col("ref_std")).alias("z")
-    rows = residuals(with_design(mov, cov), params, m_names).select("bundle", *r_names, "ref_std", *m_names, "residual", z)
-    e = rows.groupBy("bundle", *r_names, "ref_std", *m_names).agg(nan_if_null(F.stddev_samp("residual")).alias("mov_std"), F.avg("z").alias("mov_gamma"), nan_if_null(F.stddev_samp("z")).alias("delta_hat"), F.count("*").alias("n"))
+    p = prepared(ref, mov, options, 2)
+    cov, r_names, m_names = p.cov, names_of(p.cov, "ref_"), names_of(p.cov, "mov_")
+    with kept(sides(p.ref, p.mov)) as both:
+        ref, mov = both.where("side = 'ref'"), both.where("side = 'mov'")
+        of_ref = small(reference_params(ref, cov, options.ridge_ref))
+        ridge = tune(ref, mov, cov, ridge_ref=options.ridge_ref, tau=options.tau).first()["ridge"] if options.ridge_mov == -1 else options.ridge_mov
+        grams = gram(with_design(mov, cov), cov.size).drop("n").join(of_ref, "bundle")
+        params = small(solve(with_ridge(grams, cov.size, ridge, [F.col(c) for c in r_names]), cov.size, m_names))
+        z = (F.col("residual") / F.col("ref_std")).alias("z")
+        rows = residuals(with_design(mov, cov), params, m_names).select("bundle", *r_names, "ref_std", *m_names, "residual", z)
+        e = small(rows.groupBy("bundle", *r_names, "ref_std", *m_names).agg(nan_if_null(F.stddev_samp("residual")).alias("mov_std"), F.avg("z").alias("mov_gamma"), nan_if_null(F.stddev_samp("z")).alias("delta_hat"), F.count("*").alias("n")))
     delta = shrunk(F.col("delta_hat"), F.col("n"), options.nu) if options.bayes else F.col("delta_hat")
     out = e.select("bundle", *r_names, "ref_std", *m_names, "mov_std", "mov_gamma", delta.alias("mov_delta"))
-    return Clinical(out, cov, {"name": "clinical", "regul_ref": options.ridge_ref, "regul_mov": ridge, "nu": options.nu, "tau": options.tau, "options": options})
+    return Clinical(out, cov, {"name": "clinical", **p.meta, "regul_ref": options.ridge_ref, "regul_mov": ridge, "nu": options.nu, "tau": options.tau, "options": options})
 
 
 METHODS = {"pairwise": fit_pairwise, "clinical": fit_clinical}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import controls
-from .models import Model, sides
+from .models import Model, kept, sides, small
 from .regression import Covariates, fit, names_of, residuals, with_design
 
 
@@ -19,13 +19,13 @@ def gaussian_distance(m1: Column, s1: Column, m2: Column, s2: Column) -> Column:
 def distances(ref: DataFrame, mov: DataFrame, cov: Covariates) -> DataFrame:
     """(bundle, distance, n_hc): distance of the sites' controls about the reference's regression.
 
-    One pass over the rows for all bundles.  NaN where a side has one row or none.
+    Two passes over the held rows for all bundles.  NaN where a side has one row or none.
     """
-    ref, mov = controls(ref), controls(mov)
-    params = fit(ref, cov).drop("n")
-    rows = residuals(with_design(sides(ref, mov), cov), params, names_of(cov))
-    at = lambda s: F.when(F.col("side") == s, F.col("residual"))
-    m = rows.groupBy("bundle").agg(*[f(at(s)).alias(f"{n}_{s}") for s in ("ref", "mov") for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))])
+    with kept(sides(controls(ref), controls(mov))) as both:
+        params = small(fit(both.where("side = 'ref'"), cov).drop("n"))
+        rows = residuals(with_design(both, cov), params, names_of(cov))
+        at = lambda s: F.when(F.col("side") == s, F.col("residual"))
+        m = small(rows.groupBy("bundle").agg(*[f(at(s)).alias(f"{n}_{s}") for s in ("ref", "mov") for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))]))
     d = gaussian_distance(F.col("m_ref"), F.col("s_ref"), F.col("m_mov"), F.col("s_mov"))
     return m.select("bundle", F.when((F.col("n_ref") > 1) & (F.col("n_mov") > 1), d).otherwise(float("nan")).alias("distance"), F.col("n_mov").alias("n_hc"))
 
@@ -59,3 +59,8 @@ def window_effect(reference: DataFrame, site: DataFrame) -> DataFrame:
     pooled = F.sqrt((F.col("rd") * F.col("rd") + F.col("deviation") * F.col("deviation")) / 2)
     gap = F.col("ra") - F.col("average")
     return site.join(r, ["bundle", "centre"]).select("bundle", "centre", gap.alias("mean_error"), (F.col("rd") - F.col("deviation")).alias("std_error"), F.try_divide(gap, pooled).alias("effect_size"))
+
+
+def subjects_checked(mov: DataFrame) -> int:
+    """Distinct subjects among the moving controls, as the quality report counts them."""
+    return controls(mov).agg(F.count_distinct("sid")).first()[0]

@@ -10,7 +10,7 @@ from .regression import Covariates, dot, fit, names_of, with_design
 
 def hashed(sid: Column) -> Column:
     """An order of numeric ids that looks random and is the same everywhere."""
-    return F.pmod(sid.cast("long") * F.lit(2654435761), F.lit(4294967296))
+    return F.pmod(sid.try_cast("long") * F.lit(2654435761), F.lit(4294967296))
 
 
 def sample_subjects(df: DataFrame, most: int) -> DataFrame:

@@ -32,3 +32,18 @@ def compare(df: DataFrame, other: DataFrame) -> DataFrame:
     out = j.select(*df.columns, "mean_ref_harmonized", gap.alias("difference_harmonized"), F.abs(F.least(gap, F.lit(0.0))).alias("err_lower"), F.greatest(gap, F.lit(0.0)).alias("err_upper"))
     site = Window.partitionBy("site", "bundle", "metric")
     return out.withColumn("uncertainty", F.stddev_samp("difference_harmonized").over(site))
+
+
+def output(ref: DataFrame, mov: DataFrame, harmonized: DataFrame) -> DataFrame:
+    """The table of a single-subject run: both sites as they are, the reference once more under the method's name, and the harmonized rows."""
+    raw = lambda df: df if "harmonization" in df.columns else df.withColumn("harmonization", F.lit("raw"))
+    parts = [raw(ref), raw(mov), ref.withColumn("harmonization", F.lit("single_subject")), harmonized]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def bundle_data(mov: DataFrame, method: str = "mean") -> DataFrame:
+    """(sid, average, variability): what each subject is scaled from."""
+    return subject_spread(mov, method).select("sid", "average", "variability")

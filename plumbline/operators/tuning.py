@@ -65,3 +65,8 @@ def leave_one_out(ref: DataFrame, mov: DataFrame, cov: Covariates, ridges: list[
     seen = mov.groupBy("bundle", "sid").agg(F.min_by("mean", "age").alias("mean"), F.min("age").alias("age"))
     error = F.col("mean") - dot(cov.at(F.col("age").cast("double")), [F.col(c) for c in m_names])
     return params.join(seen, ["bundle", "sid"]).groupBy("ridge").agg(F.avg(error * error).alias("mse"))
+
+
+def best_ridge(errors: DataFrame) -> DataFrame:
+    """One row: the ridge of the least error of ``leave_one_out``, the smaller one of equals, and that error."""
+    return errors.agg(F.min(F.struct("mse", "ridge")).alias("x")).select("x.ridge", "x.mse")

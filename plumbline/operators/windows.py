@@ -1,22 +1,32 @@
 """Age windows and the curves drawn from them.
 
-Windows are chosen on the counts per distinct age, which are few; rows are then joined
-once to the windows that hold their age, never to all centres.
+A centre is a whole year, so how far a window must be widened to hold an age depends on
+two whole numbers only, the years half a width below and above it.  Windows are chosen on
+the counts per such pair: about two a year, however many rows and real-valued ages there
+are.  Rows are then joined once to the windows that hold their pair, never to all centres.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .simulate import hashed
+
 STATIC, DYNAMIC, NOT_DYNAMIC = "static", "dynamic", "not_dynamic"
 MOST_STEPS = 50
 
 
-def window_ages(df: DataFrame, *, width: float = 5, least: int = 10, mode: str = DYNAMIC, by: Sequence[str] = ("bundle",)) -> DataFrame:
-    """(group..., age, centre, widened): the ages in each centre's window.
+def _years(width: float) -> dict[str, Column]:
+    """``_up`` and ``_dn``: the first centre not above, the last not below an age's half width."""
+    age = F.col("age").cast("double")
+    return {"_up": F.ceil(age - width / 2).cast("int"), "_dn": F.floor(age + width / 2).cast("int")}
+
+
+def window_years(df: DataFrame, *, width: float = 5, least: int = 10, mode: str = DYNAMIC, by: Sequence[str] = ("bundle",)) -> DataFrame:
+    """(group..., _up, _dn, centre, widened): the pairs of years in each centre's window.
 
     Centres are whole years from the least age up to, not with, the greatest.  A window
     of more rows than ``least`` stays; one of exactly ``least`` is left out; one of fewer
@@ -24,23 +34,23 @@ def window_ages(df: DataFrame, *, width: float = 5, least: int = 10, mode: str =
     never widens; ``static`` keeps every centre as it is.
     """
     by = list(by)
-    counts = df.where(F.col("age").isNotNull()).groupBy(*by, "age").agg(F.count("*").alias("n"))
-    bounds = counts.groupBy(*by).agg(F.min("age").cast("int").alias("lo"), F.max("age").cast("int").alias("hi")).where(F.col("lo") < F.col("hi"))
-    grid = counts.join(bounds, by).select(*by, "age", "n", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("centre")).withColumn("far", F.abs(F.col("age") - F.col("centre")))
-    half = width / 2
+    counts = df.where(F.col("age").isNotNull()).withColumns(_years(width)).groupBy(*by, "_up", "_dn").agg(F.count("*").alias("n"), F.min("age").alias("least_age"), F.max("age").alias("greatest_age"))
+    bounds = counts.groupBy(*by).agg(F.min("least_age").cast("int").alias("lo"), F.max("greatest_age").cast("int").alias("hi")).where(F.col("lo") < F.col("hi"))
+    grid = counts.join(bounds, by).select(*by, "_up", "_dn", "n", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("centre"))
+    grid = grid.withColumn("steps", F.greatest(F.lit(0), F.col("_up") - F.col("centre"), F.col("centre") - F.col("_dn")))
     if mode == STATIC:
-        return grid.where(F.col("far") <= half).select(*by, "age", "centre", F.lit(0).alias("widened"))
-    so_far = F.sum("n").over(Window.partitionBy(*by, "centre").orderBy("far").rangeBetween(Window.unboundedPreceding, 0))
+        return grid.where(F.col("steps") == 0).select(*by, "_up", "_dn", "centre", F.lit(0).alias("widened"))
+    so_far = F.sum("n").over(Window.partitionBy(*by, "centre").orderBy("steps").rangeBetween(Window.unboundedPreceding, 0))
     spec = grid.withColumn("so_far", so_far).groupBy(*by, "centre").agg(
-        F.coalesce(F.sum(F.when(F.col("far") <= half, F.col("n"))), F.lit(0)).alias("inside"), F.min(F.when(F.col("so_far") >= least, F.col("far"))).alias("reach"))
-    steps = F.when(F.col("reach").isNull(), MOST_STEPS).otherwise(F.least(F.lit(MOST_STEPS), F.greatest(F.lit(0), F.ceil(F.col("reach") - half).cast("int"))))
+        F.coalesce(F.sum(F.when(F.col("steps") == 0, F.col("n"))), F.lit(0)).alias("inside"), F.min(F.when(F.col("so_far") >= least, F.col("steps"))).alias("reach"))
+    steps = F.least(F.lit(MOST_STEPS), F.coalesce("reach", F.lit(MOST_STEPS)))
     spec = spec.where(F.col("inside") != least).select(*by, "centre", (F.lit(0) if mode == NOT_DYNAMIC else F.when(F.col("inside") > least, 0).otherwise(steps)).alias("widened"))
-    return grid.join(spec, [*by, "centre"]).where(F.col("far") <= half + F.col("widened")).select(*by, "age", "centre", "widened")
+    return grid.join(spec, [*by, "centre"]).where(F.col("steps") <= F.col("widened")).select(*by, "_up", "_dn", "centre", "widened")
 
 
-def windows(df: DataFrame, *, by: Sequence[str] = ("bundle",), **how) -> DataFrame:
+def windows(df: DataFrame, *, width: float = 5, by: Sequence[str] = ("bundle",), **how) -> DataFrame:
     """Rows once for each window that holds them, with ``centre`` and ``widened``."""
-    return df.join(window_ages(df, by=by, **how), [*by, "age"])
+    return df.withColumns(_years(width)).join(window_years(df, width=width, by=by, **how), [*by, "_up", "_dn"]).drop("_up", "_dn")
 
 
 def trimmed(df: DataFrame, *, width: float = 5, least: int = 10, low: float = 0.05, high: float = 0.95, most: int | None = None, by: Sequence[str] = ("bundle",)) -> DataFrame:
@@ -50,7 +60,7 @@ def trimmed(df: DataFrame, *, width: float = 5, least: int = 10, low: float = 0.
     cut = w.groupBy(*key).agg(F.count("*").alias("_n"), F.percentile("mean", F.array(F.lit(low), F.lit(high))).alias("_p"))
     out = w.join(cut, key).where((F.col("_n") <= least) | (F.col("widened") > 0) | ((F.col("mean") > F.col("_p")[0]) & (F.col("mean") < F.col("_p")[1])))
     if most is not None:
-        first = Window.partitionBy(*key).orderBy(F.xxhash64("sid", F.lit(most)), "sid")
+        first = Window.partitionBy(*key).orderBy(F.coalesce(hashed(F.col("sid")), F.xxhash64("sid")), "sid")
         out = out.withColumn("_r", F.row_number().over(first)).where((F.col("_r") <= most) | (F.col("widened") > 0)).drop("_r")
     return out.drop("_n", "_p")
 

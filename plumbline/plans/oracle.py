@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from ..operators.tuning import candidates
 from ..sources.cohort import COHORT_SQL, MOVING, REFERENCE, TABLES, VALUES
-from .queries import FINE, LOO_RIDGES, PERCENTILES, SHIFT, SITES_KNOWN
+from .queries import BUNDLES, FINE, LOO_RIDGES, PERCENTILES, SITES_KNOWN
 
 D = "::DOUBLE"
 EPS = f"2.220446049250313e-16{D}"
@@ -26,7 +26,7 @@ def sql(ctes: list[str], final: str) -> str:
 
 
 def r(x: str, digits: int = 5, name: str = "") -> str:
-    return f"round({x} + {SHIFT!r}{D}, {digits}) AS {name or x}"
+    return f"round(round(({x}) * 1e{digits + 3}{D}) / 1000.0{D}) / 1e{digits}{D} + 0.0{D} AS {name or x}"
 
 
 def xs(degree: int) -> list[str]:
@@ -53,15 +53,16 @@ def ridge(name: str, source: str, degree: int, weight: str, prior: str) -> str:
 
 
 def solve(name: str, source: str, degree: int, prefix: str = "", keep: str = "bundle") -> str:
-    n, e = 3 + degree, []
+    """A column after the other, each in a query of its own, so that no expression holds another's text."""
+    n, names, q = 3 + degree, [prefix + b for b in BETAS[degree]], source
+    steps = []
     for j in range(n):
-        e.append(f"sqrt(a{j}_{j}{''.join(f' - l{j}_{k} * l{j}_{k}' for k in range(j))}) AS l{j}_{j}")
-        e += [f"(a{j}_{i}{''.join(f' - l{i}_{k} * l{j}_{k}' for k in range(j))}) / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, n)]
-        e.append(f"(b{j}{''.join(f' - l{j}_{k} * y{k}' for k in range(j))}) / l{j}_{j} AS y{j}")
-    names = [prefix + b for b in BETAS[degree]]
-    for j in reversed(range(n)):
-        e.append(f"(y{j}{''.join(f' - l{k}_{j} * {names[k]}' for k in range(j + 1, n))}) / l{j}_{j} AS {names[j]}")
-    return f"{name} AS (SELECT {keep}, {', '.join(names)} FROM (SELECT {keep}, {', '.join(e)} FROM {source}))"
+        steps.append([f"sqrt(a{j}_{j}{''.join(f' - l{j}_{k} * l{j}_{k}' for k in range(j))}) AS l{j}_{j}"])
+        steps.append([f"(a{j}_{i}{''.join(f' - l{i}_{k} * l{j}_{k}' for k in range(j))}) / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, n)] + [f"(b{j}{''.join(f' - l{j}_{k} * y{k}' for k in range(j))}) / l{j}_{j} AS y{j}"])
+    steps += [[f"(y{j}{''.join(f' - l{k}_{j} * {names[k]}' for k in range(j + 1, n))}) / l{j}_{j} AS {names[j]}"] for j in reversed(range(n))]
+    for step in steps:
+        q = f"(SELECT *, {', '.join(step)} FROM {q})"
+    return f"{name} AS MATERIALIZED (SELECT {keep}, {', '.join(names)} FROM {q})"
 
 
 def line(degree: int, prefix: str = "", begin: int = 0) -> str:
@@ -89,10 +90,28 @@ BAYES = [*PRIORS,
     "es AS (SELECT bundle, g AS gamma_star, sqrt(d) AS delta_star FROM eb WHERE it = (SELECT max(it) FROM eb))"]
 PAIRWISE = [*EFFECTS, *BAYES, f"pm AS (SELECT bundle, {', '.join(BETAS[1])}, sigma, avg_ref AS ref_gamma, std_ref / sigma AS ref_delta, gamma_star * sigma AS mov_gamma, delta_star AS mov_delta FROM pe JOIN es USING (bundle))"]
 # Clinical, degree 2
-REF2 = [design("rd", "ref", 2), gram("rg", "rd", 2), solve("rb", "rg", 2, "ref_")]
-MOV2 = [*REF2, design("md", "mov", 2), gram("mg", "md", 2), "mj AS (SELECT * FROM mg JOIN rb USING (bundle))", ridge("mr", "mj", 2, f"0.01{D}", "ref_"), solve("mb", "mr", 2, "mov_")]
 R2, M2 = (", ".join(p + b for b in BETAS[2]) for p in ("ref_", "mov_"))
-CLINICAL = [*MOV2, f"rs AS (SELECT bundle, {R2}, stddev_samp(mean - {line(2, 'ref_')}) AS ref_std FROM rd JOIN rb USING (bundle) GROUP BY ALL)",
+REF2 = [design("rd", "ref", 2), gram("rg", "rd", 2), solve("rb", "rg", 2, "ref_")]
+
+
+def tune(source: str) -> list[str]:
+    """The objective of every candidate ridge for a moving site, and the ridge chosen; after REF2."""
+    return [f"nar AS ({source})", design("nd", "nar", 2), gram("ng", "nd", 2),
+        f"nl AS (SELECT * FROM ng JOIN rb USING (bundle) CROSS JOIN (SELECT unnest([{', '.join(repr(x) + D for x in candidates())}]) AS ridge))",
+        ridge("nr", "nl", 2, "ridge", "ref_"), solve("nb", "nr", 2, "mov_", f"bundle, ridge, {R2}"),
+        "grid AS (SELECT a::DOUBLE AS a, a IN (SELECT floor(age)::BIGINT FROM nar UNION SELECT ceil(age)::BIGINT FROM nar) AS seen FROM (SELECT unnest(range((SELECT floor(min(age))::BIGINT FROM ref), (SELECT ceil(max(age))::BIGINT FROM ref) + 1)) AS a))",
+        f"gap AS (SELECT bundle, ridge, seen, {at(2, 'ref_', 'a')} - {at(2, 'mov_', 'a')} AS d FROM nb CROSS JOIN grid)",
+        f"obj AS (SELECT bundle, ridge, sign(abs(min(d) FILTER (seen)) / 2 - abs(min(d))) + sign(abs(max(d)) - abs(max(d) FILTER (seen)) * 2) + 2.0{D} AS v FROM gap GROUP BY ALL)",
+        f"lam AS MATERIALIZED (SELECT coalesce(min(ridge), 1e10{D}) AS ridge FROM (SELECT ridge FROM obj GROUP BY ridge HAVING sum(v) = 0))"]
+
+
+def mov2(weight: str) -> list[str]:
+    return [design("md", "mov", 2), gram("mg", "md", 2), "mj AS (SELECT * FROM mg JOIN rb USING (bundle))", ridge("mr", "mj", 2, weight, "ref_"), solve("mb", "mr", 2, "mov_")]
+
+
+TUNE = [*REF2, *tune("SELECT * FROM mov")]
+NARROW = [*REF2, *tune("SELECT * FROM mov WHERE age >= 30 AND age < 36")]
+CLINICAL = [*TUNE, *mov2("(SELECT ridge FROM lam)"), f"rs AS (SELECT bundle, {R2}, stddev_samp(mean - {line(2, 'ref_')}) AS ref_std FROM rd JOIN rb USING (bundle) GROUP BY ALL)",
     f"mz AS (SELECT bundle, {R2}, ref_std, {M2}, mean - {line(2, 'mov_')} AS res FROM md JOIN mb USING (bundle) JOIN rs USING (bundle))",
     f"cm AS (SELECT bundle, {R2}, ref_std, {M2}, stddev_samp(res) AS mov_std, avg(res / ref_std) AS mov_gamma, (stddev_samp(res / ref_std) * count(*) + 5) / (count(*) + 5) AS mov_delta FROM mz GROUP BY ALL)"]
 OBS_COLS = "sid, site, bundle, metric, {mean}, age, sex, handedness, disease"
@@ -111,14 +130,15 @@ def clinic_apply(source: str) -> str:
     return f"SELECT sid, site, bundle, metric, ref_std / mov_delta * ({z} - mov_gamma) + {line(2, 'ref_')} AS mean, age, sex, handedness, disease FROM {source} JOIN cm USING (bundle)"
 
 
-def distance(ref: str, mov: str) -> list[str]:
+def distance(ref: str, mov: str, q: str = "q", name: str = "dist") -> list[str]:
     """Distances of two sides about the reference controls' curve."""
     d = "CASE WHEN n1 > 1 AND n2 > 1 THEN (m1 - m2) * (m1 - m2) / (s1 * s1 + s2 * s2) / 4 + ln((s1 * s1 + s2 * s2) / (2 * s1 * s2)) / 2 ELSE 'nan'::DOUBLE END"
     agg = lambda k, s: f"count(*) FILTER (side = '{s}') AS n{k}, avg(res) FILTER (side = '{s}') AS m{k}, stddev_pop(res) FILTER (side = '{s}') AS s{k}"
-    return [design("qd", f"(SELECT *, 'ref' AS side FROM {ref} WHERE disease = 'HC' UNION ALL SELECT *, 'mov' FROM {mov} WHERE disease = 'HC')", 2),
-            gram("qg", "(SELECT * FROM qd WHERE side = 'ref')", 2), solve("qb", "qg", 2),
-            f"qr AS (SELECT bundle, side, mean - {line(2)} AS res FROM qd JOIN qb USING (bundle))", f"qm AS (SELECT bundle, {agg(1, 'ref')}, {agg(2, 'mov')} FROM qr GROUP BY bundle)",
-            f"dist AS (SELECT bundle, {d} AS distance, n2 AS n_hc FROM qm)"]
+    cols = "bundle, mean, age, sex, handedness"
+    return [design(f"{q}d", f"(SELECT {cols}, 'ref' AS side FROM {ref} WHERE disease = 'HC' UNION ALL SELECT {cols}, 'mov' FROM {mov} WHERE disease = 'HC')", 2),
+            gram(f"{q}g", f"(SELECT * FROM {q}d WHERE side = 'ref')", 2), solve(f"{q}b", f"{q}g", 2),
+            f"{q}r AS (SELECT bundle, side, mean - {line(2)} AS res FROM {q}d JOIN {q}b USING (bundle))", f"{q}m AS (SELECT bundle, {agg(1, 'ref')}, {agg(2, 'mov')} FROM {q}r GROUP BY bundle)",
+            f"{name} AS (SELECT bundle, {d} AS distance, n2 AS n_hc FROM {q}m)"]
 
 
 def window(name: str, source: str, width: float, least: int, mode: str) -> list[str]:
@@ -141,18 +161,11 @@ def curve(name: str, source: str) -> str:
 COUNTS = "SELECT bundle, centre, widened, count(*) AS n FROM ww GROUP BY ALL"
 REF_HC = "refhc AS (SELECT * FROM ref WHERE disease = 'HC')"
 SINGLE = [
+    REF_HC,
     "own AS (SELECT sid, metric, avg(mean) AS oa, stddev_samp(mean) AS ov FROM mov GROUP BY ALL)",
-    "tgt AS (SELECT s.metric, s.age, avg(r.mean) AS ta, stddev_samp(r.mean) AS tv FROM (SELECT DISTINCT metric, age FROM mov) s JOIN ref r ON r.metric = s.metric AND r.age BETWEEN s.age - 2 AND s.age + 2 GROUP BY ALL)",
+    "tgt AS (SELECT s.metric, s.age, avg(r.mean) AS ta, stddev_samp(r.mean) AS tv FROM (SELECT DISTINCT metric, age FROM mov) s JOIN refhc r ON r.metric = s.metric AND r.age BETWEEN s.age - 2 AND s.age + 2 GROUP BY ALL)",
     "ss AS (SELECT sid, site, bundle, metric, (mean - oa) * (tv / ov) + ta AS mean, age, sex, handedness, disease, 'single_subject' AS harmonization FROM mov JOIN own USING (sid, metric) LEFT JOIN tgt USING (metric, age))",
 ]
-TUNE = [*REF2, "nar AS (SELECT * FROM mov WHERE age >= 30 AND age < 36)", design("nd", "nar", 2), gram("ng", "nd", 2),
-    f"nl AS (SELECT * FROM ng JOIN rb USING (bundle) CROSS JOIN (SELECT unnest([{', '.join(repr(x) + D for x in candidates())}]) AS ridge))",
-    ridge("nr", "nl", 2, "ridge", "ref_"), solve("nb", "nr", 2, "mov_", f"bundle, ridge, {R2}"),
-    "grid AS (SELECT a::DOUBLE AS a, a IN (SELECT floor(age)::BIGINT FROM nar UNION SELECT ceil(age)::BIGINT FROM nar) AS seen FROM (SELECT unnest(range((SELECT floor(min(age))::BIGINT FROM ref), (SELECT ceil(max(age))::BIGINT FROM ref) + 1)) AS a))",
-    f"gap AS (SELECT bundle, ridge, seen, {at(2, 'ref_', 'a')} - {at(2, 'mov_', 'a')} AS d FROM nb CROSS JOIN grid)",
-    f"obj AS (SELECT bundle, ridge, sign(abs(min(d) FILTER (seen)) / 2 - abs(min(d))) + sign(abs(max(d)) - abs(max(d) FILTER (seen)) * 2) + 2.0{D} AS v FROM gap GROUP BY ALL)"]
-
-
 def leave_one_out(ridges: list[float]) -> list[str]:
     sums = [f"a{i}_{j}" for i in range(4) for j in range(i, 4)] + [f"b{i}" for i in range(4)]
     return [design("ld", "mov", 1), gram("lo", "ld", 1, "bundle, sid"), gram("lt", "ld", 1), design("lrd", "ref", 1), gram("lrg", "lrd", 1), solve("lrb", "lrg", 1, "ref_"),
@@ -175,6 +188,9 @@ def oracle_sql() -> dict[str, str]:
     pair = [*BETAS[1], "sigma", "ref_gamma", "ref_delta", "mov_gamma", "mov_delta"]
     sums = [f"a{i}_{j}" for i in range(5) for j in range(i, 5)] + [f"b{i}" for i in range(5)]
     spread = lambda a, v, digits: f"SELECT sid, metric, {r(a, digits, 'average')}, {r(v, digits, 'variability')} FROM obs GROUP BY sid, metric"
+    sided = "SELECT bundle, CASE WHEN contains(bundle, '_L') OR contains(bundle, 'left_') THEN 'left' WHEN contains(bundle, '_R') OR contains(bundle, 'right_') THEN 'right' ELSE 'bilateral' END AS side FROM (SELECT DISTINCT bundle || CASE length(bundle) % 3 WHEN 0 THEN '_L' WHEN 1 THEN '_R' ELSE '' END AS bundle FROM obs)"
+    made = " ".join(f"WHEN contains(lower(site), '{x}') THEN replace(replace(lower(site), '_{x}', ''), '3t', '3T')" for x in ("philips", "siemens", "ge"))
+    label = f"CASE WHEN site IN ({', '.join(repr(x) for x in SITES_KNOWN)}) OR site = '{REFERENCE}' THEN 'ref' {made} ELSE site END"
     known = " ".join(f"WHEN site = '{k}' THEN '{v}'" for k, v in SITES_KNOWN.items())
     age_curve = f"SELECT bundle, CAST(a AS INT) AS age, {{}} FROM cm CROSS JOIN (SELECT unnest(range(20, 90))::DOUBLE AS a)"
     hist = ("SELECT site, CAST(least(19, floor((mean - lo) / ((hi - lo) / 20))) AS INT) AS bin, count(*) AS n FROM obs CROSS JOIN (SELECT min(mean) AS lo, max(mean) AS hi FROM obs) GROUP BY ALL")
@@ -193,11 +209,14 @@ def oracle_sql() -> dict[str, str]:
         "site_metric_checks": sql([], "SELECT count(DISTINCT site) AS n_sites, count(DISTINCT metric) AS n_metrics, count(DISTINCT sid) AS n_subjects FROM obs"),
         "valid_sites": sql([], "SELECT site, count(*) AS n FROM obs WHERE disease = 'HC' AND metric = 'price' AND bundle = 'ECONOMY' GROUP BY site HAVING count(*) >= 10"),
         "design_rows": sql([design("d", "mov", 2)], "SELECT sid, bundle, x0, x1, x2, x3, x4 FROM d"),
-        "site_labels": sql([], f"SELECT DISTINCT site, CASE WHEN site = '{REFERENCE}' THEN 'Reference' {known} WHEN lower(site) LIKE '%philips%' THEN 'Philips' WHEN lower(site) LIKE '%siemens%' THEN 'Siemens' WHEN lower(site) LIKE '%ge%' THEN 'GE' ELSE 'unknown' END AS manufacturer FROM obs"),
-        "bundle_side": sql([], "SELECT bundle, CASE WHEN contains(bundle, '_L') OR contains(bundle, 'left_') THEN 'left' WHEN contains(bundle, '_R') OR contains(bundle, 'right_') THEN 'right' ELSE 'bilateral' END AS side FROM (SELECT DISTINCT bundle || CASE length(bundle) % 3 WHEN 0 THEN '_L' WHEN 1 THEN '_R' ELSE '' END AS bundle FROM obs)"),
+        "site_labels": sql(["names AS (SELECT DISTINCT site || unnest(['', '_Philips_3T', '_siemens_3t', '_GE']) AS site FROM (SELECT DISTINCT site FROM obs))"], f"SELECT site, {label} AS label_site, CASE WHEN site = '{REFERENCE}' THEN 'Reference' {known} WHEN lower(site) LIKE '%philips%' THEN 'Philips' WHEN lower(site) LIKE '%siemens%' THEN 'Siemens' WHEN lower(site) LIKE '%ge%' THEN 'GE' ELSE 'unknown' END AS manufacturer FROM names"),
+        "site_metadata": sql([], f"SELECT site, CASE WHEN site = '{REFERENCE}' THEN 'Reference' WHEN site IN ('ASIA', 'EUROPE') THEN 'unknown' ELSE 'GE' END AS manufacturer, count(*) AS n FROM obs GROUP BY ALL"),
+        "bundle_sides_table": sql([f"sd AS ({sided})", "nth AS (SELECT bundle, side, CAST(row_number() OVER (PARTITION BY side ORDER BY bundle) AS INT) AS row FROM sd)"],
+                                  "SELECT row, " + ", ".join(f'max(bundle) FILTER (side = \'{x}\') AS "{x}"' for x in ("left", "right", "bilateral")) + " FROM nth GROUP BY row"),
+        "bundle_side": sql([], sided),
         "gram_by_bundle": sql([design("d", "mov", 2), gram("g", "d", 2)], f"SELECT bundle, n, {', '.join(r(c, 3) for c in sums)} FROM g"),
         "ols_fit_by_bundle": sql([design("d", "ref", 2), gram("g", "d", 2), solve("s", "g", 2, keep="bundle, n")], f"SELECT bundle, n, {', '.join(r(c) for c in BETAS[2])} FROM s"),
-        "ridge_prior_fit": sql(MOV2, params(mb, "mb")),
+        "ridge_prior_fit": sql([*REF2, *mov2(f"0.01{D}")], params(mb, "mb")),
         "residual_sigma": sql(REF2, f"SELECT bundle, count(*) AS n_rows, {r('stddev_samp(mean - ' + line(2, 'ref_') + ')', 5, 'sigma')} FROM rd JOIN rb USING (bundle) GROUP BY bundle"),
         "standardize_pairwise": sql([*PAIRWISE, design("sd", "mov", 1)], f"SELECT sid, bundle, {r('(mean - ' + line(1) + ') / sigma', 5, 'z')} FROM sd JOIN pm USING (bundle)"),
         "standardize_clinical": sql(CLINICAL, f"SELECT sid, bundle, {r('(mean - ' + line(2, 'mov_') + ') / ref_std', 5, 'z')} FROM md JOIN cm USING (bundle)"),
@@ -209,13 +228,20 @@ def oracle_sql() -> dict[str, str]:
         "clinical_model": sql(CLINICAL, params(clinical, "cm")),
         "predict_curve": sql(CLINICAL, age_curve.format(r(at(2, "ref_", "a"), 5, "value")) .replace(" FROM cm", ", 'ref' AS side FROM cm") + " UNION ALL " + age_curve.format(r(at(2, "mov_", "a"), 5, "value")).replace(" FROM cm", ", 'mov' AS side FROM cm")),
         "tune_objective": sql(TUNE, f"SELECT bundle, {r('ridge')}, {r('v')} FROM obj"),
-        "tune_lambda": sql(TUNE, f"SELECT {r(f'coalesce(min(ridge), 1e10{D})', 6, 'ridge')} FROM (SELECT ridge FROM obj GROUP BY ridge HAVING sum(v) = 0)"),
+        "tune_lambda": sql(TUNE, f"SELECT {r('ridge', 6)} FROM lam"),
+        "tune_objective_narrow": sql(NARROW, f"SELECT bundle, {r('ridge')}, {r('v')} FROM obj"),
+        "tune_lambda_narrow": sql(NARROW, f"SELECT {r('ridge', 6)} FROM lam"),
+        "pairwise_limited_ages": sql([
+            f"lmov AS (SELECT * FROM mov WHERE age BETWEEN 30 AND 60)", f"lall AS (SELECT age FROM lmov UNION ALL SELECT age FROM obs WHERE site = '{MOVING}' AND disease <> 'HC' AND age BETWEEN 25 AND 70)",
+            "lref AS (SELECT * FROM ref WHERE age BETWEEN (SELECT min(age) FROM lall) AND (SELECT max(age) FROM lall))",
+            *[x.replace("FROM ref UNION", "FROM lref UNION").replace("FROM mov)", "FROM lmov)") for x in PAIRWISE]], params(pair, "pm")),
         "pairwise_apply": sql([*PAIRWISE, design("ad", f"(SELECT * FROM obs WHERE site = '{MOVING}')", 1)], rows(mean, f"({pair_apply('ad')})")),
         "clinical_apply": sql([*CLINICAL, design("ad", f"(SELECT * FROM obs WHERE site = '{MOVING}')", 2)], rows(mean, f"({clinic_apply('ad')})")),
         "fit_metadata": sql([], f"SELECT 'pairwise' AS name, '{REFERENCE}' AS ref_site, '{MOVING}' AS mov_site, 'price' AS metric_name, min(age) AS min_age, max(age) AS max_age, 1::INT AS degree, 3::INT AS nbr_beta_params, false AS ignore_sex_covariate, "
                             "false AS ignore_handedness_covariate, true AS use_empirical_bayes, false AS limit_age_range FROM mov"),
         "loo_error": sql(leave_one_out([0.0]), f"SELECT {r('ridge', 4)}, {r('mse', 4)} FROM lm"),
         "loo_grid": sql(leave_one_out(LOO_RIDGES), f"SELECT {r('ridge', 4)}, {r('mse', 4)} FROM lm"),
+        "loo_best": sql(leave_one_out(LOO_RIDGES), f"SELECT {r('ridge', 4)}, {r('mse', 4)} FROM lm ORDER BY lm.mse, lm.ridge LIMIT 1"),
         "bhattacharyya_raw": sql(distance("ref", "mov"), f"SELECT bundle, {r('distance', 6)}, n_hc FROM dist"),
         "bhattacharyya_harmonized": sql([*CLINICAL, f"har AS ({clinic_apply('md')})", *distance("ref", "har")], f"SELECT bundle, {r('distance', 6)}, n_hc FROM dist"),
         "qc_summary": sql(distance("ref", "mov"), f"SELECT count(*) AS n_bundles, {r('avg(distance)', 6, 'mean')}, {r('min(distance)', 6, 'min')}, {r('max(distance)', 6, 'max')} FROM dist WHERE NOT isnan(distance)"),
@@ -224,7 +250,10 @@ def oracle_sql() -> dict[str, str]:
                                   f"SELECT bundle, centre, {r('rc.average - mc.average', 5, 'mean_error')}, {r('rc.deviation - mc.deviation', 5, 'std_error')}, {r('(rc.average - mc.average) / sqrt((rc.deviation * rc.deviation + mc.deviation * mc.deviation) / 2)', 5, 'effect_size')} FROM rc JOIN mc USING (bundle, centre)"),
         "info_counts": sql([], "SELECT site, disease, sex, handedness, count(*) AS n FROM obs GROUP BY ALL"),
         "info_age_range": sql([], "SELECT site, disease, min(age) AS min_age, max(age) AS max_age FROM obs GROUP BY ALL"),
-        "info_global": sql([], "SELECT count(*) AS n_rows, count(DISTINCT sid) AS n_subjects, count(DISTINCT bundle) AS n_bundles, count(DISTINCT site) AS n_sites, count(DISTINCT disease) AS n_diseases, min(trunc(age))::BIGINT AS min_age, max(trunc(age))::BIGINT AS max_age, round(avg(trunc(age)), 2) AS mean_age FROM obs"),
+        "info_categories": sql(["fb AS (SELECT min(bundle) AS b FROM obs)"], " UNION ALL ".join(f"SELECT '{c}' AS category, {c}::VARCHAR AS level, count(*) FILTER (bundle = b) AS n, min(age) FILTER (bundle = b) AS min_age, max(age) FILTER (bundle = b) AS max_age FROM obs CROSS JOIN fb GROUP BY {c}" for c in ("disease", "sex", "handedness"))),
+        "normalise_results": sql(["two AS (SELECT * REPLACE (CASE WHEN sid % 5 <> 0 THEN mean END AS mean) FROM obs UNION ALL SELECT * REPLACE (mean + 1.0::DOUBLE AS mean) FROM obs)", "nth AS (SELECT *, row_number() OVER (PARTITION BY sid, site, bundle, metric, age, sex, handedness, disease ORDER BY mean NULLS FIRST) AS k FROM two)"],
+                                 f"SELECT {OBS_COLS.format(mean=exact)}, 'raw' AS harmonization, 'raw' AS model FROM nth WHERE k = 1 AND mean IS NOT NULL"),
+        "info_global": sql([], "SELECT count(*) AS n_rows, count(DISTINCT sid) AS n_subjects, count(*) FILTER (bundle = (SELECT min(bundle) FROM obs)) AS n_first_bundle, count(DISTINCT bundle) AS n_bundles, count(DISTINCT site) AS n_sites, count(DISTINCT disease) AS n_diseases, min(trunc(age))::BIGINT AS min_age, max(trunc(age))::BIGINT AS max_age, round(avg(trunc(age)), 2) AS mean_age FROM obs"),
         "subject_mean_std": sql([], spread("avg(mean)", "stddev_samp(mean)", 5)),
         "subject_median_mad": sql([], spread("median(mean)", "mad(mean)", FINE)),
         "histogram_common_bins": sql([f"h AS ({hist})"], f"SELECT site, bin, n, {r('100.0::DOUBLE * n / sum(n) OVER (PARTITION BY site)', 4, 'percent')} FROM h"),
@@ -236,9 +265,15 @@ def oracle_sql() -> dict[str, str]:
         "window_no_dynamic": sql(window("ww", "mov", 2, 12, "not_dynamic"), COUNTS),
         "window_trimmed": sql([*window("ww", "mov", 4, 12, "dynamic"), "tc AS (SELECT bundle, centre, count(*) AS k, quantile_cont(mean, 0.05) AS p, quantile_cont(mean, 0.95) AS q FROM ww GROUP BY ALL)"],
                               "SELECT bundle, centre, count(*) AS n FROM ww JOIN tc USING (bundle, centre) WHERE k <= 12 OR widened > 0 OR (mean > p AND mean < q) GROUP BY ALL"),
+        "window_sampled": sql([*window("ww", "mov", 4, 12, "dynamic"), "tc AS (SELECT bundle, centre, count(*) AS k, quantile_cont(mean, 0.05) AS p, quantile_cont(mean, 0.95) AS q FROM ww GROUP BY ALL)",
+                               "tw AS (SELECT bundle, centre, widened, sid, row_number() OVER (PARTITION BY bundle, centre ORDER BY (sid * 2654435761) % 4294967296, sid) AS k9 FROM ww JOIN tc USING (bundle, centre) WHERE k <= 12 OR widened > 0 OR (mean > p AND mean < q))"],
+                              "SELECT bundle, centre, sid FROM tw WHERE k9 <= 9 OR widened > 0"),
         "percentile_curve": sql([REF_HC, *window("ww", "refhc", 5, 10, "dynamic")], " UNION ALL ".join(f"SELECT bundle, centre, {p / 100}{D} AS percentile, {r(f'quantile_cont(mean, {p / 100})', FINE, 'value')} FROM ww GROUP BY bundle, centre" for p in PERCENTILES)),
         "mean_sd_curve": sql([REF_HC, *window("ww", "refhc", 5, 10, "dynamic"), curve("c", "ww")], f"SELECT bundle, centre, n, {r('average')}, {r('deviation')} FROM c"),
         "subject_reference_window": sql(SINGLE, f"SELECT metric, age, {r('ta', 5, 'average')}, {r('tv', 5, 'variability')} FROM tgt"),
+        "subject_reference_window_median": sql([REF_HC], f"SELECT metric, age, {r('ta', FINE, 'average')}, {r('tv', FINE, 'variability')} FROM (SELECT s.metric, s.age, median(x.mean) AS ta, mad(x.mean) AS tv FROM (SELECT DISTINCT metric, age FROM mov) s JOIN refhc x ON x.metric = s.metric AND x.age BETWEEN s.age - 2 AND s.age + 2 GROUP BY ALL)"),
+        "single_subject_output": sql(SINGLE, " UNION ALL ".join([rows(mean, t).replace(" FROM ", f", '{h}' AS harmonization FROM ") for t, h in (("refhc", "raw"), ("mov", "raw"), ("refhc", "single_subject"), ("ss", "single_subject"))])),
+        "single_subject_bundle_data": sql(SINGLE, f"SELECT sid, {r('oa', 5, 'average')}, {r('ov', 5, 'variability')} FROM own"),
         "single_subject": sql(SINGLE, f"SELECT sid, site, bundle, metric, {mean}, age, sex, handedness, disease, harmonization FROM ss"),
         "harmonization_distance": sql([*SINGLE, *CLINICAL, f"oth AS (SELECT sid, site, bundle, metric, mean AS mean_ref_harmonized FROM ({clinic_apply('md')}) WHERE bundle <> 'LARGE')",
                                        "cp AS (SELECT ss.*, mean_ref_harmonized, mean - mean_ref_harmonized AS gap FROM ss LEFT JOIN oth USING (sid, site, bundle, metric) WHERE mean_ref_harmonized IS NOT NULL OR bundle NOT IN (SELECT bundle FROM oth))"],
@@ -250,6 +285,28 @@ def oracle_sql() -> dict[str, str]:
         "harmonized_result": sql([x.replace("FROM mov)", "FROM mov WHERE bundle <> 'LARGE')").replace("FROM ref UNION", "FROM ref WHERE bundle <> 'LARGE' UNION") for x in PAIRWISE] + [design("ad", "mov", 1)],
                                  f"SELECT sid, bundle, metric, {mean}, site, age, sex, handedness, disease, 'pairwise' AS harmonization, 'mov-ref.price' AS model FROM ({pair_apply('ad')})"),
         "model_text": sql(CLINICAL, model_rows),
+        "model_round_trip": sql(CLINICAL, params(clinical, "cm")),
+        "qc_wide": sql(distance("ref", "mov"), "SELECT (SELECT count(DISTINCT sid) FROM mov) AS \"HC\", " + ", ".join(r(f"max(distance) FILTER (bundle = '{b}')", 6, f'"{b}"') for b in BUNDLES) + " FROM dist"),
+        "plot_json": sql([*window("mw", "mov", 5, 10, "dynamic"), curve("mc", "mw"), f"pt AS (SELECT bundle, centre AS x, {r('average', 4, 'y')} FROM mc)"],
+                         "SELECT bundle, 'price' AS metric, '{\"plot_class\":\"line\",\"data_x\":[' || string_agg(x::VARCHAR, ',' ORDER BY x) || '],\"data_y\":[' || string_agg(y::VARCHAR, ',' ORDER BY x) || ']}' AS plot FROM pt GROUP BY bundle"),
+        "kernel_density": sql([
+            "sh AS (SELECT bundle, min(age) AS a0, max(age) AS a1, min(mean) AS v0, max(mean) AS v1, count(*) AS total, var_samp(age) * pow(count(*), -1.0::DOUBLE / 3) AS aa, covar_samp(age, mean) * pow(count(*), -1.0::DOUBLE / 3) AS av, var_samp(mean) * pow(count(*), -1.0::DOUBLE / 3) AS vv FROM ref GROUP BY bundle)",
+            "fl AS (SELECT bundle, least(99, floor((age - a0) * 100 / (a1 - a0)))::INT AS i, least(99, floor((mean - v0) * 100 / (v1 - v0)))::INT AS j, count(*) AS n FROM ref JOIN sh USING (bundle) GROUP BY ALL)",
+            "gr AS (SELECT gi, gj FROM (SELECT unnest(range(20)) AS gi) CROSS JOIN (SELECT unnest(range(20)) AS gj))",
+            "kx AS (SELECT bundle, n, total, aa, av, vv, aa * vv - av * av AS det, a0 + (gi + 0.5::DOUBLE) * (a1 - a0) / 20 AS age, v0 + (gj + 0.5::DOUBLE) * (v1 - v0) / 20 AS value, a0 + (i + 0.5::DOUBLE) * (a1 - a0) / 100 AS ai, v0 + (j + 0.5::DOUBLE) * (v1 - v0) / 100 AS vj, gi, gj FROM fl JOIN sh USING (bundle) CROSS JOIN gr)",
+            "kd AS (SELECT bundle, age, value, gi, gj, sum(n * exp(-(vv * (age - ai) * (age - ai) - 2 * av * (age - ai) * (value - vj) + aa * (value - vj) * (value - vj)) / (2 * det))) / (any_value(total) * 2 * pi() * sqrt(any_value(det))) AS density FROM kx GROUP BY bundle, age, value, gi, gj)"],
+            f"SELECT bundle, {r('age', 8)}, {r('value', 8)}, {r('density', 8)} FROM kd"),
+        "fit_apply_check": sql([*CLINICAL, f"har AS ({clinic_apply('md')})", *distance("ref", "mov"), *distance("ref", "har", "h", "hdist")],
+                               f"SELECT 'raw' AS stage, bundle, {r('distance', 6)}, n_hc FROM dist UNION ALL SELECT 'harmonized', bundle, {r('distance', 6)}, n_hc FROM hdist"),
+        "data_view": sql(["lm AS (SELECT bundle, min(mean) - min(mean) * 0.05::DOUBLE AS low, max(mean) + max(mean) * 0.05::DOUBLE AS high FROM obs WHERE disease = 'HC' GROUP BY bundle)"],
+                         f"SELECT bundle, site AS dataset, disease, sid, age, {exact}, {r('low', FINE)}, {r('high', FINE)} FROM obs JOIN lm USING (bundle)"),
+        "model_view": sql([*CLINICAL, f"vb AS (SELECT bundle, site, age, mean, disease FROM obs WHERE site IN ('{REFERENCE}', '{MOVING}'))",
+                           "vg AS (SELECT bundle, lo + unnest(range(CAST(ceil(hi - lo) AS BIGINT))) AS a FROM (SELECT bundle, min(age) AS lo, max(age) AS hi FROM vb WHERE disease = 'HC' GROUP BY bundle))"],
+                          f"SELECT bundle, 'reference_line' AS layer, '{REFERENCE}' AS site, a AS age, {r(at(2, 'ref_', 'a'), 5, 'value')} FROM vg JOIN cm USING (bundle) UNION ALL SELECT bundle, 'moving_line', '{MOVING}', a, {r(at(2, 'mov_', 'a'), 5, 'value')} FROM vg JOIN cm USING (bundle) "
+                          f"UNION ALL SELECT bundle, CASE WHEN disease = 'HC' THEN 'control' ELSE 'patient' END, site, age, {r('mean', 5, 'value')} FROM vb"),
+        "curve_view": sql([REF_HC, *PAIRWISE, design("ad", "mov", 1), f"har AS ({pair_apply('ad')})", *window("rw", "refhc", 5, 10, "dynamic"), *window("mw", "mov", 5, 10, "dynamic"), *window("hw", "har", 5, 10, "dynamic")],
+                          " UNION ALL ".join(f"SELECT bundle, '{h}' AS harmonization, '{h}' AS model, '{c}' AS curve, centre, {p / 100}{D} AS percentile, {r(f'quantile_cont(mean, {p / 100})', 5, 'value')} FROM {t} GROUP BY bundle, centre"
+                                             for t, h, c in (("rw", "raw", "reference"), ("rw", "pairwise", "reference"), ("mw", "raw", "moving_raw"), ("hw", "pairwise", "moving_harmonized")) for p in PERCENTILES)),
         "union_sites": f"WITH a AS ({obs()}), b AS ({obs('qty')}) SELECT metric, site, NULL::VARCHAR AS scanner, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT metric, site, 's1', count(*) FROM b GROUP BY ALL",
     }
     return out

@@ -9,23 +9,22 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, quality, regression, simulate, site_effect, subjects, summary, tuning
 from ..operators import windows as w
-from ..operators.models import Options, fit_clinical, fit_pairwise, metadata, pairwise_effects, prepared
+from ..operators.models import Options, fit_clinical, fit_pairwise, metadata, pairwise_effects, prepared, sides
 from ..operators.regression import Covariates, names_of
 from ..sources import sinks
 from ..sources.cohort import MOVING, REFERENCE, cohort, moving, reference
-from ..sources.observations import keep_first, union_sites
+from ..sources.observations import keep_first, normalise, union_sites
+from . import jobs
 
 #: Digits of values taken from the tables as they are.
 FINE = 6
-#: Added before rounding: averages of few decimals often lie exactly half-way between two numbers, where the last bit decides.
-SHIFT = 1.23456e-7
 LINE, CURVE = Covariates(1), Covariates(2)
-#: The clinical queries' ridge, that which tuning finds on these tables.
-CLINICAL = Options(degree=2, ridge_mov=0.01)
+CLINICAL = Options(degree=2)
 PAIRWISE = Options(degree=1)
 PERCENTILES = (5.0, 25.0, 50.0, 75.0, 95.0)
 LOO_RIDGES = [float(x * x) / 4 for x in range(21)]
 SITES_KNOWN = {"ASIA": "Siemens", "EUROPE": "GE"}
+BUNDLES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -42,8 +41,13 @@ def query(f: Callable) -> Callable:
 
 
 def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
-    """All doubles rounded, as sums differ in their last bits with the order of rows."""
-    return df.select(*[F.round(F.col(c) + F.lit(SHIFT), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """All doubles rounded, as sums differ in their last bits with the order of rows.
+
+    Three digits more are rounded first: averages of few decimals often lie exactly
+    half-way between two numbers, where else the last bit would decide.
+    """
+    near = lambda c: F.round(F.round(c * 10.0 ** (digits + 3)) / 1000.0) / 10.0**digits + 0.0
+    return df.select(*[near(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @query
@@ -104,15 +108,34 @@ def design_rows(obs, ref, mov):
 
 @query
 def site_labels(obs, ref, mov):
-    return obs.select("site").distinct().select("site", filters.manufacturer(F.col("site"), reference=REFERENCE, known=SITES_KNOWN).alias("manufacturer"))
+    names = F.explode(F.array("site", F.concat("site", F.lit("_Philips_3T")), F.concat("site", F.lit("_siemens_3t")), F.concat("site", F.lit("_GE")))).alias("site")
+    site = F.col("site")
+    return obs.select("site").distinct().select(names).select("site", filters.manufacturer(site, reference=REFERENCE, known=SITES_KNOWN).alias("manufacturer"), filters.label_site(site, reference=REFERENCE, reference_name="ref", known=SITES_KNOWN).alias("label_site"))
 
 
 @query
-def bundle_side(obs, ref, mov):
+def site_metadata(obs, ref, mov):
+    """A metadata table with the maker in its 14th and the site in its 16th column."""
+    rows = obs.select("site").distinct().withColumn("maker", F.when(F.col("site") == "ASIA", "").when(F.col("site") != "EUROPE", "GE"))
+    table = rows.select(*[F.lit("-").alias(f"c{k}") for k in range(13)], F.col("maker").alias("c13"), F.lit("-").alias("c14"), F.col("site").alias("c15"))
+    return obs.join(filters.site_makers(table, REFERENCE), "site", "left").groupBy("site", "manufacturer").agg(F.count("*").alias("n"))
+
+
+def _sided(obs):
     ending = F.element_at(F.array(F.lit("_L"), F.lit("_R"), F.lit("")), F.length("bundle") % 3 + 1)
     return obs.select(F.concat("bundle", ending).alias("bundle")).distinct().select("bundle", filters.side(F.col("bundle")).alias("side"))
 
 
+@query
+def bundle_side(obs, ref, mov):
+    return _sided(obs)
+
+
+@query
+def bundle_sides_table(obs, ref, mov):
+    return summary.sides_table(_sided(obs))
+
+
 @query
 def gram_by_bundle(obs, ref, mov):
     return rounded(regression.gram(regression.with_design(mov, CURVE), CURVE.size), 3)
@@ -151,7 +174,7 @@ def standardize_clinical(obs, ref, mov):
 
 
 def _effects(ref, mov):
-    e = pairwise_effects(ref, mov, LINE)
+    e = pairwise_effects(sides(ref, mov), LINE)
     return e.select("bundle", F.col("n_mov").alias("n"), (F.col("avg_mov") / F.col("sigma")).alias("gamma_hat"), (F.col("std_mov") / F.col("sigma")).alias("delta_hat"))
 
 
@@ -198,22 +221,30 @@ def _narrow(mov):
 
 @query
 def tune_objective(obs, ref, mov):
-    return rounded(tuning.objective(ref, _narrow(mov), CURVE, ridge_ref=0.0, tau=2.0))
+    return rounded(tuning.objective(ref, mov, CURVE, ridge_ref=0.0, tau=2.0))
 
 
 @query
 def tune_lambda(obs, ref, mov):
-    return rounded(tuning.tune(ref, _narrow(mov), CURVE, ridge_ref=0.0, tau=2.0), 6)
+    return rounded(tuning.tune(ref, mov, CURVE, ridge_ref=0.0, tau=2.0), 6)
 
 
 @query
-def tune_objective_whole(obs, ref, mov):
-    return rounded(tuning.objective(ref, mov, CURVE, ridge_ref=0.0, tau=2.0))
+def tune_objective_narrow(obs, ref, mov):
+    """A moving site of few ages, where the first ridges do not pass."""
+    return rounded(tuning.objective(ref, _narrow(mov), CURVE, ridge_ref=0.0, tau=2.0))
 
 
 @query
-def tune_lambda_whole(obs, ref, mov):
-    return rounded(tuning.tune(ref, mov, CURVE, ridge_ref=0.0, tau=2.0), 6)
+def tune_lambda_narrow(obs, ref, mov):
+    return rounded(tuning.tune(ref, _narrow(mov), CURVE, ridge_ref=0.0, tau=2.0), 6)
+
+
+@query
+def pairwise_limited_ages(obs, ref, mov):
+    """The reference within the ages of all moving rows: patients here are of more ages than controls."""
+    wide = F.when(F.col("disease") == "HC", F.col("age").between(30, 60)).otherwise(F.col("age").between(25, 70))
+    return rounded(fit_pairwise(ref, obs.where((F.col("site") == MOVING) & wide), Options(degree=1, limit_age=True)).params)
 
 
 @query
@@ -229,8 +260,8 @@ def clinical_apply(obs, ref, mov):
 
 @query
 def fit_metadata(obs, ref, mov):
-    r, m, cov = prepared(ref, mov, PAIRWISE, 1)
-    return metadata("pairwise", r, m, cov, PAIRWISE)
+    p = prepared(ref, mov, PAIRWISE, 1)
+    return metadata("pairwise", p.ref, p.mov, p.cov, PAIRWISE)
 
 
 @query
@@ -243,6 +274,11 @@ def loo_grid(obs, ref, mov):
     return rounded(tuning.leave_one_out(ref, mov, LINE, LOO_RIDGES), 4)
 
 
+@query
+def loo_best(obs, ref, mov):
+    return rounded(tuning.best_ridge(tuning.leave_one_out(ref, mov, LINE, LOO_RIDGES)), 4)
+
+
 @query
 def bhattacharyya_raw(obs, ref, mov):
     return rounded(quality.distances(ref, mov, CURVE), 6)
@@ -282,6 +318,20 @@ def info_age_range(obs, ref, mov):
     return summary.ages_by(obs, "site", "disease")
 
 
+@query
+def info_categories(obs, ref, mov):
+    return summary.categories(obs)
+
+
+@query
+def normalise_results(obs, ref, mov):
+    """Controls under another name, every row twice, and a first row without a value for every fifth subject."""
+    named = obs.withColumn("disease", F.when((F.col("disease") == "HC") & (F.col("sid") % 2 == 0), "NC").otherwise(F.col("disease")))
+    gap = named.withColumn("mean", F.when(F.col("sid") % 5 != 0, F.col("mean")))
+    twice = gap.unionByName(named.withColumn("mean", F.col("mean") + 1.0))
+    return rounded(normalise(twice, order="mean"), FINE)
+
+
 @query
 def info_global(obs, ref, mov):
     return summary.overview(obs)
@@ -314,7 +364,7 @@ def y_limits(obs, ref, mov):
 
 @query
 def kernel_density(obs, ref, mov):
-    return rounded(summary.density(ref), 4)
+    return rounded(summary.density(ref), 8)
 
 
 def _window_counts(df):
@@ -341,6 +391,11 @@ def window_trimmed(obs, ref, mov):
     return w.trimmed(mov, width=4, least=12).groupBy("bundle", "centre").agg(F.count("*").alias("n"))
 
 
+@query
+def window_sampled(obs, ref, mov):
+    return w.trimmed(mov, width=4, least=12, most=9).select("bundle", "centre", "sid")
+
+
 @query
 def percentile_curve(obs, ref, mov):
     p = tuple(x / 100 for x in PERCENTILES)
@@ -354,18 +409,34 @@ def mean_sd_curve(obs, ref, mov):
 
 @query
 def subject_reference_window(obs, ref, mov):
-    return rounded(w.around_subjects(ref, mov))
+    return rounded(w.around_subjects(filters.controls(ref), mov))
+
+
+@query
+def subject_reference_window_median(obs, ref, mov):
+    return rounded(w.around_subjects(filters.controls(ref), mov, method="median"), FINE)
+
+
+@query
+def single_subject_output(obs, ref, mov):
+    hc = filters.controls(ref)
+    return rounded(subjects.output(hc, mov, subjects.harmonize_subjects(hc, mov)))
+
+
+@query
+def single_subject_bundle_data(obs, ref, mov):
+    return rounded(subjects.bundle_data(mov))
 
 
 @query
 def single_subject(obs, ref, mov):
-    return rounded(subjects.harmonize_subjects(ref, mov))
+    return rounded(subjects.harmonize_subjects(filters.controls(ref), mov))
 
 
 @query
 def harmonization_distance(obs, ref, mov):
     other = fit_clinical(ref, mov, CLINICAL).apply(mov).where("bundle <> 'LARGE'")
-    return rounded(subjects.compare(subjects.harmonize_subjects(ref, mov), other), 4)
+    return rounded(subjects.compare(subjects.harmonize_subjects(filters.controls(ref), mov), other), 4)
 
 
 @query
@@ -386,12 +457,13 @@ def harmonized_result(obs, ref, mov):
 
 @query
 def qc_wide(obs, ref, mov):
-    return rounded(sinks.qc_wide(quality.distances(ref, mov, CURVE)), 6)
+    return rounded(sinks.qc_wide(quality.distances(ref, mov, CURVE), quality.subjects_checked(mov), BUNDLES), 6)
 
 
 @query
 def plot_json(obs, ref, mov):
-    return sinks.plot_json(_curves(mov).select("bundle", F.lit("price").alias("metric"), F.col("centre").alias("x"), F.round("average", 4).alias("y")), "line")
+    points = rounded(_curves(mov).select("bundle", F.lit("price").alias("metric"), F.col("centre").alias("x"), F.col("average").alias("y")), 4)
+    return sinks.plot_json(points, "line")
 
 
 @query
@@ -399,6 +471,40 @@ def model_text(obs, ref, mov):
     return rounded(sinks.model_table(fit_clinical(ref, mov, CLINICAL)))
 
 
+@query
+def model_round_trip(obs, ref, mov):
+    """A model written as text and read again."""
+    m = fit_clinical(ref, mov, CLINICAL)
+    return rounded(sinks.read_model(obs.sparkSession, sinks.model_text(m)).params.select(*m.params.columns))
+
+
+@query
+def fit_apply_check(obs, ref, mov):
+    """The whole run on all rows of the moving site: distances before and after."""
+    out = jobs.fit_apply_check(ref, obs.where(F.col("site") == MOVING), method="clinical", options=CLINICAL)
+    both = out["raw_distances"].withColumn("stage", F.lit("raw")).unionByName(out["harmonized_distances"].withColumn("stage", F.lit("harmonized")))
+    return rounded(both, 6)
+
+
+@query
+def data_view(obs, ref, mov):
+    return rounded(jobs.data_view(obs, dataset="site"), FINE)
+
+
+@query
+def model_view(obs, ref, mov):
+    m = fit_clinical(ref, mov, CLINICAL)
+    return rounded(jobs.model_view(m, ref, obs.where(F.col("site") == MOVING)))
+
+
+@query
+def curve_view(obs, ref, mov):
+    """Raw and pairwise-harmonized rows of the moving site, each a view."""
+    tag = lambda df, name: df.withColumns({"harmonization": F.lit(name), "model": F.lit(name)})
+    moved = tag(mov, "raw").unionByName(tag(fit_pairwise(ref, mov, PAIRWISE).apply(mov), "pairwise"))
+    return rounded(jobs.curve_view(tag(ref, "raw"), moved))
+
+
 def union_sites_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two metrics' tables, one with a column more."""
     both = union_sites(cohort(spark, sf_dir), cohort(spark, sf_dir, "qty").withColumn("scanner", F.lit("s1")))

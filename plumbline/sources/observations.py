@@ -50,10 +50,19 @@ def normalise(df: DataFrame, *, order: str | Column, source: Column | None = Non
     return keep_first(out, KEYS, order).dropna("any")
 
 
+def _load(spark: SparkSession, path: str) -> DataFrame:
+    rows = scan_csv(spark, path).withColumn("_row", F.monotonically_increasing_id())
+    return normalise(rows, order="_row", source=F.element_at(F.split(F.input_file_name(), "/"), -1))
+
+
 def load_results(spark: SparkSession, path: str) -> DataFrame:
     """A normalised CSV file with ``input``, its name; first means first in the file."""
-    df = scan_csv(spark, path)
-    return normalise(df.withColumn("_row", F.monotonically_increasing_id()), order="_row", source=F.element_at(F.split(F.input_file_name(), "/"), -1)).drop("_row")
+    return _load(spark, path).drop("_row")
+
+
+def load_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A site-metadata CSV file, all columns as strings."""
+    return spark.read.option("header", True).csv(path)
 
 
 def union_sites(*tables: DataFrame) -> DataFrame:
@@ -65,6 +74,6 @@ def union_sites(*tables: DataFrame) -> DataFrame:
 
 
 def load_sites(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Several normalised files; a key may come once from each file."""
-    both = union_sites(*[load_results(spark, p) for p in paths])
-    return keep_first(both, (*KEYS, "input"), F.lit(1))
+    """Several normalised files; a key may come once from each file name, the first in the order of the paths."""
+    both = union_sites(*[_load(spark, p).withColumn("_file", F.lit(k)) for k, p in enumerate(paths)])
+    return keep_first(both, (*KEYS, "input"), F.struct("_file", "_row")).drop("_file", "_row")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ast
+import json
+from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +21,16 @@ def harmonized_result(df: DataFrame, params: DataFrame, *, method: str, model: s
     return out.select("sid", "bundle", "metric", "mean", "site", "age", "sex", "handedness", "disease", F.lit(method).alias("harmonization"), F.lit(name).alias("model"))
 
 
-def write_csv(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
-    df.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("compression", "gzip").csv(path)
+def write_csv(df: DataFrame, path: str, *, overwrite: bool = False, order: Sequence[str] = ("site", "sid", "bundle")) -> None:
+    """One CSV folder, in order; what is there stays unless ``overwrite``."""
+    sorted_rows = df.orderBy(*[c for c in order if c in df.columns])
+    sorted_rows.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("compression", "gzip").csv(path)
 
 
-def qc_wide(distances: DataFrame, bundles: list[str] | None = None) -> DataFrame:
-    """One row: controls counted, and a column a bundle."""
-    d = distances.withColumn("_", F.lit(1))
-    wide = d.groupBy("_").pivot("bundle", sorted(bundles) if bundles else None).agg(F.first("distance"))
-    return d.groupBy("_").agg(F.max("n_hc").alias("HC")).join(wide, "_").drop("_")
+def qc_wide(distances: DataFrame, n_subjects: int, bundles: Sequence[str]) -> DataFrame:
+    """One row: the subjects counted, and a column a bundle, in the names' order."""
+    each = [F.max(F.when(F.col("bundle") == b, F.col("distance"))).alias(b) for b in sorted(bundles)]
+    return distances.agg(F.lit(n_subjects).cast("long").alias("HC"), *each)
 
 
 def plot_json(points: DataFrame, plot_class: str) -> DataFrame:
@@ -35,6 +39,20 @@ def plot_json(points: DataFrame, plot_class: str) -> DataFrame:
     return points.groupBy("bundle", "metric").agg(xy.alias("xy")).select("bundle", "metric", F.to_json(F.struct(F.lit(plot_class).alias("plot_class"), F.col("xy.x").alias("data_x"), F.col("xy.y").alias("data_y"))).alias("plot"))
 
 
+def read_plots(spark: SparkSession, text: str) -> DataFrame:
+    """(bundle, metric, plot) of a nested JSON text {bundle: {metric: plot}}."""
+    nested = spark.createDataFrame([(text,)], "t string").select(F.explode(F.from_json("t", "map<string,map<string,string>>")).alias("bundle", "m"))
+    return nested.select("bundle", F.explode("m").alias("metric", "plot"))
+
+
+def nested_plots(plots: DataFrame) -> str:
+    """The plots as one nested JSON text; there is a plot a bundle and metric."""
+    out: dict[str, dict[str, Any]] = {}
+    for r in plots.orderBy("bundle", "metric").collect():
+        out.setdefault(r["bundle"], {})[r["metric"]] = json.loads(r["plot"])
+    return json.dumps(out)
+
+
 def merge_plots(old: DataFrame, new: DataFrame) -> DataFrame:
     """Plots of both; of a bundle and metric in both, the new one."""
     return new.unionByName(old.join(new, ["bundle", "metric"], "left_anti"))
@@ -78,4 +96,4 @@ def read_model(spark: SparkSession, text: str) -> Model:
     return kind(spark.createDataFrame(rows, ", ".join(["bundle string", *[f"`{p}` double" for p in want]])), cov, meta)
 
 
-__all__ = ["Options", "harmonized_result", "merge_plots", "model_table", "model_text", "plot_json", "qc_wide", "read_model", "write_csv"]
+__all__ = ["Options", "nested_plots", "read_plots", "harmonized_result", "merge_plots", "model_table", "model_text", "plot_json", "qc_wide", "read_model", "write_csv"]

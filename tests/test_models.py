@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import filters, quality, simulate, site_effect, windows
-from plumbline.operators.models import Options, fit_clinical, fit_model, fit_pairwise
+from plumbline.operators.models import Options, fit_clinical, fit_model, fit_pairwise, prepared
 from plumbline.operators.regression import Covariates, fit
 from plumbline.operators.tuning import candidates, tune
 from plumbline.sources import cohort, observations, sinks
@@ -145,3 +145,40 @@ def test_plots_merge(spark):
     p = "bundle string, metric string, plot string"
     old, new = spark.createDataFrame([("a", "m", "1"), ("b", "m", "2")], p), spark.createDataFrame([("a", "m", "3")], p)
     assert sorted(map(tuple, sinks.merge_plots(old, new).collect())) == [("a", "m", "3"), ("b", "m", "2")]
+
+
+def test_age_limit_is_of_all_moving_rows(rows):
+    """Patients of more ages than the controls widen the range of the reference."""
+    ref, mov = cohort.reference(rows), rows.where(F.col("site") == cohort.MOVING)
+    mov = mov.where(F.when(F.col("disease") == "HC", F.col("age").between(40, 50)).otherwise(F.col("age").between(30, 60)))
+    p = prepared(ref, mov, Options(limit_age=True), 1)
+    least, most = mov.agg(F.min("age"), F.max("age")).first()
+    assert tuple(p.ref.agg(F.min("age"), F.max("age")).first()) == (least, most) and least < 40 and most > 50
+    assert (p.meta["min_age"], p.meta["max_age"]) == (40.0, 50.0) and p.mov.where("disease <> 'HC'").isEmpty()
+    for wrong in (rows, mov.withColumn("metric", F.lit("other")), mov.withColumn("bundle", F.lit("none"))):
+        with pytest.raises(ValueError):
+            prepared(ref, wrong, Options(), 1)
+
+
+def test_plots_nest_and_files_keep_their_order(spark, tmp_path):
+    p = spark.createDataFrame([("a", "m", '{"x":[1,2]}'), ("b", "m", '{"x":[]}')], "bundle string, metric string, plot string")
+    assert sorted(map(tuple, sinks.read_plots(spark, sinks.nested_plots(p)).collect())) == sorted(map(tuple, p.collect()))
+    head = "sid,site,bundle,metric,mean,age,sex,handedness,disease\n"
+    for k, folder in enumerate(("one", "two")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.csv").write_text(head + f"s1,1,b,md,0.{k + 1},30,1,2,HC\n")
+    paths = [f"file://{tmp_path}/{x}/same.csv" for x in ("one", "two")]
+    assert [[r["mean"] for r in observations.load_sites(spark, x).collect()] for x in (paths, paths[::-1])] == [[0.1], [0.2]]
+    out = f"file://{tmp_path}/out"
+    sinks.write_csv(spark.createDataFrame([("s2", "x", "b"), ("s1", "x", "b")], "sid string, site string, bundle string"), out)
+    assert [r["sid"] for r in spark.read.option("header", True).csv(out).collect()] == ["s1", "s2"]
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_csv(p.select("bundle"), out)
+
+
+def test_pairwise_text_of_older_files(spark):
+    """A header with the other method's ridges reads as well."""
+    text = "# {'name': 'pairwise', 'ignore_sex_covariate': False, 'ignore_handedness_covariate': True, 'degree': 1, 'regul_ref': 0, 'regul_mov': 0}\nbundle_names,b1,b2\nintercept,1.0,2.0\nbeta_sex,0.1,0.2\nbeta_age1,0.01,0.02\nsigma,1,2\nref_gamma,0,0\nref_delta,1,1\nmov_gamma,3,4\nmov_delta,1,2\n"
+    m = sinks.read_model(spark, text)
+    assert [(r["bundle"], r["beta_age1"], r["mov_delta"]) for r in m.params.orderBy("bundle").collect()] == [("b1", 0.01, 1.0), ("b2", 0.02, 2.0)]
+    assert m.curve(F.array(F.lit(10))).where("bundle = 'b1'").first()["value"] == pytest.approx(1.0 + 0.05 + 0.1)
