@@ -246,7 +246,8 @@ def hidden_links(texts: DataFrame, links: DataFrame) -> DataFrame:
     are the same with any number of turns.
     """
     listed = texts.select("doc_id", "text", "central").mapInArrow(_listed, "doc_id long, n long, central boolean, columns array<long>")
-    docs = materialise(listed.withColumn("c", F.col("doc_id")), "ngram-columns")
+    even = lambda df: df.repartition("doc_id")  # noqa: E731  else a large group sits where its input or its label did
+    docs = materialise(even(listed.withColumn("c", F.col("doc_id"))), "ngram-columns")
     found, n_new, turn = links, 0, 0
     while True:
         met = _met(docs, turn)
@@ -259,7 +260,7 @@ def hidden_links(texts: DataFrame, links: DataFrame) -> DataFrame:
         n_new = new.count()
         docs = docs.join(met.select("doc_id"), "doc_id", "left_semi")
         merged = _merged(docs, new if turn else new.unionByName(links)).withColumnRenamed("c", "g")
-        docs = materialise(docs.join(merged, docs["c"] == merged["g"], "left").withColumn("c", F.coalesce("m", "c")).drop("g", "m"), "ngram-columns")
+        docs = materialise(even(docs.join(merged, docs["c"] == merged["g"], "left").withColumn("c", F.coalesce("m", "c")).drop("g", "m")), "ngram-columns")
         found = found.unionByName(new)
         turn += 1
 
