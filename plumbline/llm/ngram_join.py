@@ -191,7 +191,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 _CHUNK = 1 << 17
 #: Size classes: ratio of neighbouring ones, and how many apart two documents that link may be.
 _RATIO, _APART = 1.1, 4
-#: Documents that a column offers as partners in one turn; open documents that are multiplied at once.
+#: Documents that a column offers as partners in one turn; documents, so few that they are multiplied at once.
 LEADERS, FEW = 3, 4096
 
 
@@ -248,6 +248,8 @@ def hidden_links(texts: DataFrame, links: DataFrame) -> DataFrame:
     listed = texts.select("doc_id", "text", "central").mapInArrow(_listed, "doc_id long, n long, central boolean, columns array<long>")
     even = lambda df: df.repartition("doc_id")  # noqa: E731  else a large group sits where its input or its label did
     docs = materialise(even(listed.withColumn("c", F.col("doc_id"))), "ngram-columns")
+    if docs.count() <= FEW:
+        return links.unionByName(block_links(docs.withColumn("open", F.col("n"))))
     found, n_new, turn = links, 0, 0
     while True:
         met = _met(docs, turn)
