@@ -274,7 +274,7 @@ def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _multiplied(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of two chunks of documents (or within one) between different components."""
+    """Links of two chunks of documents (or within one) between different components, as many as join what they join (a spanning forest)."""
     r = pdf.iloc[0]
     two = ("", "2") if r["chunk"] != r["chunk2"] else ("",)
     ids, c, lengths, h = (np.concatenate([np.frombuffer(r[x + k], np.int64) for k in two]) for x in ("ids", "c", "lengths", "hashes"))
@@ -289,7 +289,18 @@ def _multiplied(pdf: pd.DataFrame) -> pd.DataFrame:
         m[row[here], col[here] - a] = 1
         common += m @ m.T
     union = lengths[:, None] + lengths[None, :] - common
-    i, j = np.nonzero(np.triu((100 * common >= 75 * union) & (common > 0) & (c[:, None] != c[None, :]), 1))
+    linked = (100 * common >= 75 * union) & (common > 0) & (c[:, None] != c[None, :])
+    seen, pairs = np.zeros(len(ids), bool), []
+    for first in range(len(ids)):
+        todo = [] if seen[first] else [first]
+        seen[first] = True
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(linked[x] & ~seen)
+            seen[new] = True
+            pairs += [(x, y) for y in new.tolist()]
+            todo += new.tolist()
+    i, j = (np.asarray([p[k] for p in pairs], np.int64) for k in (0, 1))
     return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
 
