@@ -36,7 +36,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou",
 }
 _WORD = re.compile(r"[^\W\d_]+")
-_RUN = re.compile(r"(.)\1*", re.S)
+_RUN = re.compile(r"((.)\2*)", re.S)
 _LEET = re.compile(f"[{re.escape(''.join(LEET))}]")
 _DOUBLED = re.compile(f"([{LETTERS}])\\1")
 _SPELLED = re.compile(r"(?:[^\W_][.\-_]+){2,}[^\W_]")  # s.t.u.p.i.d
@@ -92,36 +92,43 @@ def language_model(trigrams: np.ndarray) -> np.ndarray:
     return np.log(three / three.sum(2, keepdims=True))
 
 
+_GAP = [("", 0.0), (" ", 0.0)]
+
+
+def _options(c: str, n: int, strict: bool) -> list[tuple[str, float]]:
+    """What a run of ``n`` times ``c`` may stand for and at what cost; a space is a word's end."""
+    options = [(c, 0.0)] if c in _CODE else []
+    options += [(x, -1.0) for x in LEET.get(c, "")]
+    if n > 1 and strict:
+        options = [(x + x, p) for x, p in options]
+    elif n > 1:  # once or twice, whatever the length
+        options += [(x + x, p - (0.0 if n == 2 else 0.5)) for x, p in options]
+    if c in LEET and not c.isdigit():
+        options += [] if strict else [(" ", -1.0)]
+        options += [("", -1.0)] if c == "*" else []
+    return options
+
+
+#: The options of every run, strict or not; runs of three stand for all longer ones.
+_RUNS = {strict: {c * n: _options(c, n, strict) for c in [*LETTERS, *LEET] for n in (1, 2, 3)} for strict in (False, True)}
+
+
 def lattice(token: str, *, strict: bool = False) -> list[list[tuple[str, float]]]:
-    """For each run of one character, what it may stand for and at what cost; a space is a word's end.
+    """For each run of one character, what it may stand for and at what cost.
 
     White space and punctuation end a word or stand for nothing, a symbol of ``LEET`` may
     also end one.  If ``strict``, every character of ``LEET`` is a letter and a longer run
     stands for two.
     """
+    known = _RUNS[strict]
     out: list[list[tuple[str, float]]] = []
-    for m in _RUN.finditer(token.lower()):
-        c, n = m[1], len(m[0])
-        options = [(c, 0.0)] if c in _CODE else []
-        options += [(x, -1.0) for x in LEET.get(c, "")]
-        if not options:
-            if not out or out[-1] is not _GAP:
-                out.append(_GAP)
-            continue
-        if n > 1 and strict:
-            options = [(x + x, p) for x, p in options]
-        elif n > 1:  # once or twice, whatever the length
-            options += [(x + x, p - (0.0 if n == 2 else 0.5)) for x, p in options]
-        if c in LEET and not c.isdigit():
-            options += [] if strict else [(" ", -1.0)]
-            options += [("", -1.0)] if c == "*" else []
-        out.append(options)
+    for run, _ in _RUN.findall(token.lower()):
+        options = known.get(run[:3], _GAP)
+        if options is not _GAP or not out or out[-1] is not _GAP:
+            out.append(options)
     return out
 
 
-_GAP = [("", 0.0), (" ", 0.0)]
-
-
 def decode(token: str, lm: list[float], *, strict: bool = False, most: int = 1) -> list[str]:
     """The words of the likeliest reading of disguised text, then those of up to ``most`` - 1 readings nearly as likely.
 
@@ -131,8 +138,16 @@ def decode(token: str, lm: list[float], *, strict: bool = False, most: int = 1)
     """
     best: dict[int, list[tuple[float, tuple | None]]] = {0: [(0.0, None)]}
     for options in lattice(token, strict=strict):
+        letters, s = options[0]
+        if len(options) == 1 == len(best) == len(letters):  # one state, one letter: nothing to compare
+            ((xy, paths),) = best.items()
+            k = _CODE[letters]
+            s += lm[xy * _SIZE + k]
+            best = {xy % _SIZE * _SIZE + k: [(score + s, (path, letters)) for score, path in paths]}
+            continue
         nxt: dict[int, list[tuple[float, tuple | None]]] = {}
         for state, paths in best.items():
+            top, way = paths[0]
             for letters, s in options:
                 xy = state
                 for c in letters:
@@ -142,8 +157,8 @@ def decode(token: str, lm: list[float], *, strict: bool = False, most: int = 1)
                         xy = y * _SIZE + k
                 if most > 1:
                     nxt[xy] = sorted(nxt.get(xy, []) + [(score + s, (path, letters)) for score, path in paths], key=_score, reverse=True)[:most]
-                elif xy not in nxt or nxt[xy][0][0] < paths[0][0] + s:
-                    nxt[xy] = [(paths[0][0] + s, (paths[0][1], letters))]
+                elif xy not in nxt or nxt[xy][0][0] < top + s:
+                    nxt[xy] = [(top + s, (way, letters))]
         best = nxt
     ends = sorted(((s + (lm[xy * _SIZE] if xy % _SIZE else 0.0), p) for xy, paths in best.items() for s, p in paths), key=_score, reverse=True)[:most]
     words = []
