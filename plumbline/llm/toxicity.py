@@ -219,25 +219,32 @@ def word_features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}~" for k in PREFIXES if len(word) > k)]
 
 
-def _feature_counts(lm: np.ndarray):
+def _restored(lm: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore, toxic, clean = Restorer(lm), Counter(), Counter()
+        restore = Restorer(lm)
         for batch in batches:
-            for body, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (toxic if label else clean).update({f for w in set(restore(body or "")) for f in word_features(w)})
-        keys = [*toxic, *(k for k in clean if k not in toxic)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], names=["feature", "toxic", "clean"])
+            words = [restore(b or "") for b in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"])
 
     return run
 
 
-def learn_lexicon(train: DataFrame, lm: np.ndarray, *, n_toxic: int, n_clean: int, least_g2: float = 25.0) -> dict[str, float]:
-    """Log-odds of all features that are significantly commoner in toxic documents.
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    toxic, clean = Counter(), Counter()
+    for batch in batches:
+        for words, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            (toxic if label else clean).update({f for w in set(words) for f in word_features(w)})
+    keys = [*toxic, *(k for k in clean if k not in toxic)]
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], names=["feature", "toxic", "clean"])
+
+
+def learn_lexicon(train: DataFrame, *, n_toxic: int, n_clean: int, least_g2: float = 25.0) -> dict[str, float]:
+    """From rows (words, toxic): log-odds of all features that are significantly commoner in toxic documents.
 
     A feature needs a handful of documents to be significant, so there are fewer than the
     labelled documents have words; their number has a bound.
     """
-    f = train.select("text", "toxic").mapInArrow(_feature_counts(lm), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    f = train.select("words", "toxic").mapInArrow(_feature_counts, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     n = float(n_toxic + n_clean)
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     total = F.col("a") + F.col("b")
@@ -305,15 +312,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc: str =
     if len(n) < 2:  # nothing to tell apart
         return Model(lm, {}, (0.0,) * 4, 0.0 if not n else (-7.0 if False in n else 7.0))
     train = train.repartition(max(4, min(64, sum(n.values()) // 100)))
-    lexicon = learn_lexicon(train, lm, n_toxic=n[True], n_clean=n[False])
+    train = materialise(train.mapInArrow(_restored(lm), "words array<string>, toxic boolean"), "toxicity-words")
+    lexicon = learn_lexicon(train, n_toxic=n[True], n_clean=n[False])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore, weights = Restorer(lm), WordWeights(lexicon)
+        weights = WordWeights(lexicon)
         for batch in batches:
-            x = [evidence(restore(b or ""), weights) for b in batch.column(0).to_pylist()]
+            x = [evidence(words, weights) for words in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
-    rows = materialise(train.select("text", F.col("toxic").cast("double")).mapInArrow(run, "x array<double>, label double"), "toxicity-evidence")
+    rows = materialise(train.select("words", F.col("toxic").cast("double")).mapInArrow(run, "x array<double>, label double"), "toxicity-evidence")
     fit = LogisticRegression(regParam=0.001, maxIter=50).fit(rows.select(array_to_vector("x").alias("features"), "label"))
     return Model(lm, lexicon, tuple(float(c) for c in fit.coefficients), float(fit.intercept))
 
