@@ -41,9 +41,9 @@ def categories(df: DataFrame, columns: Sequence[str] = ("disease", "sex", "hande
 
 
 def sides_table(bundles: DataFrame) -> DataFrame:
-    """(row, left, right, bilateral): names of ``bundle`` and ``side`` listed side by side."""
-    nth = bundles.select("bundle", "side", F.row_number().over(Window.partitionBy("side").orderBy("bundle")).alias("row"))
-    return nth.groupBy("row").pivot("side", ["left", "right", "bilateral"]).agg(F.first("bundle"))
+    """(nth, left, right, bilateral): names of ``bundle`` and ``side`` listed side by side."""
+    nth = bundles.select("bundle", "side", F.row_number().over(Window.partitionBy("side").orderBy("bundle")).alias("nth"))
+    return nth.groupBy("nth").pivot("side", ["left", "right", "bilateral"]).agg(F.first("bundle"))
 
 
 def histogram(df: DataFrame, *, bins: int = 20, hue: str = "site") -> DataFrame:

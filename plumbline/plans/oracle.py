@@ -211,8 +211,8 @@ def oracle_sql() -> dict[str, str]:
         "design_rows": sql([design("d", "mov", 2)], "SELECT sid, bundle, x0, x1, x2, x3, x4 FROM d"),
         "site_labels": sql(["names AS (SELECT DISTINCT site || unnest(['', '_Philips_3T', '_siemens_3t', '_GE']) AS site FROM (SELECT DISTINCT site FROM obs))"], f"SELECT site, {label} AS label_site, CASE WHEN site = '{REFERENCE}' THEN 'Reference' {known} WHEN lower(site) LIKE '%philips%' THEN 'Philips' WHEN lower(site) LIKE '%siemens%' THEN 'Siemens' WHEN lower(site) LIKE '%ge%' THEN 'GE' ELSE 'unknown' END AS manufacturer FROM names"),
         "site_metadata": sql([], f"SELECT site, CASE WHEN site = '{REFERENCE}' THEN 'Reference' WHEN site IN ('ASIA', 'EUROPE') THEN 'unknown' ELSE 'GE' END AS manufacturer, count(*) AS n FROM obs GROUP BY ALL"),
-        "bundle_sides_table": sql([f"sd AS ({sided})", "nth AS (SELECT bundle, side, CAST(row_number() OVER (PARTITION BY side ORDER BY bundle) AS INT) AS row FROM sd)"],
-                                  "SELECT row, " + ", ".join(f'max(bundle) FILTER (side = \'{x}\') AS "{x}"' for x in ("left", "right", "bilateral")) + " FROM nth GROUP BY row"),
+        "bundle_sides_table": sql([f"sd AS ({sided})", "nth AS (SELECT bundle, side, CAST(row_number() OVER (PARTITION BY side ORDER BY bundle) AS INT) AS nth FROM sd)"],
+                                  "SELECT nth, " + ", ".join(f'max(bundle) FILTER (side = \'{x}\') AS "{x}"' for x in ("left", "right", "bilateral")) + " FROM nth GROUP BY nth"),
         "bundle_side": sql([], sided),
         "gram_by_bundle": sql([design("d", "mov", 2), gram("g", "d", 2)], f"SELECT bundle, n, {', '.join(r(c, 3) for c in sums)} FROM g"),
         "ols_fit_by_bundle": sql([design("d", "ref", 2), gram("g", "d", 2), solve("s", "g", 2, keep="bundle, n")], f"SELECT bundle, n, {', '.join(r(c) for c in BETAS[2])} FROM s"),
