@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .clustering import op11_delta_lloyd, op11_sql
 from .compaction import op2_size_tiered_compaction
 from .hnsw import op8_hnsw_search
 from .line_dedup import op3_line_dedup
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hnsw_search": op8_hnsw_search,
         "op9_mixing": op9_mixing,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_delta_lloyd": op11_delta_lloyd,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": op9_sql()}
+    return {"op9_mixing": op9_sql(), "op11_delta_lloyd": op11_sql()}

@@ -46,14 +46,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, never a re-computation.  The
-    folder stays until ``discard`` or ``clear`` deletes it.
+    folder stays until ``discard`` or ``clear`` deletes it.  ``by`` is a column whose
+    values get folders of their own, so a filter on it reads no other rows.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.intermediate_path = path
     _WRITTEN.append(path)
