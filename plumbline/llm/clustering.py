@@ -150,7 +150,7 @@ def delta_lloyd(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "em
     state, total, changed, done = rows.select("vec_id", "v", F.lit(-1).alias("owner"), F.lit(0).cast("long").alias("distance")), np.zeros((k, dim + 1), np.int64), np.arange(k), 0
     last = None
     for done in range(rounds + 1):
-        written = materialise(state.mapInArrow(_round(centroids, changed, dim), _STATE), "lloyd", by="kind")
+        written = materialise(state.mapInArrow(_round(centroids, changed, dim), _STATE), "lloyd")
         if last is not None:
             discard(last)
         last, state = written, written.where("kind = 0").select("vec_id", "v", "owner", "distance")

@@ -14,6 +14,7 @@ from .mixing import op9_mixing, op9_sql
 from .ngram_join import op5_ngram_join
 from .packing import op10_best_fit_packing
 from .quality_rules import op6_quality_rules
+from .recurrent import op12_recurrent_lm
 from .secret_scan import op1_secret_scan
 from .toxicity import op7_toxicity
 from .url_rules import op4_url_rules
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_delta_lloyd": op11_delta_lloyd,
+        "op12_recurrent_lm": op12_recurrent_lm,
     }
 
 
