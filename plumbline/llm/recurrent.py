@@ -28,8 +28,8 @@ from .support import discard, materialise, read
 from .words import split
 
 END, UNKNOWN = 0, 1
-#: Distinct words that a task counts before it sends them on; tokens that a task runs through the model at once; vectors that a task adds up; fewest lanes.
-COUNTED, CHUNK, FAN_IN, NARROW = 400_000, 1 << 22, 64, 32
+#: Distinct words that a task counts before it sends them on; tokens that a task runs through the model at once; vectors that a task adds up; fewest lanes; tokens of a window in scoring.
+COUNTED, CHUNK, FAN_IN, NARROW, AT_ONCE = 400_000, 1 << 22, 64, 32, 1 << 14
 LN10 = math.log(10)
 
 
@@ -106,76 +106,103 @@ class Gru:
 
     def states(self, p: dict, gx: np.ndarray, keep: np.ndarray, h: np.ndarray, save: bool = False):
         """States after each step of a window, from the inputs' gates; ``keep`` is 0 where a document begins."""
-        n = self.s.hidden
-        out, saved, wh = np.empty((*gx.shape[:2], n), self.dtype), [], p["wh"]
+        n, half = self.s.hidden, self.dtype(0.5)
+        scale = np.repeat(np.asarray([half, half, 1], self.dtype), n)  # a logistic curve is a tanh of half the argument
+        gx, wh, resets = gx * scale, p["wh"] * scale, ~keep.all(1)
+        out = np.empty((*gx.shape[:2], n), self.dtype)
+        saved = [np.empty((*gx.shape[:2], w), self.dtype) for w in (n, 2 * n, n, n)] if save else None
         for t in range(len(gx)):
-            h = h * keep[t][:, None]
+            if resets[t]:
+                h = h * keep[t][:, None]
             gh = h @ wh
-            zr = np.tanh((gx[t, :, : 2 * n] + gh[:, : 2 * n]) * self.dtype(0.5)) * self.dtype(0.5) + self.dtype(0.5)
-            z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(gx[t, :, 2 * n :] + r * gh[:, 2 * n :])
+            zr = np.tanh(gx[t, :, : 2 * n] + gh[:, : 2 * n])
+            zr += 1
+            zr *= half
+            new = zr[:, n:] * gh[:, 2 * n :]
+            new += gx[t, :, 2 * n :]
+            np.tanh(new, out=new)
             if save:
-                saved.append((h, z, r, new, gh[:, 2 * n :]))
-            h = new + z * (h - new)
-            out[t] = h
+                saved[0][t], saved[1][t], saved[2][t], saved[3][t] = h, zr, new, gh[:, 2 * n :]
+            np.subtract(h, new, out=out[t])
+            out[t] *= zr[:, :n]
+            out[t] += new
+            h = out[t]
         return out, saved
 
     def outputs(self, p: dict, h: np.ndarray, want: np.ndarray, grad: dict | None = None):
         """Natural log probability of each wanted id after its state; with ``grad``, also the gradient at the states of the negative sum."""
-        cls, at = self.class_of[want], np.arange(len(want))
-        logits = h @ p["wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        out = (logits[at, cls] - np.log(total)).astype(np.float64)
+        order = np.argsort(self.class_of[want], kind="stable")  # rows of a class are a slice from here on
+        mine, ids, at = np.column_stack([h[order], np.ones(len(h), self.dtype)]), want[order], np.arange(len(want))
+        cls = self.class_of[ids]
+        of_class, of_word = np.vstack([p["wc"], p["bc"]]), np.column_stack([p["wo"], p["bo"]])
+        # states lie within 1, so exponents cannot overflow unless weights are this large
+        large = max(np.abs(of_class).sum(0).max(), np.abs(of_word).sum(1).max()) > 60
+
+        def soft(rows: np.ndarray, weights: np.ndarray, target: np.ndarray):
+            logits = rows @ weights
+            if large:
+                logits -= logits.max(1, keepdims=True)
+            wanted = logits[at[: len(rows)], target]
+            np.exp(logits, out=logits)
+            total = logits @ np.ones(logits.shape[1], self.dtype)
+            if grad is not None:
+                logits *= (1 / total)[:, None]
+                logits[at[: len(rows)], target] -= 1
+            return wanted - np.log(total), logits
+
+        value, e = soft(mine, of_class, cls)
+        value = value.astype(np.float64)
         if grad is not None:
-            e /= total[:, None]
-            e[at, cls] -= 1
-            grad["wc"][:], grad["bc"][:] = h.T @ e, e.sum(0)
+            both = mine.T @ e
+            grad["wc"][:], grad["bc"][:] = both[:-1], both[-1]
             dh = e @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.first)))
+        cuts = np.searchsorted(cls, np.arange(len(self.first)))
         for c in np.flatnonzero(np.diff(cuts)):
-            lo, hi = self.first[c], self.first[c + 1]
+            lo, hi, s = self.first[c], self.first[c + 1], slice(cuts[c], cuts[c + 1])
             if hi - lo == 1:
                 continue
-            rows = order[cuts[c] : cuts[c + 1]]
-            mine, target, k = h[rows], want[rows] - lo, np.arange(len(rows))
-            logits = mine @ p["wo"][lo:hi].T + p["bo"][lo:hi]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            out[rows] += logits[k, target] - np.log(total)
+            more, e = soft(mine[s], of_word[lo:hi].T, ids[s] - lo)
+            value[s] += more
             if grad is not None:
-                e /= total[:, None]
-                e[k, target] -= 1
-                grad["wo"][lo:hi], grad["bo"][lo:hi] = e.T @ mine, e.sum(0)
-                dh[rows] += e @ p["wo"][lo:hi]
-        return out if grad is None else (out, dh)
+                both = e.T @ mine[s]
+                grad["wo"][lo:hi], grad["bo"][lo:hi] = both[:, :-1], both[:, -1]
+                dh[s] += e @ p["wo"][lo:hi]
+        out = np.empty_like(value)
+        out[order] = value
+        if grad is None:
+            return out
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
 
     def learn(self, p: dict, read_ids: np.ndarray, want: np.ndarray, live: np.ndarray, keep: np.ndarray, h: np.ndarray):
         """(gradient of the negative log probability of a window, its log probability, the state after it)."""
         flat = np.zeros(self.size, self.dtype)
         g, n, steps = self.views(flat), self.s.hidden, len(want)
         x = p["e"][read_ids]
-        hs, saved = self.states(p, x @ p["wx"] + p["b"], keep, h, save=True)
+        hs, (before, zr, new, ghn) = self.states(p, x @ p["wx"] + p["b"], keep, h, save=True)
         value, d_out = self.outputs(p, hs[live], want[live], g)
         dh_all = np.zeros_like(hs)
         dh_all[live] = d_out
-        d_in, d_rec, carried = np.empty((*want.shape, 3 * n), self.dtype), np.empty((*want.shape, 3 * n), self.dtype), np.zeros_like(h)
+        z, r = zr[..., :n], zr[..., n:]
+        at_z, at_new = (before - new) * z * (1 - z), (1 - z) * (1 - new * new)
+        at_r = at_new * ghn * r * (1 - r)
+        rec, d_new, carried, back, resets = np.empty((*want.shape, 3 * n), self.dtype), np.empty_like(hs), np.zeros_like(h), np.ascontiguousarray(p["wh"].T), ~keep.all(1)
         for t in reversed(range(steps)):
-            before, z, r, new, ghn = saved[t]
             dh = dh_all[t] + carried
-            d_new = dh * (1 - z) * (1 - new * new)
-            d_in[t, :, :n] = dh * (before - new) * z * (1 - z)
-            d_in[t, :, n : 2 * n] = d_new * ghn * r * (1 - r)
-            d_in[t, :, 2 * n :] = d_new
-            d_rec[t, :, : 2 * n] = d_in[t, :, : 2 * n]
-            d_rec[t, :, 2 * n :] = d_new * r
-            carried = (dh * z + d_rec[t] @ p["wh"].T) * keep[t][:, None]
-        rows = d_in.reshape(-1, 3 * n)
+            np.multiply(dh, at_z[t], out=rec[t, :, :n])
+            np.multiply(dh, at_r[t], out=rec[t, :, n : 2 * n])
+            np.multiply(dh, at_new[t], out=d_new[t])
+            np.multiply(d_new[t], r[t], out=rec[t, :, 2 * n :])
+            carried = rec[t] @ back
+            dh *= z[t]
+            carried += dh
+            if resets[t]:
+                carried *= keep[t][:, None]
+        g["wh"][:] = before.reshape(-1, n).T @ rec.reshape(-1, 3 * n)
+        rec[..., 2 * n :] = d_new
+        rows = rec.reshape(-1, 3 * n)
         g["wx"][:], g["b"][:] = x.reshape(-1, x.shape[-1]).T @ rows, rows.sum(0)
-        g["wh"][:] = np.concatenate([s[0] for s in saved]).T @ d_rec.reshape(-1, 3 * n)
         ids, dx = read_ids.reshape(-1), rows @ p["wx"].T
         order = np.argsort(ids, kind="stable")
         starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
@@ -201,14 +228,17 @@ def lanes_of(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(at.T), loads[by_load]
 
 
-def windows_of(ids: np.ndarray, lengths: np.ndarray, lanes: int, window: int):
+def windows_of(ids: np.ndarray, lengths: np.ndarray, lanes: int, window: int | None = None):
     """(places, ids read, ids wanted, live, keep, lanes) of each window of a group of runs of tokens.  Documents end with ``END``, so a document's first read is ``END``."""
     at, loads = lanes_of(lengths, lanes)
     starts = np.zeros(len(ids), bool)
     starts[np.cumsum(lengths) - lengths] = True
-    before = np.concatenate([[END], ids[:-1]])
-    for t in range(0, len(at), window):
-        here = at[t : t + window, : int((loads > t).sum())]
+    before, t = np.concatenate([[END], ids[:-1]]), 0
+    while t < len(at):
+        n = int((loads > t).sum())
+        steps = window or max(1, min(AT_ONCE // n, 256))
+        here = at[t : t + steps, :n]
+        t += steps
         live = here >= 0
         yield here, np.where(live, before[here], END), np.where(live, ids[here], END), live, ~(starts[here] & live), here.shape[1]
 
@@ -217,7 +247,7 @@ def score_group(net: Gru, p: dict, ids: np.ndarray, lengths: np.ndarray, gates:
     """Natural log probability of each document of a group; ``gates`` are the inputs' gates of all ids."""
     gates = p["e"] @ p["wx"] + p["b"] if gates is None else gates
     value, h = np.zeros(len(ids)), np.zeros((net.s.lanes, net.s.hidden), net.dtype)
-    for here, seen, want, live, keep, n in windows_of(ids, lengths, net.s.lanes, net.s.window):
+    for here, seen, want, live, keep, n in windows_of(ids, lengths, net.s.lanes):
         hs, _ = net.states(p, gates[seen], keep.astype(net.dtype), h[:n])
         # the state after reading the word before predicts the word
         value[here[live]] = net.outputs(p, hs[live], want[live])
@@ -318,18 +348,22 @@ def _tokens(v: Vocabulary):
         code = {w: k for k, w in enumerate(v.words)}
         end_log = math.log10(v.end + 1.0)
         for batch in batches:
-            rows = []
+            rows, rare_words, rare_times, rare_ends = [], [], [], [0]
             keys = [batch.column(k).to_pylist() for k in range(4)]
             for key, doc, held, part, text in zip(*keys, batch.column(4), strict=True):
                 words = _words(text.as_py())
                 codes = np.fromiter(map(code.get, words, repeat(-1)), np.int64, len(words))
                 ids = np.append(v.ids[codes], END).astype("<i4")
                 outside = ids == UNKNOWN
-                rare = Counter(words[k] for k in np.flatnonzero(codes < 0).tolist())
+                rare = Counter(map(words.__getitem__, np.flatnonzero(codes < 0).tolist()))
+                rare_words.extend(rare.keys())
+                rare_times.extend(rare.values())
+                rare_ends.append(len(rare_words))
                 logs = v.logs[codes]
-                rows.append((key, doc, held, -1 if held else part, len(ids), int(v.known[codes].sum()) + (v.end > 0), float(logs.sum()) + end_log, int(outside.sum()), float(logs[outside[:-1]].sum()), ids.tobytes(), [{"word": w, "n": n} for w, n in rare.items()]))
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)], names=[x.split()[0] for x in _TOKENS.split(", ", 10)])
+                rows.append((key, doc, held, -1 if held else part, len(ids), int(v.known[codes].sum()) + (v.end > 0), float(logs.sum()) + end_log, int(outside.sum()), float(logs[outside[:-1]].sum()), ids.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.binary()]
+            others = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int64())], ["word", "n"]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)), others], names=[x.split()[0] for x in _TOKENS.split(", ", 10)])
 
     return run
 
