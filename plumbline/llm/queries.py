@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op13_token_alignment
 from .clustering import op11_delta_lloyd, op11_sql
 from .compaction import op2_size_tiered_compaction
 from .hnsw import op8_hnsw_search
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_delta_lloyd": op11_delta_lloyd,
         "op12_recurrent_lm": op12_recurrent_lm,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
