@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -150,12 +150,12 @@ class Aligner:
             run("CREATE OR REPLACE TEMP TABLE cuts AS SELECT e, sum(1) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING)::BIGINT AS g FROM (SELECT e FROM a SEMI JOIN b USING (e))")
             run("CREATE OR REPLACE TEMP TABLE links AS SELECT p.piece, l.pair FROM (SELECT a.s, (a.id << 32) | b.id AS pair FROM a JOIN b ON a.s < b.e AND b.s < a.e) l ASOF JOIN spans p ON l.s >= p.s")
             run(f"INSERT INTO pairs SELECT piece + {first}, pair, count(*) FROM links GROUP BY ALL")
-            for column, query in enumerate(("a x", "b x", "cuts x", "links")):
-                source = query if query == "links" else f"(SELECT p.piece FROM {query} ASOF JOIN spans p ON x.e <= p.e)"
-                got = run(f"SELECT piece, count(*) AS n FROM {source} GROUP BY piece").fetchnumpy()
-                sums[got["piece"], column] = got["n"]
+            got = run("SELECT piece, count(*) AS n FROM links GROUP BY piece").fetchnumpy()
+            sums[got["piece"], 3] = got["n"]
             each = " UNION ALL ".join(f"SELECT {side} AS side, x.i, x.id, x.e = c.e AS last, c.g, c.e FROM {t} x ASOF JOIN cuts c ON x.e <= c.e" for side, t in enumerate("ab"))
             got = run(f"SELECT t.id, 2 * t.side + t.last::INT AS form, p.piece FROM ({each}) t ASOF JOIN spans p ON t.e <= p.e ORDER BY t.g, t.side, t.i").fetchnumpy()
+            for column, mine in enumerate((got["form"] < 2, got["form"] >= 2, got["form"] == 3)):
+                sums[:, column] = np.bincount(got["piece"][mine], minlength=len(pieces))
             ends = (b",", b"|", b",", b";")  # within and at the end of a group's first and second part
             said = [b"%d%s" % (i, ends[f]) for i, f in zip(got["id"].tolist(), got["form"].tolist(), strict=True)]
             cuts = np.append(np.flatnonzero(np.diff(got["piece"], prepend=-1)), len(said)).tolist()
@@ -171,7 +171,7 @@ class Aligner:
         parts = [pieces_of(t, self.t.splits) if t else [] for t in texts]
         new: dict[str, None] = {}
         for p in parts:
-            new.update((x, None) for x in p if x not in self.code)
+            new.update(dict.fromkeys(filterfalse(self.code.__contains__, p)))
         slab, held = [], 0
         for p in new:
             slab.append(p)
