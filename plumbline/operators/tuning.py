@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .regression import Covariates, dot, fit, gram, names_of, solve, with_design, with_ridge
+from .statistics import coefficients
 
 LARGEST = 1e10
 
@@ -48,6 +49,35 @@ def tune(ref: DataFrame, mov: DataFrame, cov: Covariates, *, ridge_ref: float, t
     return total.agg(F.coalesce(F.min(F.when(F.col("v") == 0, F.col("ridge"))), F.lit(LARGEST)).alias("ridge"))
 
 
+def ridges_by_curves(pairs: DataFrame, degree: int, used: dict[str, Column], *, tau: float, ridges: list[float] | None = None) -> DataFrame:
+    """(site, metric, ridge): ``tune`` of many sites and metrics at once, from statistics alone.
+
+    ``pairs`` has the moving statistics (``v_``), those of the reference (``r_``) and its
+    coefficients (``ref_``); rows are sites, metrics, bundles and candidates.
+    """
+    cov, model = Covariates(degree), ["site", "metric"]
+    r_names, m_names = names_of(cov, "ref_"), names_of(cov, "mov_")
+    span = pairs.groupBy(*model).agg(F.floor(F.min("r_fit_age_min")).cast("int").alias("lo"), F.ceil(F.max("r_fit_age_max")).cast("int").alias("hi"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("v_years")))).alias("years"))
+    each = pairs.join(span, model).select("*", F.explode(F.array(*map(F.lit, ridges or candidates()))).alias("ridge"))
+    params = coefficients(each, degree, stats="v_", out="mov_", used=used, weight=F.col("ridge"), prior="ref_")
+    half = [F.lit(1.0), *[F.when(used[x], 0.5).otherwise(0.0) if x in used else F.lit(None) for x in cov.labels]]
+    gap = [F.col(r) - F.col(m) for r, m in zip(r_names, m_names, strict=True)]
+
+    def distance(age: Column) -> Column:
+        x, power = list(half), None
+        for k in range(degree):
+            power = age if power is None else power * age
+            x[len(x) - degree + k] = power
+        return dot(x, gap)
+
+    over = lambda grid: F.transform(grid, lambda a: distance(a.cast("double")))
+    far = params.select(*model, "bundle", "ridge", over(F.sequence("lo", "hi")).alias("all"), over(F.filter("years", lambda a: a.between(F.col("lo"), F.col("hi")))).alias("some"))
+    at = lambda f, c: F.abs(f(F.col(c)))
+    v = F.signum(at(F.array_min, "some") / F.lit(float(tau)) - at(F.array_min, "all")) + F.signum(at(F.array_max, "all") - at(F.array_max, "some") * F.lit(float(tau))) + 2
+    total = far.groupBy(*model, "ridge").agg(F.sum(v).alias("v"))
+    return total.groupBy(*model).agg(F.coalesce(F.min(F.when(F.col("v") == 0, F.col("ridge"))), F.lit(LARGEST)).alias("ridge"))
+
+
 def leave_one_out(ref: DataFrame, mov: DataFrame, cov: Covariates, ridges: list[float], *, ridge_ref: float = 0.0) -> DataFrame:
     """(ridge, mse): squared errors of each moving subject, predicted by a model that has not seen it.
 

@@ -175,6 +175,20 @@ def leave_one_out(ridges: list[float]) -> list[str]:
             f"lm AS (SELECT ridge, avg((mean - {at(1, 'mov_', 'age')}) * (mean - {at(1, 'mov_', 'age')})) AS mse FROM lb JOIN mov USING (bundle, sid) GROUP BY ridge)"]
 
 
+#: Columns of statistics and what they are of.
+SHAPE = [("beta_sex", "x1"), ("beta_handedness", "x2"), ("beta_age1", "x3"), ("y", "mean")]
+SITES = ("AMERICA", "ASIA", "EUROPE", MOVING)
+
+
+def for_site(query: str, site: str, metric: str = "price") -> str:
+    """A query about the moving site, asked about another site and metric."""
+    return query.replace(obs(), obs(metric)).replace(f"'{MOVING}'", f"'{site}'")
+
+
+def every_site(query: str, columns: str, metrics: tuple[str, ...] = ("price",)) -> str:
+    return " UNION ALL ".join(f"SELECT '{s}' AS site, '{m}' AS metric, {columns} FROM ({for_site(query, s, m)})" for s in SITES for m in metrics)
+
+
 def box(values: str, group: str) -> str:
     return f"SELECT {group}, quantile_cont({values}, 0.25) AS q1, quantile_cont({values}, 0.5) AS median, quantile_cont({values}, 0.75) AS q3, avg({values}) AS average FROM obs GROUP BY {group}"
 
@@ -226,6 +240,13 @@ def oracle_sql() -> dict[str, str]:
         "variance_shrinkage": sql(EFFECTS, f"SELECT bundle, {r('(delta_hat * n + 5) / (n + 5)', 5, 'delta')} FROM pe"),
         "pairwise_model": sql(PAIRWISE, params(pair, "pm")),
         "clinical_model": sql(CLINICAL, params(clinical, "cm")),
+        "pairwise_models_sites": every_site(sql(PAIRWISE, params(pair, "pm")), "bundle, " + ", ".join(pair), ("price", "qty")),
+        "clinical_models_sites": every_site(sql(CLINICAL, params(clinical, "cm").replace("SELECT bundle", f"SELECT (SELECT {r('ridge')} FROM lam) AS ridge, bundle")), "bundle, ridge, " + ", ".join(clinical)),
+        "apply_sites": " UNION ALL ".join(f"SELECT * FROM ({for_site(sql([*PAIRWISE, design('ad', f'(SELECT * FROM obs WHERE site = {MOVING!r})', 1)], rows(mean, f'({pair_apply("ad")})')), s)})" for s in SITES),
+        "statistics_merged": sql([design("sd", "obs", 1)], "SELECT site, metric, bundle, count(*) FILTER (u) AS n, count(*) FILTER (disease = 'HC') AS n_hc, min(age) FILTER (u) AS fit_age_min, max(age) FILTER (u) AS fit_age_max, "
+                                 + ", ".join(r(f"avg({x}) FILTER (u)", 4, f"m_{a}") for a, x in SHAPE) + ", " + ", ".join(r(f"covar_pop({x}, {z}) FILTER (u) * count(*) FILTER (u)", 4, f"c_{a}_{b}") for i, (a, x) in enumerate(SHAPE) for b, z in SHAPE[i:])
+                                 + f" FROM (SELECT *, site = '{REFERENCE}' OR disease = 'HC' AS u FROM sd) GROUP BY site, metric, bundle"),
+        "refit_after_arrivals": "SELECT '" + MOVING + "' AS site, 'price' AS metric, * FROM (" + sql(PAIRWISE, params(pair, "pm")) + ")",
         "predict_curve": sql(CLINICAL, age_curve.format(r(at(2, "ref_", "a"), 5, "value")) .replace(" FROM cm", ", 'ref' AS side FROM cm") + " UNION ALL " + age_curve.format(r(at(2, "mov_", "a"), 5, "value")).replace(" FROM cm", ", 'mov' AS side FROM cm")),
         "tune_objective": sql(TUNE, f"SELECT bundle, {r('ridge')}, {r('v')} FROM obj"),
         "tune_lambda": sql(TUNE, f"SELECT {r('ridge', 6)} FROM lam"),

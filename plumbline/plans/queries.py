@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filters, quality, regression, simulate, site_effect, subjects, summary, tuning
+from ..operators import filters, quality, regression, simulate, site_effect, statistics, subjects, summary, tuning
 from ..operators import windows as w
-from ..operators.models import Options, fit_clinical, fit_pairwise, metadata, pairwise_effects, prepared, sides
+from ..operators.models import Options, fit_clinical, fit_pairwise, fit_sites, fit_statistics, metadata, pairwise_effects, prepared, sides
 from ..operators.regression import Covariates, names_of
 from ..sources import sinks
 from ..sources.cohort import MOVING, REFERENCE, cohort, moving, reference
@@ -30,10 +30,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f: Callable) -> Callable:
-    """Registers ``f(obs, ref, mov)``: the cohort, its reference rows, its moving controls."""
+    """Registers ``f(obs, ref, mov)``: the cohort, its reference rows, its moving controls; ``other`` is its cohort of another metric."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         obs = cohort(spark, sf_dir)
-        return f(obs, reference(obs), moving(obs))
+        more = {"other": cohort(spark, sf_dir, "qty")} if "other" in f.__code__.co_varnames else {}
+        return f(obs, reference(obs), moving(obs), **more)
 
     run.__doc__ = f.__doc__
     QUERIES[f.__name__] = run
@@ -215,6 +216,52 @@ def predict_curve(obs, ref, mov):
     return rounded(m.curve(ages, moving=False).withColumn("side", F.lit("ref")).unionByName(m.curve(ages).withColumn("side", F.lit("mov"))))
 
 
+def _others(obs):
+    """Controls of every site but the reference."""
+    return filters.controls(obs).where(F.col("site") != REFERENCE)
+
+
+@query
+def pairwise_models_sites(obs, ref, mov, other):
+    """Models of all other sites and two metrics, in one pass."""
+    both = obs.unionByName(other)
+    m = fit_sites("pairwise", reference(both), _others(both), PAIRWISE)
+    return rounded(m.params.drop("use_sex", "use_handedness"))
+
+
+@query
+def clinical_models_sites(obs, ref, mov):
+    """Models of all other sites, each with its own ridge."""
+    return rounded(fit_sites("clinical", ref, _others(obs), CLINICAL).params.drop("use_sex", "use_handedness"))
+
+
+@query
+def apply_sites(obs, ref, mov):
+    """All subjects of all other sites on the reference's scale, by one table of models."""
+    return rounded(fit_sites("pairwise", ref, _others(obs), PAIRWISE).apply(obs.where(F.col("site") != REFERENCE)))
+
+
+def _arrivals(df, degree):
+    """Statistics of four arrivals, each by itself."""
+    hc = F.col("disease") == "HC"
+    fitted = (F.col("site") == REFERENCE) | hc
+    return statistics.statistics(df.withColumn("arrival", F.col("sid") % 4), degree, by=("arrival", *statistics.KEYS), fitted=fitted)
+
+
+@query
+def statistics_merged(obs, ref, mov):
+    s = statistics.merged(_arrivals(obs, 2), 2)
+    return rounded(s.select(*statistics.KEYS, "n", "n_hc", "fit_age_min", "fit_age_max", *[c for c in statistics.moment_columns(2) if "age2" not in c]), 4)
+
+
+@query
+def refit_after_arrivals(obs, ref, mov):
+    """A fit of merged statistics; it reads no observation."""
+    s = statistics.merged(_arrivals(obs.where(F.col("site").isin(REFERENCE, MOVING)), 1), 1)
+    m = fit_statistics("pairwise", s.where(F.col("site") == REFERENCE), s.where(F.col("site") == MOVING), 1, PAIRWISE)
+    return rounded(m.params.drop("use_sex", "use_handedness"))
+
+
 def _narrow(mov):
     return mov.where((F.col("age") >= 30) & (F.col("age") < 36))
 
