@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .windows import around_subjects, spread
@@ -30,8 +30,9 @@ def compare(df: DataFrame, other: DataFrame) -> DataFrame:
     gap = F.col("mean") - F.col("mean_ref_harmonized")
     j = df.join(theirs, key, "left").join(known, "bundle", "left").where(F.col("_found") | F.col("_bundle").isNull())
     out = j.select(*df.columns, "mean_ref_harmonized", gap.alias("difference_harmonized"), F.abs(F.least(gap, F.lit(0.0))).alias("err_lower"), F.greatest(gap, F.lit(0.0)).alias("err_upper"))
-    site = Window.partitionBy("site", "bundle", "metric")
-    return out.withColumn("uncertainty", F.stddev_samp("difference_harmonized").over(site))
+    place = ["site", "bundle", "metric"]
+    spread_of = out.groupBy(*place).agg(F.stddev_samp("difference_harmonized").alias("uncertainty"))
+    return out.join(spread_of, place).select(*out.columns, "uncertainty")
 
 
 def output(ref: DataFrame, mov: DataFrame, harmonized: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles, wide
+
 
 def counts_by(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
@@ -58,8 +60,8 @@ def histogram(df: DataFrame, *, bins: int = 20, hue: str = "site") -> DataFrame:
 
 def box_stats(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Quartiles, mean, and whiskers: the farthest values within 1.5 quartile ranges."""
-    q = df.groupBy(*by).agg(F.percentile("mean", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg("mean").alias("average"))
-    q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "average")
+    quartiles = wide(percentiles(df, by, (0.25, 0.5, 0.75)), by, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = quartiles.join(df.groupBy(*by).agg(F.avg("mean").alias("average")), list(by))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.when((F.col("mean") >= F.col("q1") - reach) & (F.col("mean") <= F.col("q3") + reach), F.col("mean"))
     return df.select(*by, "mean").join(q, list(by)).groupBy(*by, "q1", "median", "q3", "average").agg(F.min(inside).alias("low"), F.max(inside).alias("high"))
@@ -67,8 +69,8 @@ def box_stats(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def limits(df: DataFrame, by: Sequence[str] = ("bundle",), margin: float = 0.05) -> DataFrame:
     """Value range with a margin, and the first and ninety-ninth percentile."""
-    p = F.percentile("mean", F.array(F.lit(0.01), F.lit(0.99)))
-    return df.groupBy(*by).agg((F.min("mean") * (1 - margin)).alias("low"), (F.max("mean") * (1 + margin)).alias("high"), p.alias("p")).select(*by, "low", "high", F.col("p")[0].alias("p01"), F.col("p")[1].alias("p99"))
+    p = wide(percentiles(df, by, (0.01, 0.99)), by, {"p01": 0.01, "p99": 0.99})
+    return df.groupBy(*by).agg((F.min("mean") * (1 - margin)).alias("low"), (F.max("mean") * (1 + margin)).alias("high")).join(p, list(by)).select(*by, "low", "high", "p01", "p99")
 
 
 def density(df: DataFrame, *, cells: int = 20, bins: int = 100, by: Sequence[str] = ("bundle",)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .regression import Covariates, dot, fit, gram, names_of, solve, with_design, with_ridge
+from .regression import EPSILON, Covariates, dot, fit, gram, names_of, solve, with_design, with_ridge
 from .statistics import coefficients
 
 LARGEST = 1e10
@@ -78,23 +78,68 @@ def ridges_by_curves(pairs: DataFrame, degree: int, used: dict[str, Column], *,
     return total.groupBy(*model).agg(F.coalesce(F.min(F.when(F.col("v") == 0, F.col("ridge"))), F.lit(LARGEST)).alias("ridge"))
 
 
+def inverse(df: DataFrame, size: int) -> DataFrame:
+    """``df`` with i0_0.. of the inverse of the symmetric matrix a0_0..; null where it is singular.  a0_0.. stay."""
+    held = [f"a{i}_{j}" for i in range(size) for j in range(i, size)]
+    for column in range(size):
+        unit = df.withColumns({f"_{c}": F.col(c) for c in held} | {f"b{i}": F.lit(1.0 if i == column else 0.0) for i in range(size)})
+        df = solve(unit, size, [f"i{row}_{column}" for row in range(size)]).withColumnsRenamed({f"_{c}": c for c in held})
+    return df
+
+
 def leave_one_out(ref: DataFrame, mov: DataFrame, cov: Covariates, ridges: list[float], *, ridge_ref: float = 0.0) -> DataFrame:
     """(ridge, mse): squared errors of each moving subject, predicted by a model that has not seen it.
 
-    A fold's sums are the total less the subject's own, so all folds take one grouping
-    and one solve.  Covariates are those of the whole fit.
+    The whole system is inverted once a bundle and ridge, about the covariates' means.  A
+    subject with one row in a bundle is taken out by a rank-one step: what its row weighs
+    in its own prediction says how the coefficients change.  Where nearly all of it is its
+    own, the rest do not determine a model, and the fold has none.  Subjects with more
+    rows in a bundle have their sums taken from the total.  Covariates are those of the
+    whole fit.
     """
-    size, m_names, r_names = cov.size, names_of(cov, "mov_"), names_of(cov, "ref_")
-    design = with_design(mov, cov)
-    own = gram(design, size, ("bundle", "sid")).drop("n")
-    total = gram(design, size).drop("n")
+    m_names, r_names = names_of(cov, "mov_"), names_of(cov, "ref_")
+    of_ref = fit(ref, cov, ridge=ridge_ref, prefix="ref_").drop("n")
+    finite = F.col("mean").isNotNull() & ~F.isnan("mean") & (F.abs("mean") != float("inf"))
+    design = with_design(mov.where(finite), cov)
+    own = design.groupBy("bundle", "sid").agg(F.count("*").alias("rows"), F.max("age").alias("age"), F.max("mean").alias("mean"), *[F.max(f"x{k}").alias(f"x{k}") for k in range(cov.size)])
+    one = _rank_one(design, own.where("rows = 1"), of_ref, cov, ridges)
+    several = own.where("rows > 1").select("bundle", "sid")
+    size = cov.size
     sums = [f"a{i}_{j}" for i in range(size) for j in range(i, size)] + [f"b{i}" for i in range(size)]
-    fold = total.select("bundle", *[F.col(c).alias(f"t_{c}") for c in sums]).join(own, "bundle").select("bundle", "sid", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in sums])
-    each = fold.join(fit(ref, cov, ridge=ridge_ref, prefix="ref_").drop("n"), "bundle").select("*", F.explode(F.array(*map(F.lit, ridges))).alias("ridge"))
+    theirs = design.join(several, ["bundle", "sid"], "left_semi")
+    total = gram(design, size).drop("n")
+    fold = total.select("bundle", *[F.col(c).alias(f"t_{c}") for c in sums]).join(gram(theirs, size, ("bundle", "sid")).drop("n"), "bundle").select("bundle", "sid", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in sums])
+    each = fold.join(of_ref, "bundle").select("*", F.explode(F.array(*map(F.lit, ridges))).alias("ridge"))
     params = solve(with_ridge(each, size, F.col("ridge"), [F.col(c) for c in r_names]), size, m_names)
-    seen = mov.groupBy("bundle", "sid").agg(F.min_by("mean", "age").alias("mean"), F.min("age").alias("age"))
+    seen = theirs.groupBy("bundle", "sid").agg(F.min_by("mean", "age").alias("mean"), F.min("age").alias("age"))
     error = F.col("mean") - dot(cov.at(F.col("age").cast("double")), [F.col(c) for c in m_names])
-    return params.join(seen, ["bundle", "sid"]).groupBy("ridge").agg(F.avg(error * error).alias("mse"))
+    many = params.join(seen, ["bundle", "sid"]).select("ridge", error.alias("error"))
+    return one.unionByName(many).groupBy("ridge").agg(F.avg(F.col("error") * F.col("error")).alias("mse"))
+
+
+#: What is left of a row's weight for the others, below which they determine no model.
+LEFT = 1e-9
+
+
+def _rank_one(design: DataFrame, subjects: DataFrame, of_ref: DataFrame, cov: Covariates, ridges: list[float]) -> DataFrame:
+    """(ridge, error) of the subjects' only rows in a bundle."""
+    p = cov.size - 1
+    x, r_names = [F.col(f"x{k + 1}") for k in range(p)], names_of(cov, "ref_")
+    n = F.count("*")
+    sums = [n.alias("n"), F.avg("mean").alias("my"), *[F.avg(c).alias(f"m{k}") for k, c in enumerate(x)]]
+    sums += [(F.covar_pop(x[i], x[j]) * n).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)] + [(F.covar_pop(x[i], "mean") * n).alias(f"c{i}") for i in range(p)]
+    whole = design.groupBy("bundle").agg(*sums).join(of_ref, "bundle").select("*", F.explode(F.array(*map(F.lit, ridges))).alias("ridge"))
+    near = [F.col(c) + F.lit(EPSILON) for c in r_names]
+    pull = [F.col("ridge") * F.abs(F.try_divide(near[0], near[k + 1])) for k in range(p)]
+    whole = inverse(whole.withColumns({f"a{k}_{k}": F.col(f"a{k}_{k}") + pull[k] for k in range(p)}), p) if p else whole
+    slope = {f"s{k}": sum(((F.col(f"c{j}") + pull[j] * near[j + 1]) * F.col(f"i{k}_{j}") for j in range(p)), F.lit(0.0)) for k in range(p)}
+    whole = whole.withColumns(slope).select("bundle", "ridge", "n", "my", *[f"m{k}" for k in range(p)], *slope, *[f"i{i}_{j}" for i in range(p) for j in range(p)])
+    apart = [x[k] - F.col(f"m{k}") for k in range(p)]
+    level = [c - F.col(f"m{k}") for k, c in enumerate(cov.at(F.col("age").cast("double"))[1:])]
+    through = lambda u: F.lit(1.0) / F.col("n") + sum((u[i] * F.col(f"i{i}_{j}") * apart[j] for i in range(p) for j in range(p)), F.lit(0.0))
+    at = lambda u: F.col("my") + sum((u[k] * F.col(f"s{k}") for k in range(p)), F.lit(0.0))
+    rows = subjects.join(whole, "bundle").select("ridge", "mean", (F.col("mean") - at(apart)).alias("gap"), (F.lit(1.0) - through(apart)).alias("left"), through(level).alias("shift"), at(level).alias("said"))
+    return rows.select("ridge", F.when(F.col("left") > LEFT, F.col("mean") - F.col("said") + F.col("shift") * F.col("gap") / F.col("left")).alias("error"))
 
 
 def best_ridge(errors: DataFrame) -> DataFrame:

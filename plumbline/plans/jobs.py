@@ -62,7 +62,7 @@ def curve_view(ref: DataFrame, moved: DataFrame, *, percentiles: Sequence[float]
     sites = filters.require_sites(filters.valid_sites(both, least=min_subjects, metric=first["m"], bundle=first["b"])).select("site")
     hc, raw = hc.join(sites, "site", "left_semi"), filters.controls(ref).join(sites, "site", "left_semi")
     by = ("bundle", "harmonization", "model")
-    one = windows.percentile_curve(windows.windows(raw, width=width, least=least), percentiles).withColumn("curve", F.lit("reference"))
-    theirs = windows.percentile_curve(windows.windows(hc, width=width, least=least, by=by), percentiles, by)
+    one = windows.window_percentiles(raw, percentiles, width=width, least=least).withColumn("curve", F.lit("reference"))
+    theirs = windows.window_percentiles(hc, percentiles, width=width, least=least, by=by)
     theirs = theirs.withColumn("curve", F.when(F.col("harmonization") == "raw", "moving_raw").otherwise("moving_harmonized"))
     return one.join(hc.select(*by).distinct(), "bundle").unionByName(theirs)

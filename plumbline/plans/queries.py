@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ def query(f: Callable) -> Callable:
     """Registers ``f(obs, ref, mov)``: the cohort, its reference rows, its moving controls; ``other`` is its cohort of another metric."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         obs = cohort(spark, sf_dir)
-        more = {"other": cohort(spark, sf_dir, "qty")} if "other" in f.__code__.co_varnames else {}
+        more = {"other": cohort(spark, sf_dir, "qty")} if "other" in inspect.signature(f).parameters else {}
         return f(obs, reference(obs), moving(obs), **more)
 
     run.__doc__ = f.__doc__
@@ -347,7 +348,7 @@ def cohens_d(obs, ref, mov):
 
 
 def _curves(df):
-    return w.mean_curve(w.windows(df))
+    return w.mean_curve(df)
 
 
 @query
@@ -446,7 +447,7 @@ def window_sampled(obs, ref, mov):
 @query
 def percentile_curve(obs, ref, mov):
     p = tuple(x / 100 for x in PERCENTILES)
-    return rounded(w.percentile_curve(w.windows(filters.controls(ref)), p), FINE)
+    return rounded(w.window_percentiles(filters.controls(ref), p), FINE)
 
 
 @query
