@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .packing import _ranks
+from .packing import _LONG_BLANK, BLANKS, _ranks
 from .support import materialise, read
 
 #: Characters of texts that are aligned together, and of pieces that one join takes; pieces, and their characters, that a task remembers.
@@ -29,7 +29,6 @@ GROUP, SLAB, PIECES, PIECE_CHARS = 2_000_000, 1_000_000, 200_000, 20_000_000
 #: The most frequent pairs, which tasks look up by themselves.
 LOCAL_PAIRS = 1 << 19
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
-_LONG_BLANK = re.compile(r"(?<!\s)\s{10000}")
 _BLANK = "▁"
 
 
@@ -59,7 +58,7 @@ class Tokens:
 
     def a(self, text: str) -> list[int]:
         # the faster engine cannot take blanks without end
-        return self.whole.encode(text, add_special_tokens=False).ids if len(text) > 10_000 and _LONG_BLANK.search(text) else self.fast.encode_ordinary(text)
+        return self.whole.encode(text, add_special_tokens=False).ids if len(text) > BLANKS and _LONG_BLANK.search(text) else self.fast.encode_ordinary(text)
 
     def b(self, text: str) -> list[int]:
         """Of a text that begins with the space which the model adds."""

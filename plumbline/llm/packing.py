@@ -8,6 +8,7 @@ every piece then finds its place from its rank among pieces of its length.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from .support import materialise, read
 
 END = 0  # the id after each document
+#: Blanks in a row from which on a text goes through the tokenizer itself.
+BLANKS = 10_000
+_LONG_BLANK = re.compile(rf"(?<!\s)\s{{{BLANKS}}}")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
 
 
@@ -53,8 +57,9 @@ class Encoder:
     """Ids (little-endian unsigned 32-bit) of whole texts.
 
     The tokenizer file's merges run in an engine that keeps no offsets or masks, which
-    takes a quarter of the time.  Texts that hold a special token's string, and files of
-    another kind, go through the tokenizer itself; both give the same ids.
+    takes a quarter of the time.  Texts that hold a special token's string or blanks
+    without end, which that engine cannot take, and files of another kind go through the
+    tokenizer itself; both give the same ids.
     """
 
     def __init__(self, tokenizer_file: str, pattern: str):
@@ -69,7 +74,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or (len(text) > BLANKS and _LONG_BLANK.search(text)):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.asarray(self.fast(text), "<u4")
 

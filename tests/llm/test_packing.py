@@ -45,6 +45,13 @@ def test_odd(spark):
     assert pack(odd(spark)).count() > len(odd_rows()) and pack(empty(spark)).count() == 0
 
 
+def test_blanks_without_end(spark):
+    """Two megabytes of spaces, of newlines, and of one word."""
+    n = 2_000_000
+    rows = [(1, " " * n), (2, "\n" * n), (3, "a" + "\t" * 20_000 + "b <|endoftext|>"), (4, "x" * n)]
+    check(pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect(), rows, 2048)
+
+
 def test_plan_against_exhaustive_packing():
     def fewest(lengths, size):
         best = [len(lengths)]
