@@ -40,8 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     as a copy that lost all its lines, goes.  Null and empty texts so go as well.
     """
     left = line_dedup.dedup(docs, exact_words=1)
-    enough = rf"(?:[^{_SPACE}]+[{_SPACE}]+){{{LEAST - 1}}}[^{_SPACE}]"
-    return _sized(left.where(F.coalesce(F.col("text").rlike(enough), F.lit(False))))
+    words = F.regexp_count("text", F.lit(rf"[^{_SPACE}]++"))  # possessive: a word of any length is read once
+    return _sized(left.where(F.coalesce(words >= LEAST, F.lit(False))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
