@@ -176,6 +176,11 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder that ``spark.checkpoint.dir`` names, so what follows neither plans nor computes it again; as it is where none is named."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
 def small(df: DataFrame) -> DataFrame:
     """A table of a row a bundle, computed now; there are as many as regions of the brain, whatever the rows."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import filters, quality, windows
-from ..operators.models import Model, Options, fit_model
+from ..operators.models import Model, Options, fit_model, kept, small
+from ..operators.quantiles import percentiles, wide
 from ..sources import sinks
 
 
@@ -66,3 +67,37 @@ def curve_view(ref: DataFrame, moved: DataFrame, *, percentiles: Sequence[float]
     theirs = windows.window_percentiles(hc, percentiles, width=width, least=least, by=by)
     theirs = theirs.withColumn("curve", F.when(F.col("harmonization") == "raw", "moving_raw").otherwise("moving_harmonized"))
     return one.join(hc.select(*by).distinct(), "bundle").unionByName(theirs)
+
+
+def value_limits(ref: DataFrame, *, low: float = 0.01, high: float = 0.99, increase: float = 0.0, fixed: tuple[float, float] | None = None) -> DataFrame:
+    """(bundle, low, high): two percentiles of the reference's values, moved out by a share of its least and greatest value (``increase``: per cent more); or fixed ones."""
+    if fixed:
+        return ref.select("bundle").distinct().withColumns({"low": F.lit(float(fixed[0])), "high": F.lit(float(fixed[1]))})
+    share = 0.05 + increase / 100
+    ends = wide(percentiles(ref, ["bundle"], (low, high)), ["bundle"], {"_p": low, "_q": high})
+    return ref.groupBy("bundle").agg(F.min("mean").alias("_lo"), F.max("mean").alias("_hi")).join(ends, "bundle").select("bundle", (F.col("_p") - F.col("_lo") * share).alias("low"), (F.col("_q") + F.col("_hi") * share).alias("high"))
+
+
+def curve_layers(ref: DataFrame, moved: DataFrame, *, lower: str | None = None, upper: str | None = None, limits: dict | None = None, **how) -> DataFrame:
+    """(bundle, harmonization, model, layer, percentile, sid, x, y, low, high): all that a view over age is drawn from.
+
+    ``percentiles`` are those of ``curve_view``, by curve; ``<curve>_band`` is a mean with
+    a deviation to each side; ``subject`` is a moving row with its error bar, from the
+    columns ``lower`` and ``upper`` (none: no bar); ``limits`` is the range of values.
+    """
+    by = ["bundle", "harmonization", "model"]
+    none = lambda kind: F.lit(None).cast(kind)
+    shape = lambda df, layer, x, y, low, high, percentile=None, sid=None: df.select(*by, layer.alias("layer"), (percentile if percentile is not None else none("double")).alias("percentile"), (sid if sid is not None else none("string")).alias("sid"), x.cast("double").alias("x"), y.alias("y"), low.alias("low"), high.alias("high"))
+    nothing, windows_of = none("double"), {k: v for k, v in how.items() if k in ("width", "least")}
+    band = lambda df, name: shape(df, F.lit(name), F.col("centre"), F.col("average"), F.col("average") - F.col("deviation"), F.col("average") + F.col("deviation"))
+    with kept(ref) as r, kept(moved) as m:  # all but the points are a few rows a bundle and year, settled now
+        views = small(m.select(*by).distinct())
+        curves = small(curve_view(r, m, **how))
+        theirs = small(windows.mean_curve(filters.controls(m), by=by, **windows_of))
+        own = small(windows.mean_curve(filters.controls(r), **windows_of)).join(views, "bundle")
+        edges = small(value_limits(r, **(limits or {}))).join(views, "bundle")
+    bar = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c else F.lit(0.0)
+    points = shape(moved, F.lit("subject"), F.col("age"), F.col("mean"), F.col("mean") - bar(lower), F.col("mean") + bar(upper), sid=F.col("sid").cast("string"))
+    out = shape(curves, F.col("curve"), F.col("centre"), F.col("value"), nothing, nothing, F.col("percentile"))
+    out = out.unionByName(band(own, "reference_band")).unionByName(band(theirs, "moving_band")).unionByName(points)
+    return out.unionByName(shape(edges, F.lit("limits"), nothing, nothing, F.col("low"), F.col("high")))

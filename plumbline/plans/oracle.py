@@ -193,6 +193,11 @@ def box(values: str, group: str) -> str:
     return f"SELECT {group}, quantile_cont({values}, 0.25) AS q1, quantile_cont({values}, 0.5) AS median, quantile_cont({values}, 0.75) AS q3, avg({values}) AS average FROM obs GROUP BY {group}"
 
 
+def plot(y: str) -> str:
+    """A line plot's JSON text of each group of points."""
+    return "'{\"plot_class\":\"line\",\"data_x\":[' || string_agg(x::VARCHAR, ',' ORDER BY x) || '],\"data_y\":[' || string_agg(" + y + "::VARCHAR, ',' ORDER BY x) || ']}'"
+
+
 def oracle_sql() -> dict[str, str]:
     mean, exact = r("mean"), r("mean", FINE)
     params = lambda names, t, digits=5: f"SELECT bundle, {', '.join(r(c, digits) for c in names)} FROM {t}"
@@ -310,6 +315,14 @@ def oracle_sql() -> dict[str, str]:
         "qc_wide": sql(distance("ref", "mov"), "SELECT (SELECT count(DISTINCT sid) FROM mov) AS \"HC\", " + ", ".join(r(f"max(distance) FILTER (bundle = '{b}')", 6, f'"{b}"') for b in BUNDLES) + " FROM dist"),
         "plot_json": sql([*window("mw", "mov", 5, 10, "dynamic"), curve("mc", "mw"), f"pt AS (SELECT bundle, centre AS x, {r('average', 4, 'y')} FROM mc)"],
                          "SELECT bundle, 'price' AS metric, '{\"plot_class\":\"line\",\"data_x\":[' || string_agg(x::VARCHAR, ',' ORDER BY x) || '],\"data_y\":[' || string_agg(y::VARCHAR, ',' ORDER BY x) || ']}' AS plot FROM pt GROUP BY bundle"),
+        "plot_merge": sql([*window("mw", "mov", 5, 10, "dynamic"), curve("mc", "mw"), f"pt AS (SELECT bundle, centre AS x, n, {r('deviation', 4)} FROM mc)"],
+                          "SELECT bundle, 'price' AS metric, '{\"count\":' || " + plot("n") + " || ',\"windows\":{\"average\":' || " + plot("deviation") + " || ',\"n\":' || " + plot("n") + " || '}}' AS document FROM pt GROUP BY bundle"),
+        "curve_layers": sql([*SINGLE, *CLINICAL, f"oth AS (SELECT sid, site, bundle, metric, mean AS other FROM ({clinic_apply('md')}))", *window("rw", "refhc", 5, 10, "dynamic"), *window("sw", "ss", 5, 10, "dynamic"), curve("rc", "rw"), curve("sc", "sw")],
+                            " UNION ALL ".join([
+                                *[f"SELECT bundle, 'single_subject' AS harmonization, 'single_subject' AS model, '{c}' AS layer, 0.5{D} AS percentile, NULL::VARCHAR AS sid, centre::DOUBLE AS x, {r('quantile_cont(mean, 0.5)', 4, 'y')}, NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM {t} GROUP BY bundle, centre" for t, c in (("rw", "reference"), ("sw", "moving_harmonized"))],
+                                *[f"SELECT bundle, 'single_subject', 'single_subject', '{c}_band', NULL, NULL, centre, {r('average', 4)}, {r('average - deviation', 4, 'low')}, {r('average + deviation', 4, 'high')} FROM {t}" for t, c in (("rc", "reference"), ("sc", "moving"))],
+                                f"SELECT bundle, 'single_subject', 'single_subject', 'subject', NULL, sid::VARCHAR, age, {r('mean', 4)}, {r('mean - abs(least(mean - other, 0))', 4, 'low')}, {r('mean + greatest(mean - other, 0)', 4, 'high')} FROM ss JOIN oth USING (sid, site, bundle, metric)",
+                                f"SELECT bundle, 'single_subject', 'single_subject', 'limits', NULL, NULL, NULL, NULL, {r('quantile_cont(mean, 0.01) - min(mean) * 0.05::DOUBLE', 4, 'low')}, {r('quantile_cont(mean, 0.99) + max(mean) * 0.05::DOUBLE', 4, 'high')} FROM ref GROUP BY bundle"])),
         "kernel_density": sql([
             "sh AS (SELECT bundle, min(age) AS a0, max(age) AS a1, min(mean) AS v0, max(mean) AS v1, count(*) AS total, var_samp(age) * pow(count(*), -1.0::DOUBLE / 3) AS aa, covar_samp(age, mean) * pow(count(*), -1.0::DOUBLE / 3) AS av, var_samp(mean) * pow(count(*), -1.0::DOUBLE / 3) AS vv FROM ref GROUP BY bundle)",
             "fl AS (SELECT bundle, least(99, floor((age - a0) * 100 / (a1 - a0)))::INT AS i, least(99, floor((mean - v0) * 100 / (v1 - v0)))::INT AS j, count(*) AS n FROM ref JOIN sh USING (bundle) GROUP BY ALL)",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, quality, regression, simulate, site_effect, statistics, subjects, summary, tuning
 from ..operators import windows as w
-from ..operators.models import Options, fit_clinical, fit_pairwise, fit_sites, fit_statistics, metadata, pairwise_effects, prepared, sides
+from ..operators.models import Options, fit_clinical, fit_pairwise, fit_sites, fit_statistics, metadata, pairwise_effects, prepared, settled, sides, small
 from ..operators.regression import Covariates, names_of
 from ..sources import sinks
 from ..sources.cohort import MOVING, REFERENCE, cohort, moving, reference
@@ -514,6 +514,25 @@ def plot_json(obs, ref, mov):
     return sinks.plot_json(points, "line")
 
 
+@query
+def plot_merge(obs, ref, mov):
+    """A file of plots in a group, another that replaces one of them and adds one without a group; merged, written and read again."""
+    curve = small(rounded(_curves(mov), 4))  # a row a bundle and year
+    line = lambda group, name, y: sinks.plot_json(curve.select("bundle", F.lit("price").alias("metric"), F.col("centre").alias("x"), F.col(y).alias("y")), "line").select("bundle", "metric", F.lit(group).cast("string").alias("plot_group"), F.lit(name).alias("plot_name"), "plot")
+    old = line("windows", "average", "average").unionByName(line("windows", "n", "n"))
+    new = line("windows", "average", "deviation").unionByName(line(None, "count", "n"))
+    old, new = (sinks.read_plot_documents(sinks.plot_documents(t)) for t in (old, new))
+    return sinks.plot_documents(sinks.merge_named_plots(old, new))
+
+
+@query
+def curve_layers(obs, ref, mov):
+    """All layers of a view: single-subject rows with error bars to the clinical harmonization."""
+    other = fit_clinical(ref, mov, CLINICAL).apply(mov)
+    compared = subjects.compare(subjects.harmonize_subjects(filters.controls(ref), mov), other).withColumn("model", F.lit("single_subject"))
+    return rounded(jobs.curve_layers(settled(ref), settled(compared), lower="err_lower", upper="err_upper", percentiles=(0.5,)), 4)
+
+
 @query
 def model_text(obs, ref, mov):
     return rounded(sinks.model_table(fit_clinical(ref, mov, CLINICAL)))

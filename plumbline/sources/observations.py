@@ -21,9 +21,16 @@ def require(df: DataFrame, columns: Sequence[str] = REQUIRED) -> DataFrame:
     return df
 
 
-def scan_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """Observations of CSV files (gzip by ending), typed where their names are known; other columns are strings."""
+def scan_csv(spark: SparkSession, *paths: str, order: str | None = None) -> DataFrame:
+    """Observations of CSV files (gzip by ending), typed where their names are known; other columns are strings.
+
+    ``order`` names a column for the place in the file: where the row's split begins, and
+    the row's rank among those of the split.  It holds however a file is split, and
+    however splits are packed into tasks.
+    """
     raw = spark.read.option("header", True).option("nanValue", "NaN").csv(list(paths))
+    if order:
+        raw = raw.select("*", F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth")).alias(order))
     kinds = dict(x.split() for x in SCHEMA.split(", "))
     cast = {c: F.col(c).cast("double").cast("int") if k == "int" else F.col(c).cast(k) for c, k in kinds.items() if c in raw.columns}
     return require(raw.withColumns(cast))
@@ -51,13 +58,14 @@ def normalise(df: DataFrame, *, order: str | Column, source: Column | None = Non
 
 
 def _load(spark: SparkSession, path: str) -> DataFrame:
-    rows = scan_csv(spark, path).withColumn("_row", F.monotonically_increasing_id())
+    rows = scan_csv(spark, path, order="_row")
     return normalise(rows, order="_row", source=F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
-def load_results(spark: SparkSession, path: str) -> DataFrame:
-    """A normalised CSV file with ``input``, its name; first means first in the file."""
-    return _load(spark, path).drop("_row")
+def load_results(spark: SparkSession, path: str, *, order: str | None = None) -> DataFrame:
+    """A normalised CSV file with ``input``, its name; first means first in the file.  ``order`` names a column to keep for the place in it."""
+    out = _load(spark, path)
+    return out.withColumnRenamed("_row", order) if order else out.drop("_row")
 
 
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from plumbline.operators.models import Options, fit_clinical, fit_model, fit_pai
 from plumbline.operators.regression import Covariates, fit
 from plumbline.operators.tuning import candidates, tune
 from plumbline.sources import cohort, observations, sinks
-from plumbline.streaming.harmonize import apply_stream
+from plumbline.streaming.harmonize import apply_stream, drift
 
 SF = "/root/testdata/sf0.01"
 
@@ -182,3 +182,54 @@ def test_pairwise_text_of_older_files(spark):
     m = sinks.read_model(spark, text)
     assert [(r["bundle"], r["beta_age1"], r["mov_delta"]) for r in m.params.orderBy("bundle").collect()] == [("b1", 0.01, 1.0), ("b2", 0.02, 2.0)]
     assert m.curve(F.array(F.lit(10))).where("bundle = 'b1'").first()["value"] == pytest.approx(1.0 + 0.05 + 0.1)
+
+
+def test_file_order_over_many_splits(spark, tmp_path):
+    """Keep-first and the order of results are those of the file, though it is read in many splits."""
+    lines, first = [], {}
+    for k in range(3000):
+        sid, bundle = f"s{(k * 7919) % 700}", "ab"[k % 2]
+        lines.append(f"{sid},1,{bundle},md,{k}.5,30,1,2,HC")
+        first.setdefault((sid, bundle), k + 0.5)
+    (tmp_path / "in.csv").write_text("sid,site,bundle,metric,mean,age,sex,handedness,disease\n" + "\n".join(lines) + "\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = observations.load_results(spark, f"file://{tmp_path}/in.csv", order="_place")
+        assert observations.scan_csv(spark, f"file://{tmp_path}/in.csv").rdd.getNumPartitions() > 10
+        assert {(r["sid"], r["bundle"]): r["mean"] for r in rows.collect()} == first
+        params = rows.select("bundle").distinct()
+        result = sinks.harmonized_result(rows, params, method="m", model="x.model.csv", order="_place")
+        sinks.write_harmonized(result, f"file://{tmp_path}/out", order="_place")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    out = spark.read.option("header", True).csv(f"file://{tmp_path}/out")
+    written = [line for part in sorted((tmp_path / "out").glob("part-*")) for line in __import__("gzip").open(part, "rt").read().splitlines()[1:]]
+    want = [(s, b, v) for (s, b), v in sorted(first.items(), key=lambda x: (x[0][1], x[1]))]
+    assert [(x.split(",")[0], x.split(",")[1], float(x.split(",")[3])) for x in written] == want and "_place" not in out.columns
+
+
+def test_drift_of_a_stream_is_the_batch_distance(spark, rows, tmp_path):
+    ref = filters.controls(cohort.reference(rows))
+    sent = rows.where(F.col("site").isin(cohort.MOVING, "ASIA")).withColumn("ts", F.lit("2024-01-01 10:00:00").cast("timestamp"))
+    sent.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = drift(ref, spark.readStream.option("maxFilesPerTrigger", 1).schema(sent.schema).parquet(f"{tmp_path}/in"), Covariates(2))
+    stream.writeStream.format("memory").queryName("drift").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start().awaitTermination(120)
+    got = {(r["site"], r["bundle"]): r["distance"] for r in spark.table("drift").collect()}
+    for site in (cohort.MOVING, "ASIA"):
+        for r in quality.distances(ref, rows.where(F.col("site") == site), Covariates(2)).collect():
+            assert got[site, r["bundle"]] == pytest.approx(r["distance"], rel=1e-6)
+
+
+def test_named_plots(spark):
+    """Names and groups of any text survive; the last table's plot wins."""
+    p = "bundle string, metric string, plot_group string, plot_name string, plot string"
+    text = '{"plot_class":"line","data_x":[1,2],"data_y":[0.5,null],"x_label":"a \\"b\\""}'
+    old = spark.createDataFrame([("a", "m", None, 'n "1"', text), ("a", "m", "g", "p", text), ("a", "m", "g", "q", text)], p)
+    new = spark.createDataFrame([("a", "m", "g", "p", '{"plot_class":"bar"}'), ("b", "m", "ü\\", "p", text)], p)
+    both = sinks.merge_named_plots(old, new)
+    assert sorted(map(str, sinks.read_plot_documents(sinks.plot_documents(both)).collect())) == sorted(map(str, both.collect()))
+    doc = __import__("json").loads({r["bundle"]: r["document"] for r in sinks.plot_documents(both).collect()}["a"])
+    assert doc["g"]["p"] == {"plot_class": "bar"} and doc['n "1"']["x_label"] == 'a "b"' and set(doc) == {"g", 'n "1"'}
