@@ -191,8 +191,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 _CHUNK = 1 << 17
 #: Size classes: ratio of neighbouring ones, and how many apart two documents that link may be.
 _RATIO, _APART = 1.1, 4
-#: Documents that a column offers as partners in one turn; documents, so few that they are multiplied at once.
-LEADERS, FEW = 3, 4096
+#: Documents that a column offers as partners in one turn; documents that look up their columns together.
+LEADERS, _TOGETHER = 3, 32
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,24 +215,80 @@ def _merged(docs: DataFrame, links: DataFrame) -> DataFrame:
     return two.join(one, "g").select(F.col("g").alias("c"), F.least("m", "m2").alias("m"))
 
 
+def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts ``h``, the distinct values, and where each begins."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    return order, h[begin], begin
+
+
+def _offered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a chunk of documents offers for each distinct column: its least and greatest (component, id), and its leaders."""
+    ids, c = (pdf[x].to_numpy(np.int64) for x in ("doc_id", "c"))
+    sets = pdf["columns"].to_list()
+    at = np.repeat(np.arange(len(ids)), [len(x) for x in sets])
+    order, h, begin = _runs(np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64))
+    at = at[order]
+
+    def picked(by: np.ndarray, how: np.ufunc) -> np.ndarray:
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        return by[how.reduceat(rank[at], begin)] if len(h) else np.zeros(0, np.int64)
+
+    plain = np.lexsort((ids, c))
+    lo, hi = picked(plain, np.minimum), picked(plain, np.maximum)
+    out = {"chunk": pdf["chunk"].iloc[0], "h": h, "lo_c": c[lo], "lo_id": ids[lo], "hi_c": c[hi], "hi_id": ids[hi]}
+    far = ~pdf["central"].to_numpy(bool)
+    for k in range(LEADERS):
+        drawn = pdf[f"r{k}"].to_numpy(np.int64)
+        lead = picked(np.lexsort((ids, c, drawn, far)), np.minimum)
+        out |= {f"far{k}": far[lead], f"r{k}": drawn[lead], f"c{k}": c[lead], f"id{k}": ids[lead]}
+    return pd.DataFrame(out)
+
+
+_OFFERED = "chunk long, h long, lo_c long, lo_id long, hi_c long, hi_id long, " + ", ".join(f"far{k} boolean, r{k} long, c{k} long, id{k} long" for k in range(LEADERS))
+
+
+def _open(docs: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a chunk that may link with another component, with the leaders that most of their open columns name."""
+    ends, out = ends.sort_values("h"), []
+    h = ends["h"].to_numpy(np.int64)
+    lo_c, lo, hi = (ends[x].to_numpy(np.int64) for x in ("lo_c", "lo_id", "hi_id"))
+    lead_c, lead = (np.stack([ends[f"{x}{k}"].to_numpy(np.int64) for k in range(LEADERS)], axis=1) for x in ("c", "id"))
+    for doc_id, n, c, columns in zip(docs["doc_id"], docs["n"], docs["c"], docs["columns"], strict=True):
+        at = np.flatnonzero(np.isin(h, columns))
+        if not len(at) or 4 * len(at) < 3 * n:
+            continue
+        other = np.where(lo_c[at] == c, hi[at], lo[at])
+        leads, count = np.unique(np.sort(np.where(lead_c[at] != c, lead[at], other[:, None]), axis=1), axis=0, return_counts=True)
+        out.append((doc_id, n, len(at), np.unique(leads[len(count) - 1 - np.argmax(count[::-1])])))
+    return pd.DataFrame(out, columns=["doc_id", "n", "open", "leads"])
+
+
 def _met(docs: DataFrame, turn: int) -> DataFrame:
     """(doc_id, n, open, leads) of the documents (doc_id, n, c, central, columns) that may link with another component.
 
     ``open`` counts a document's columns that other components hold as well; a link needs
     three quarters of them.  The leaders of a column are drawn by hash, central documents
     first, and one of another component for those of a leader's own.
+
+    Documents are dealt to chunks by hash.  A chunk offers and looks up each of its
+    distinct columns once, so rows are columns of chunks, not of documents.
     """
-    each = docs.select("doc_id", "n", "c", "central", F.explode("columns").alias("h"))
-    drawn = [F.struct(~F.col("central"), F.xxhash64("doc_id", F.lit(turn), F.lit(k)), "c", "doc_id") for k in range(LEADERS)]
-    ends = each.groupBy("h").agg(F.min(F.struct("c", "doc_id")).alias("lo"), F.max(F.struct("c", "doc_id")).alias("hi"), *[F.min(x).alias(f"l{k}") for k, x in enumerate(drawn)])
-    ends = ends.where("lo.c <> hi.c").select("h", "lo", "hi", *[F.struct(F.col(f"l{k}.c").alias("c"), F.col(f"l{k}.doc_id").alias("doc_id")).alias(f"l{k}") for k in range(LEADERS)])
-    ends = materialise(ends, "ngram-leaders")  # a plain shuffle on both sides of the join, so that a column of very many rows is split
-    other = F.when(F.col("c") == F.col("lo.c"), F.col("hi.doc_id")).otherwise(F.col("lo.doc_id"))
-    lead = lambda k: F.when(F.col(f"l{k}.c") != F.col("c"), F.col(f"l{k}.doc_id")).otherwise(other)
-    sets = each.join(ends, "h").groupBy("doc_id", "n", F.array_sort(F.array_distinct(F.array(*map(lead, range(LEADERS))))).alias("leads")).agg(F.count("*").alias("common"))
-    per = sets.groupBy("doc_id", "n").agg(F.sum("common").alias("open"), F.max_by("leads", F.struct("common", "leads")).alias("leads"))
-    out = materialise(per.where(4 * F.col("open") >= 3 * F.col("n")), "ngram-open")
-    discard(ends)
+    rows, columns = docs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_chunks = max(1, -(-rows // _TOGETHER), -(-columns // _CHUNK))
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.get("columns", F.lit(0))), F.lit(n_chunks)))
+    drawn = dealt.withColumns({f"r{k}": F.xxhash64("doc_id", F.lit(turn), F.lit(k)) for k in range(LEADERS)})
+    offered = materialise(drawn.groupBy("chunk").applyInPandas(_offered, _OFFERED), "ngram-offered")
+    leaders = [F.min(F.struct(f"far{k}", f"r{k}", f"c{k}", f"id{k}")).alias(f"l{k}") for k in range(LEADERS)]
+    ends = offered.groupBy("h").agg(F.min(F.struct("lo_c", "lo_id")).alias("lo"), F.max(F.struct("hi_c", "hi_id")).alias("hi"), *leaders)
+    ends = ends.where("lo.lo_c <> hi.hi_c").select("h", "lo.lo_c", "lo.lo_id", "hi.hi_id", *[f"l{k}.{x}{k}" for k in range(LEADERS) for x in ("c", "id")])
+    ends = materialise(ends, "ngram-leaders")  # a plain shuffle on both sides of the join, so that a column of very many chunks is split
+    looked = offered.select("chunk", "h").join(ends, "h")
+    out = dealt.select("chunk", "doc_id", "n", "c", "columns").groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInPandas(_open, "doc_id long, n long, open long, leads array<long>")
+    out = materialise(out, "ngram-open")
+    discard(offered, ends)
     return out
 
 
@@ -242,21 +298,19 @@ def hidden_links(texts: DataFrame, links: DataFrame) -> DataFrame:
     Documents of one label are known to be one component.  Turns of leaders join what is
     alike, each in proportion to the documents' columns.  A document without three
     quarters of its columns under other labels is finished, as labels only merge.  Turns
-    end when few documents are open or little joins; the rest is multiplied, so results
-    are the same with any number of turns.
+    end when little joins; the rest is multiplied, so results are the same with any number
+    of turns.
     """
     listed = texts.select("doc_id", "text", "central").mapInArrow(_listed, "doc_id long, n long, central boolean, columns array<long>")
     even = lambda df: df.repartition("doc_id")  # noqa: E731  else a large group sits where its input or its label did
     docs = materialise(even(listed.withColumn("c", F.col("doc_id"))), "ngram-columns")
-    if docs.count() <= FEW:
-        return links.unionByName(block_links(docs.withColumn("open", F.col("n"))))
     found, n_new, turn = links, 0, 0
     while True:
         met = _met(docs, turn)
         n_open = met.count()
         if not n_open:
             return found
-        if n_open <= FEW or turn and n_new * 20 < n_open:
+        if turn and n_new * 20 < n_open:
             return found.unionByName(block_links(docs.join(met.groupBy("doc_id").agg(F.max("open").alias("open")), "doc_id")))
         new = materialise(verified(met.select(F.col("doc_id").alias("a"), F.explode("leads").alias("b")), texts), "ngram-links")
         n_new = new.count()

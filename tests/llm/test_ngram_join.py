@@ -68,7 +68,7 @@ def test_common_passages_and_large_groups(spark):
 
 
 def test_leaders_and_blocks(spark, monkeypatch):
-    """Near copies of one text, farther ones that only chains join, and cuts of it with words of their own; with turns of leaders and without."""
+    """Near copies of one text, farther ones that only chains join, and cuts of it with words of their own; looked up in chunks of few and of many documents."""
     r = random.Random(7)
     word = lambda: f"w{r.randrange(5000)}"
     base = [word() for _ in range(100)]
@@ -82,8 +82,8 @@ def test_leaders_and_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute(rows)
     assert 5 < len({c for _, _, c in want}) < 200
-    for few in (10, 4096):
-        monkeypatch.setattr(ngram_join, "FEW", few)
+    for together in (3, 32, 1000):
+        monkeypatch.setattr(ngram_join, "_TOGETHER", together)
         assert result(join(df, block_rows=3000)) == want
 
 
