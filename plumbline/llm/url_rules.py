@@ -2,8 +2,9 @@
 
 Labels are few and stand in some regions of the URLs only, so a combination of tokens
 becomes a rule only if it holds where it was not learned: labelled rows are in folds (by
-default one for each fixed rule that labelled them), and what the other folds teach is
-tried on each.
+default one for each fixed rule, with the exceptions that longer rules make in it), and
+what the other folds teach is tried on each that could refute it: a fold of blocks alone
+confirms any rule, so it teaches but does not test.
 """
 
 from __future__ import annotations
@@ -44,6 +45,13 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return F.coalesce(*[F.when(f, m) for f, m in zip(fits, made, strict=True)]) if made else F.lit(None).cast("struct<verdict:string,rule:string>")
 
 
+def region(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
+    """Host and path of the shortest rule that fits, else null: a rule and the exceptions in it are one region."""
+    ordered = sorted(rules, key=lambda r: len(r[1] + r[2]))
+    fits = [F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.lit(h + p)) for _, h, p in ordered]
+    return F.coalesce(*fits) if fits else F.lit(None).cast("string")
+
+
 def tokens(url: Column, host: Column, path: Column) -> Column:
     """The URL's distinct tokens: scheme, host labels, words of the path, file ending, names of query fields.
 
@@ -57,28 +65,29 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def _judged(folds: Column, n: Column, b: Column, min_count: Column, min_confidence: float) -> Column:
-    """struct(held, right): rows of the folds that the other folds' rows would have blocked, and those of them that are blocks.
+    """struct(held, right): rows of the testing folds that the other folds' rows would have blocked, and those of them that are blocks.
 
-    ``folds`` has (fold, n, b): rows and blocks of a combination in each fold, of ``n`` and ``b`` in all.
+    ``folds`` has (fold, n, b, tests): rows and blocks of a combination in each fold, of
+    ``n`` and ``b`` in all, and whether the fold has rows of both verdicts.
     """
-    tried = F.filter(folds, lambda f: (b - f["b"] >= min_count) & (b - f["b"] >= min_confidence * (n - f["n"])))
+    tried = F.filter(folds, lambda f: f["tests"] & (b - f["b"] >= min_count) & (b - f["b"] >= min_confidence * (n - f["n"])))
     total = lambda x: F.aggregate(tried, F.lit(0).cast("long"), lambda s, f: s + f[x])
     return F.struct(total("n").alias("held"), total("b").alias("right"))
 
 
 def _counted(each: DataFrame, by: str) -> DataFrame:
-    """(by, n, b, folds) of rows (by, fold, n, b); there are few folds."""
-    per = each.groupBy(by, "fold").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    return per.groupBy(by).agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.collect_list(F.struct("fold", "n", "b")).alias("folds"))
+    """(by, n, b, folds) of rows (by, fold, tests, n, b); there are few folds."""
+    per = each.groupBy(by, "fold", "tests").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    return per.groupBy(by).agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.collect_list(F.struct("fold", "n", "b", "tests")).alias("folds"))
 
 
 def token_items(bags: DataFrame, *, min_count: Column) -> DataFrame:
     """(token, item) of the tokens that a rule may use.  Tokens of the same labelled URLs are one item.
 
-    ``bags`` are distinct (key, basket, fold, n, b).  A token needs ``min_count`` blocks,
+    ``bags`` are distinct (key, basket, fold, tests, n, b).  A token needs ``min_count`` blocks,
     and as many outside one of its folds, else no rule with it can hold.
     """
-    each = bags.select("key", "fold", "n", "b", F.explode("basket").alias("token"))
+    each = bags.select("key", "fold", "tests", "n", "b", F.explode("basket").alias("token"))
     use = _counted(each, "token").where((F.col("b") >= min_count) & F.exists("folds", lambda f: F.col("b") - f["b"] >= min_count)).select("token")
     where = each.select("key", "token").distinct().groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("s"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("t"))
     same = where.join(use, "token", "left_semi")
@@ -112,12 +121,13 @@ def judge(pages: DataFrame, *, url: str = "url", rules: Sequence[tuple[str, str,
     A fixed rule decides where one fits.  Other URLs are blocked if a mined rule holds
     for them, else allowed.  ``label`` is a boolean column (true: block; null:
     unlabelled) of ``pages``, with ``fold`` as its folds (four by hash of the URL, if not
-    given); by default the fixed rules' verdicts serve as labels and the rules as folds.
+    given); by default the fixed rules' verdicts serve as labels and their regions as folds.
 
     A mined rule needs ``min_support`` of the labelled rows and ``min_count`` of them, at
     ``min_confidence``, ``min_lift`` times as often a block as all labelled rows, and the
     same confidence (``precision``) on ``min_count`` rows of folds that it can be learned
-    without.  Of several rules the most confident is reported.  Every token takes part
+    without and that hold labelled rows of both verdicts; where no fold does, nothing is
+    mined.  Of several rules the most confident is reported.  Every token takes part
     in matching; tokens that always come together are mined as one, so a URL of very many
     tokens adds no combinations of its own.
 
@@ -130,11 +140,12 @@ def judge(pages: DataFrame, *, url: str = "url", rules: Sequence[tuple[str, str,
     own = F.lit(None).cast("string") if label is None else (F.pmod(F.crc32(F.coalesce(F.col(url), F.lit("")).cast("binary")), F.lit(4)) if fold is None else fold).cast("string")
     p = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "html"]).alias("_in"), F.col(url).alias("_url"), host.alias("host"), path.alias("path"),
                      (F.lit(None).cast("boolean") if label is None else label).alias("_label"), own.alias("_fold"))
-    p = p.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("basket", tokens(F.col("_url"), F.col("host"), F.col("path")))
-    p = p.withColumn("block", F.coalesce("_label", F.col("_rule.verdict") == "block")).withColumn("fold", F.coalesce("_fold", F.col("_rule.rule"), F.lit(""))).drop("_url", "_label", "_fold")
+    p = p.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("_region", region(F.col("host"), F.col("path"), rules)).withColumn("basket", tokens(F.col("_url"), F.col("host"), F.col("path")))
+    p = p.withColumn("block", F.coalesce("_label", F.col("_rule.verdict") == "block")).withColumn("fold", F.coalesce("_fold", "_region", F.lit(""))).drop("_url", "_label", "_fold", "_region")
     p = materialise(p.withColumn("key", F.concat_ws("\x01", "basket")), "url-baskets")
     labelled = p.where(F.col("block").isNotNull() & (F.size("basket") > 0))
     bags = materialise(labelled.groupBy("key", "basket", "fold").agg(F.count("*").alias("n"), F.count_if("block").alias("b")), "url-bags")
+    bags = bags.join(bags.groupBy("fold").agg(((F.sum("b") > 0) & (F.sum("b") < F.sum("n"))).alias("tests")), "fold")
     n_all, b_all = bags.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     least = max(min_count, -(-int(min_support * n_all * 1e9) // 10**9))
     items = materialise(token_items(bags, min_count=F.lit(least)), "url-items")
@@ -148,7 +159,7 @@ def judge(pages: DataFrame, *, url: str = "url", rules: Sequence[tuple[str, str,
         mined = spark.createDataFrame([], "antecedent array<string>")
     mined = materialise(mined.withColumn("rule_key", F.concat_ws("\x01", "antecedent")), "url-mined")
     hits = materialise(match(baskets, mined), "url-hits")
-    stats = _counted(hits.join(bags.select("key", "fold", "n", "b"), "key"), "rule_key")
+    stats = _counted(hits.join(bags.select("key", "fold", "tests", "n", "b"), "key"), "rule_key")
     stats = stats.withColumn("tried", _judged(F.col("folds"), F.col("n"), F.col("b"), F.lit(least), min_confidence))
     confidence, precision = F.col("b") / F.col("n"), F.col("tried.right") / F.col("tried.held")
     good = (F.col("b") >= min_confidence * F.col("n")) & (F.col("b") * float(n_all) >= min_lift * b_all * F.col("n")) & (F.col("tried.held") >= min_count) & (F.col("tried.right") >= min_confidence * F.col("tried.held"))
