@@ -27,7 +27,8 @@ def test_matches_sql(spark, sf, duck, name):
     got = QUERIES[name](spark, sf)
     cols = sorted(got.columns)
     rows = comparable(got.select(*cols).collect())
-    found = duck.execute(f"SELECT {', '.join(cols)} FROM ({oracle_sql()[name]})").fetchall()
+    names = ", ".join(f'"{c}"' for c in cols)
+    found = duck.execute(f"SELECT {names} FROM ({oracle_sql()[name]})").fetchall()
     assert rows == comparable(found) and rows
     assert len(duck.execute(f"SELECT * FROM ({oracle_sql()[name]}) LIMIT 1").description) == len(cols)
 
