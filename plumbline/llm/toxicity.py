@@ -39,10 +39,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"((.)\2*)", re.S)
 _LEET = re.compile(f"[{re.escape(''.join(LEET))}]")
 _DOUBLED = re.compile(f"([{LETTERS}])\\1")
+_SUSPECT = re.compile(rf"([{LETTERS}])\1|[{re.escape(''.join(LEET))}]|[.\-_ ]")
 _SPELLED = re.compile(r"(?:[^\W_][.\-_]+){2,}[^\W_]")  # s.t.u.p.i.d
 #: Where disguised runs of one character and symbols leave a choice that the best reading may miss.
 _OPEN = re.compile(r"(.)\1\1|([^a-zß-ÿ])\2|[^\w\s.,;:'\"\-/]", re.S)
 _PAIR = re.compile(r"\S\S")
+#: Where a reading has a choice; between two knots stand two letters or more that have none.
+_KNOT = re.compile(f"(?:([{LETTERS}])\\1+|[^{LETTERS}])(?:[{LETTERS}]?(?:([{LETTERS}])\\2+|[^{LETTERS}]))*")
 _score = itemgetter(0)
 #: Runs of single characters, and of pieces of at most two, in the lengths of tokens.
 _SINGLES, _PIECES = re.compile(b"\x01{2,}"), re.compile(b"\x01*\x02[\x01\x02]+|\x01+\x02[\x01\x02]*")
@@ -129,8 +132,8 @@ def lattice(token: str, *, strict: bool = False) -> list[list[tuple[str, float]]
     return out
 
 
-def decode(token: str, lm: list[float], *, strict: bool = False, most: int = 1) -> list[str]:
-    """The words of the likeliest reading of disguised text, then those of up to ``most`` - 1 readings nearly as likely.
+def readings(token: str, lm: list[float], *, strict: bool = False, most: int = 1) -> list[tuple[float, str]]:
+    """(log-likelihood, text) of the ``most`` likeliest readings of disguised text, the likeliest first.
 
     Viterbi over the last two letters, 0 being a word's end, with the ``most`` best paths
     of each state.  ``lm`` is the flat language model.  Paths are chains, so a long text
@@ -161,15 +164,41 @@ def decode(token: str, lm: list[float], *, strict: bool = False, most: int = 1)
                     nxt[xy] = [(top + s, (way, letters))]
         best = nxt
     ends = sorted(((s + (lm[xy * _SIZE] if xy % _SIZE else 0.0), p) for xy, paths in best.items() for s, p in paths), key=_score, reverse=True)[:most]
-    words = []
+    out = []
     for s, path in ends:
-        if s >= ends[0][0] - NEARLY:
-            letters = []
-            while path:
-                path, last = path
-                letters.append(last)
-            words += "".join(reversed(letters)).split()
-    return words
+        letters = []
+        while path:
+            path, last = path
+            letters.append(last)
+        out.append((s, "".join(reversed(letters))))
+    return out
+
+
+def decode(token: str, lm: list[float], *, strict: bool = False, most: int = 1, known: dict[str, str] | None = None) -> list[str]:
+    """The words of the likeliest reading of disguised text, then those of up to ``most`` - 1 readings nearly as likely.
+
+    The likeliest reading alone is put together from those of the text's knots, each with
+    two letters before and behind it: these are the whole state of the model, so knots do
+    not bear on each other.  ``known`` remembers the readings of short knots.
+    """
+    if most > 1:
+        found = readings(token, lm, strict=strict, most=most)
+        return [w for s, text in found if s >= found[0][0] - NEARLY for w in text.split()]
+    token, out, at = token.lower(), [], 0
+    known = {} if known is None else known
+    for m in _KNOT.finditer(token):
+        begin, end = max(m.start() - 2, 0), min(m.end() + 2, len(token))
+        knot = token[begin:end]
+        text = known.get(knot)
+        if text is None:
+            text = readings(knot, lm, strict=strict)[0][1]
+            if len(knot) <= 16:
+                if len(known) >= 100_000:
+                    known.clear()
+                known[knot] = text
+        out += (token[at : m.start()], text[m.start() - begin : len(text) - (end - m.end())])
+        at = m.end()
+    return "".join([*out, token[at:]]).split()
 
 
 class Restorer(dict):
@@ -183,16 +212,19 @@ class Restorer(dict):
 
     def __init__(self, lm: np.ndarray):
         self.lm = lm.ravel().tolist()
+        self.knots: tuple[dict[str, str], dict[str, str]] = {}, {}
 
     def restored(self, text: str) -> list[str]:
         most = READINGS if text[1:2] == " " and not _PAIR.search(text) else 1
-        words = decode(text, self.lm, most=most)
-        return words + decode(text, self.lm, strict=True, most=most) if _OPEN.search(text) else words
+        words = decode(text, self.lm, most=most, known=self.knots[0])
+        return words + decode(text, self.lm, strict=True, most=most, known=self.knots[1]) if _OPEN.search(text) else words
 
     def __missing__(self, token: str) -> list[str]:
         plain = _WORD.findall(token)
         new: list[str] = []
-        if " " in token or _LEET.search(token) or _SPELLED.search(token):
+        if not _SUSPECT.search(token):
+            pass
+        elif " " in token or _LEET.search(token) or _SPELLED.search(token):
             new = self.restored(token)
         else:
             for w in plain:

@@ -1,9 +1,11 @@
+import itertools
+import random
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from plumbline.llm.toxicity import Restorer, count_trigrams, language_model, learn, op7_toxicity, score
+from plumbline.llm.toxicity import _CODE, _SIZE, LEET, NEARLY, READINGS, Restorer, count_trigrams, decode, language_model, lattice, learn, op7_toxicity, readings, score
 
 from .odd import documents, empty, odd, odd_rows
 
@@ -52,3 +54,48 @@ def test_every_disguise_reaches_the_lattice(spark):
         assert all(w in got for w in words), (disguised, got)
     assert restore("it is of a") == ["it", "is", "of", "a"]
     assert len(restore("ab1" * 100_000)) > 0  # in proportion to its length
+
+
+def every_reading(token, lm, strict):
+    """All ways through the lattice, the likeliest first, each scored letter by letter."""
+    out = []
+    for way in itertools.product(*lattice(token, strict=strict)):
+        text, s, x, y = "".join(c for c, _ in way), sum(p for _, p in way), 0, 0
+        for c in [*text, " "]:
+            k = _CODE.get(c, 0)
+            if k or y:
+                s += lm[(x * _SIZE + y) * _SIZE + k]
+                x, y = y, k
+        out.append((s, text))
+    return sorted(out, reverse=True)
+
+
+def test_decode_equals_all_readings(spark):
+    """Viterbi, by knots and with several readings, against an enumeration of whole lattices."""
+    lm = language_model(count_trigrams(documents(spark, "/root/testdata/sf0.01"), "text")).ravel().tolist()
+    draw = random.Random(5)
+    tokens = ["stuupid", "1d107", "sc*m", "a$$", "i d i o t", "(b4dd)", "..", "", "é!é", "loooser", "xxyyy", "aab", "baa", "aabaa", "aabcaa", "aabcdaa"]
+    tokens += ["".join(draw.choice("aeiostnrl") if draw.random() < 0.75 else draw.choice([*LEET, *"ttoo. -é"]) for _ in range(draw.randint(1, 11))) for _ in range(300)]
+    tokens += ["".join(draw.choice("eost") for _ in range(draw.randint(4, 14))) for _ in range(200)]
+    for token, strict in itertools.product(tokens, (False, True)):
+        choices = lattice(token, strict=strict)
+        if np.prod([float(len(x)) for x in choices]) > 20_000:
+            continue
+        every = every_reading(token, lm, strict)
+        best = {" ".join(t.split()) for s, t in every if s > every[0][0] - 1e-9}
+        assert " ".join(decode(token, lm, strict=strict)) in best, token
+        assert abs(readings(token, lm, strict=strict)[0][0] - every[0][0]) < 1e-9
+        some = readings(token, lm, strict=strict, most=READINGS)
+        assert np.allclose([s for s, _ in some], [s for s, _ in every[: len(some)]]) and len(some) == min(READINGS, len(every)), token
+        words = [w for s, t in some if s >= some[0][0] - NEARLY for w in t.split()]
+        assert decode(token, lm, strict=strict, most=READINGS) == words
+    assert len(tokens) > 500
+
+
+def test_long_texts_cost_in_proportion(spark):
+    """Two megabytes of blanks, of one letter, of one word, of knots side by side and apart."""
+    restore = Restorer(language_model(np.ones(_SIZE**3, np.int64)))
+    for piece in (" ", "\n", "a", "1", "ab", "aab", "xaa", "ab1", ".", "ab11cde"):
+        assert restore(piece * (2_000_000 // len(piece))) is not None
+    for piece in ("a ", "1 "):  # several readings of each state: in proportion too, but some 50 microseconds a character
+        assert restore(piece * 20_000) is not None
