@@ -2,8 +2,9 @@
 
 Main path: DataFrame functions only.  Candidate strings are found in every whole
 text, hashed, and counted over the corpus by distinct repositories and distinct
-owners, copies of one text once.  A string that many owners or many repositories carry
-is a copied example; one that a single owner carries in few looks like a live credential.
+owners, those of every copy of a text among them.  A string that many owners or many
+repositories carry is a copied example; one that a single owner or a single text carries
+in few looks like a live credential.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"  # the method's own candidates
 KINDS = ("assign", "access", "hex", "opaque")
 _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 _DOC = ("repo", "owner", "key")
+_MOST = ("n_repos", "all_repos", "all_owners")
 
 
 def _matches(text: Column, pattern: str, value_group: int, rank: int, keep) -> Column:
@@ -70,49 +72,54 @@ def spans(cands: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_repos, n_owners): each candidate string by distinct repositories and owners.
-
-    Copies of a text count as one, that of the smallest owner and repository; a text
-    without a repository is one of its own.  All aggregations are combined before their
-    shuffle, so a string that a third of all rows carry sends a few rows per task, not
-    one per occurrence.
+    """(hash, n_repos, n_owners, all_repos, all_owners): each candidate string by distinct repositories and owners.
+
+    ``all_repos`` and ``all_owners`` are those of every row, copies of a text among them;
+    a text without a repository is one of its own.  ``n_repos`` and ``n_owners`` are at
+    most the number of distinct texts, so that the copies of one text count once,
+    whichever rows they stand in.  All aggregations are combined before their shuffle, so
+    a string that a third of all rows carry sends a few rows per task, not one per
+    occurrence.
     """
-    place = F.struct(F.col("owner").isNull().alias("no_owner"), "owner", F.col("repo").isNull().alias("no_repo"), "repo")
-    texts = found.groupBy("hash", "key").agg(F.min(place).alias("at")).select("hash", "key", "at.*")
-    pairs = texts.groupBy("hash", "owner", "repo", F.when(F.col("no_repo"), F.col("key")).alias("own")).agg(F.lit(1).alias("one"))
-    repos = pairs.groupBy("hash", "repo", "own").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("n_repos"))
-    owners = pairs.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count_if(F.col("owner").isNotNull()).alias("n_owners"))
-    return repos.join(owners, "hash")
+    def distinct(name: str, *of) -> DataFrame:
+        return found.groupBy("hash", *of).agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias(name))
+
+    repos = distinct("all_repos", "repo", F.when(F.col("repo").isNull(), F.col("key")).alias("own"))
+    owners = found.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count_if(F.col("owner").isNotNull()).alias("all_owners"))
+    every = repos.join(owners, "hash").join(distinct("n_texts", "key"), "hash")
+    return every.select("hash", F.least("all_repos", "n_texts").alias("n_repos"), F.least("all_owners", "n_texts").alias("n_owners"), "all_repos", "all_owners")
 
 
 def scan(docs: DataFrame, *, text: str = "text", repo: str = "doc_id", owner: str = "source", live_owners: int = 1, copied_owners: int = 3, copied_repos: int = 20) -> DataFrame:
     """One row per input row: repo, base and all spans in order, and how its strings are owned.
 
     A string known to ``copied_owners`` owners or more, or in ``copied_repos`` repositories
-    or more, counts as a copied example; one known to at most ``live_owners`` owners, in
-    fewer repositories, as live.  Opaque tokens become spans only when live; base spans
-    always stay.  ``n_repos`` is the most repositories that one string of the row is in.
+    or more, counts as a copied example, whether texts of their own or copies of one text
+    carry it.  Any other counts as live if at most ``live_owners`` owners, or as many
+    distinct texts, carry it.  Opaque tokens become spans only when live; base spans always
+    stay.  ``n_repos`` is the most repositories that one string of the row is in, copies of
+    a text once; ``all_repos`` and ``all_owners`` count every copy.
 
     Very long texts are scanned whole, at a cost in proportion to their length.  Spans of
     one start are ordered by kind.
     Null text is empty text; a null owner owns nothing, so its strings count no owner
-    and stay live.  Repeated rows give repeated results and count once in the
+    and stay live in few repositories.  Repeated rows give repeated results and count once in the
     frequencies.  Empty tables give empty results; extra columns are not read.
     """
     c = materialise(candidates(docs, text, repo, owner), "secret-candidates")
     found = materialise(spans(c), "secret-spans")
     owned = materialise(ownership(found), "secret-ownership")  # a plain shuffle, so that the rows of a string that very many texts carry are split
-    judged = found.join(owned, "hash").withColumns({
-        "live": (F.col("n_owners") <= live_owners) & (F.col("n_repos") < copied_repos), "copied": (F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos)})
+    copied = (F.col("all_owners") >= copied_owners) | (F.col("all_repos") >= copied_repos)
+    judged = found.join(owned, "hash").withColumns({"live": (F.col("n_owners") <= live_owners) & ~copied, "copied": copied})
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
     span = F.struct("start", "rank", "end", kind.alias("kind"))
     per_row = judged.groupBy(*[F.col(x).alias(f"_{x}") for x in _DOC]).agg(
         F.array_sort(F.collect_list(F.when(F.col("rank") < 3, span))).alias("base"), F.array_sort(F.collect_list(F.when((F.col("rank") < 3) | F.col("live"), span))).alias("all"),
-        F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied"), F.max("n_repos").alias("n_repos"))
+        F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied"), *[F.max(x).alias(x) for x in _MOST])
     same = c["repo"].eqNullSafe(per_row["_repo"]) & c["owner"].eqNullSafe(per_row["_owner"]) & (c["key"] == per_row["_key"])
     none, zero = F.array().cast(f"array<{_SPAN}>"), F.lit(0).cast("long")
     return c.select(*_DOC).join(per_row, same, "left").select(
-        "repo", F.coalesce("base", none).alias("base"), F.coalesce("all", none).alias("all"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"), F.coalesce("n_repos", zero).alias("n_repos"))
+        "repo", F.coalesce("base", none).alias("base"), F.coalesce("all", none).alias("all"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"), *[F.coalesce(x, zero).alias(x) for x in _MOST])
 
 
 def _joined(of: Column) -> Column:
@@ -125,4 +132,4 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda rank: F.size(F.filter("base", lambda x: x["rank"] == rank)).cast("long")
     return s.select(
         F.col("repo").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), "n_live", "n_copied", "n_repos")
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), "n_live", "n_copied", *_MOST)

@@ -80,3 +80,16 @@ def test_single_case_keys(spark):
     got = {r["repo"]: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all([x["kind"] for x in got[k]["all"]] == ["opaque"] and not got[k]["base"] for k in range(3))
     assert not got[10]["all"] and all(not got[20 + k]["all"] and got[20 + k]["n_copied"] == 1 for k in range(3))
+
+
+def test_every_copy_of_a_text_counts(spark):
+    """Owners and repositories of copies count, and the names of owners decide nothing."""
+    wide, many, low, high = "Zx9" * 9, "Yw8" * 9, "Xv7" * 9, "Wu6" * 9
+    rows = [(k, f"readme {wide}", f"o{k}") for k in range(5)] + [(100 + k, f"notes {many}", "hot") for k in range(25)]
+    rows += [(200, f"page {low}", "a"), (201, f"page {low}", "b"), (202, f"other {low}", "a")]  # one more text by the owner whose name comes first
+    rows += [(300, f"page {high}", "a"), (301, f"page {high}", "b"), (302, f"other {high}", "b")]  # or last
+    got = {r["repo"]: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    of = lambda k: (len(got[k]["all"]), got[k]["n_live"], got[k]["n_copied"], got[k]["all_repos"], got[k]["all_owners"])
+    assert all(of(k) == (0, 0, 1, 5, 5) for k in range(5))
+    assert all(of(k) == (0, 0, 1, 25, 1) for k in range(100, 125))
+    assert all(of(k) == (0, 0, 0, 3, 2) for k in (200, 201, 202, 300, 301, 302))
