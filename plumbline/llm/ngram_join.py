@@ -38,6 +38,8 @@ SHINGLE = 5
 REGION = 0.35
 #: Columns of more documents than this are not multiplied out.
 DENSE = 64
+#: Pairs of rows of a block that are held before equal ones are counted together.
+_HELD = 1 << 19
 _EDGE = np.uint64(int(REGION * 2**64))
 _SETS = "doc_id long, n long, k long, sig binary, region binary"
 _U8 = "<u8"
@@ -88,7 +90,7 @@ def _blocks(n_blocks: int, heavy: np.ndarray, kept):
                 continue
             ids, n, k, regions = ids[use], n[use], k[use], [r for r, u in zip(regions, use, strict=True) if u]
             h, at = np.concatenate(regions), np.repeat(np.arange(len(ids)), k)
-            hot = np.isin(h, heavy)
+            hot = heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h if len(heavy) else np.zeros(len(h), bool)
             block = (h % np.uint64(n_blocks)).astype(np.int64)
             block[hot] = -1
             order = np.argsort(block, kind="stable")
@@ -106,45 +108,70 @@ def _blocks(n_blocks: int, heavy: np.ndarray, kept):
     return run
 
 
+def _counted(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, and the sum of the counts of each."""
+    order, value, begin = _runs(np.concatenate(codes))
+    return value, np.add.reduceat(np.concatenate(counts)[order], begin) if len(begin) else np.zeros(0, np.int32)
+
+
+def _met_in(at: np.ndarray, begin: np.ndarray, size: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x * rows + y, common columns) of the pairs of rows, the smaller id first, that columns of up to ``DENSE`` rows join and sizes allow.
+
+    Pairs are counted as they come, so memory goes by the distinct ones.
+    """
+    codes, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
+    for g in np.unique(size[(size > 1) & (size <= DENSE)]).tolist():
+        i, j = np.triu_indices(g, 1)
+        columns, some = begin[size == g], max(1, _HELD // len(i))
+        for k in range(0, len(columns), some):
+            rows = at[columns[k : k + some, None] + np.arange(g)]
+            x, y = rows[:, i].ravel(), rows[:, j].ravel()
+            near = (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & (ids[x] != ids[y])
+            x, y = x[near], y[near]
+            swap = ids[x] > ids[y]
+            codes.append(np.where(swap, y, x).astype(np.int64) * len(ids) + np.where(swap, x, y))
+            counts.append(np.ones(len(x), np.int32))
+            held += len(x)
+            if held > max(_HELD, len(codes[0])):
+                (value, count), held = _counted(codes, counts), 0
+                codes, counts = [value], [count]
+    return _counted(codes, counts)
+
+
 _PRODUCT = "a long, b long, common long, needed long, size long"
 
 
-def _product(pdf: pd.DataFrame) -> pd.DataFrame:
+def _rows(a: np.ndarray, b: np.ndarray | None, common: np.ndarray, needed: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if x is not None else pa.nulls(len(a), pa.int64()) for x in (a, b, common, needed, size)], names=[x.split()[0] for x in _PRODUCT.split(", ")])
+
+
+def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlaps of one block of columns: pairs a < b, and (a, null) with the number of a's columns not multiplied out."""
-    ids, n, k, lengths = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("ids", "n", "k", "lengths"))
-    if pdf["block"].iloc[0] < 0:
-        return pd.DataFrame({"a": ids, "b": pd.array([None] * len(ids), "Int64"), "common": lengths, "needed": _least(n, k), "size": k})
-    h = np.concatenate([np.frombuffer(x, _U8) for x in pdf["hashes"]])
-    at = np.repeat(np.arange(len(ids)), lengths)
+    t = pa.Table.from_batches(batches)
+    ids, n, k, lengths = (np.concatenate([np.frombuffer(x, np.int64) for x in t[c].to_pylist()]) for c in ("ids", "n", "k", "lengths"))
+    if t["block"][0].as_py() < 0:
+        yield _rows(ids, None, lengths, _least(n, k), k)
+        return
+    h = np.concatenate([np.frombuffer(x, _U8) for x in t["hashes"].to_pylist()])
+    del t
+    at = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
     order = np.argsort(h, kind="stable")
     h, at = h[order], at[order]
     cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]) if len(h) else np.zeros(1, np.int64)
     begin, size = cuts[:-1], np.diff(cuts)
-    left, right = [], []
-    for g in np.unique(size[(size > 1) & (size <= DENSE)]):
-        rows = at[begin[size == g][:, None] + np.arange(g)]
-        i, j = np.triu_indices(g, 1)
-        x, y = rows[:, i].ravel(), rows[:, j].ravel()
-        near = (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & (ids[x] != ids[y])
-        left.append(x[near])
-        right.append(y[near])
     many = at[np.repeat(size > DENSE, size)]
-    parts = []
-    if left and len(x := np.concatenate(left)):
-        y = np.concatenate(right)
-        swap = ids[x] > ids[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        code, common = np.unique(x * len(ids) + y, return_counts=True)
-        x, y = code // len(ids), code % len(ids)
+    del h, order
+    code, common = _met_in(at, begin, size, n, ids)
+    for part in range(0, len(code), _HELD):
+        x, y = np.divmod(code[part : part + _HELD], len(ids))
         whole = (k[x] == n[x]) & (k[y] == n[y])
         # below the edge both are shown; above it only where both show everything
         kx, ky = (np.where(whole, n[z], np.where(k[z] == n[z], -1, k[z])) for z in (x, y))
         miss = np.minimum(np.where(kx < 0, n[x], n[x] - kx), np.where(ky < 0, n[y], n[y] - ky))
-        parts.append(pd.DataFrame({"a": ids[x], "b": ids[y], "common": common, "needed": np.maximum(1, _needed(n[x], n[y]) - miss), "size": k[x]}))
+        yield _rows(ids[x], ids[y], common[part : part + _HELD], np.maximum(1, _needed(n[x], n[y]) - miss), k[x])
     if len(many):
         x, c = np.unique(many, return_counts=True)
-        parts.append(pd.DataFrame({"a": ids[x], "b": pd.array([None] * len(x), "Int64"), "common": c, "needed": _least(n[x], k[x]), "size": k[x]}))
-    return pd.concat([p.astype({"b": "Int64"}) for p in parts]) if parts else pd.DataFrame({x: [] for x in ("a", "b", "common", "needed", "size")}).astype({"a": "int64", "b": "Int64", "common": "int64", "needed": "int64", "size": "int64"})
+        yield _rows(ids[x], None, c, _least(n[x], k[x]), k[x])
 
 
 def _heavy_columns(sets: DataFrame, total: int, kept, *, rows: int, block_rows: int) -> np.ndarray:
@@ -163,14 +190,15 @@ def _heavy_columns(sets: DataFrame, total: int, kept, *, rows: int, block_rows:
     share = max(rows / max(total, 1), DENSE / block_rows)
     some = sets.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "region")
     often = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") > DENSE)
-    return often.select("h").toArrow()["h"].to_numpy().view(np.uint64)
+    return np.sort(often.select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, last, kept = WordHashes(), None, None
     for batch in batches:
         ok = []
-        for a, s, t in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+        for a, s, t in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            s, t = s.as_py(), t.as_py()
             if a != last or s != kept[0]:
                 last, kept = a, (s, shingles(s, hashes))
             x, y = kept[1], shingles(t, hashes)
@@ -197,7 +225,7 @@ LEADERS, _TOGETHER = 3, 32
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
         sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
         n = np.asarray([len(x) for x in sets], np.int64)
         values = pa.array(signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64))
@@ -314,9 +342,11 @@ def hidden_links(texts: DataFrame, links: DataFrame) -> DataFrame:
             return found.unionByName(block_links(docs.join(met.groupBy("doc_id").agg(F.max("open").alias("open")), "doc_id")))
         new = materialise(verified(met.select(F.col("doc_id").alias("a"), F.explode("leads").alias("b")), texts), "ngram-links")
         n_new = new.count()
+        old = docs
         docs = docs.join(met.select("doc_id"), "doc_id", "left_semi")
         merged = _merged(docs, new if turn else new.unionByName(links)).withColumnRenamed("c", "g")
         docs = materialise(even(docs.join(merged, docs["c"] == merged["g"], "left").withColumn("c", F.coalesce("m", "c")).drop("g", "m")), "ngram-columns")
+        discard(old, met)
         found = found.unionByName(new)
         turn += 1
 
@@ -408,14 +438,18 @@ def join(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", block_rows
     heavy = _heavy_columns(rows, reps, kept, rows=sample_rows, block_rows=block_rows)
     n_blocks = max(1, -(-entries // block_rows))
     blocks = rows.select("doc_id", "n", "k", "region").mapInArrow(_blocks(n_blocks, heavy, kept), "block long, ids binary, n binary, k binary, lengths binary, hashes binary")
-    product = materialise(blocks.groupBy("block").applyInPandas(_product, _PRODUCT), "ngram-product")
+    product = materialise(blocks.groupBy("block").applyInArrow(_product, _PRODUCT), "ngram-product")
 
+    slim = materialise(sets.select("doc_id", "n", "sig"), "ngram-sizes")
+    discard(sets)  # the regions have been multiplied
+    sets = slim
     hot = materialise(product.where(F.col("b").isNull()).groupBy("a").agg(F.sum("common").alias("hot"), F.min("needed").alias("least"), F.max("size").alias("size")), "ngram-hot")
-    pairs = product.where(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("needed").alias("needed"))
-    extra = hot.select(F.col("a").alias("x"), "hot")
-    pairs = pairs.join(extra.withColumnsRenamed({"x": "a", "hot": "hot_a"}), "a", "left").join(extra.withColumnsRenamed({"x": "b", "hot": "hot_b"}), "b", "left")
-    possible = F.col("common") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
-    pairs = materialise(pairs.where(possible >= F.col("needed")).select("a", "b", (F.col("common") / F.col("needed")).alias("fit")), "ngram-pairs")
+    # dealt by a alone, which counting and the first lookup share; few pairs are left for the second
+    pairs = product.where(F.col("b").isNotNull()).select("a", "b", "common", "needed").repartition("a").groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("needed").alias("needed"))
+    for x in ("a", "b"):
+        pairs = pairs.join(hot.select(F.col("a").alias(x), F.col("hot").alias(f"hot_{x}")), x, "left").where(F.col("common") + F.coalesce(f"hot_{x}", F.lit(0)) >= F.col("needed"))
+    pairs = materialise(pairs.select("a", "b", (F.col("common") / F.col("needed")).alias("fit")), "ngram-pairs")
+    discard(product)
     dominated = hot.where(F.col("hot") >= F.col("least")).select(F.col("a").alias("doc_id"), (10 * F.col("hot") >= 9 * F.col("size")).alias("central"))
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(dominated.select("doc_id"))
     wanted = spark.sparkContext.broadcast(sketch_bits(needed, "doc_id", sketch))
@@ -433,6 +467,7 @@ def join(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", block_rows
     first = materialise(verified(best, few), "ngram-links")
     thick = materialise(few.join(dominated, "doc_id"), "ngram-thick")
     first = materialise(hidden_links(thick, first), "ngram-links")
+    discard(thick)
     label = materialise(components(first, "ngram-components"), "ngram-labels")
     of = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")

@@ -1,4 +1,8 @@
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from plumbline.llm import ngram_join
 from plumbline.llm.ngram_join import join, op5_ngram_join
@@ -91,3 +95,21 @@ def test_odd(spark):
     rows = [(i, t) for i, t, *_ in odd_rows()]
     assert result(join(odd(spark))) == brute(rows)
     assert join(empty(spark)).count() == 0
+
+
+def test_memory_of_a_block_goes_by_distinct_pairs(monkeypatch):
+    """Many columns of the same documents: pairs are counted as they come, in parts of any size."""
+    rows, columns = 60, 4000
+    h = np.tile(np.arange(columns, dtype=np.uint64), rows)
+    one = lambda x: [np.asarray(x, np.int64).tobytes()]
+    n = [columns] * rows
+    block = pa.RecordBatch.from_pydict({"block": [0], "ids": one(np.arange(rows)[::-1]), "n": one(n), "k": one(n), "lengths": one(n), "hashes": [h.tobytes()]})
+    tracemalloc.start()
+    got = pa.Table.from_batches(ngram_join._product(iter([block])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == rows * (rows - 1) // 2 and set(got["common"].to_pylist()) == {columns}
+    assert all(a < b for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+    assert peak < 100e6  # 7,080,000 pairs, 57 MB in one list of them; the product used to hold several
+    monkeypatch.setattr(ngram_join, "_HELD", 1000)
+    assert pa.Table.from_batches(ngram_join._product(iter([block]))).sort_by([("a", "ascending"), ("b", "ascending")]) == got.sort_by([("a", "ascending"), ("b", "ascending")])
