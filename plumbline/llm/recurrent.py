@@ -14,22 +14,21 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .support import discard, materialise, read
-from .words import split
+from .words import split_column
 
 END, UNKNOWN = 0, 1
-#: Distinct words that a task counts before it sends them on; tokens that a task runs through the model at once; vectors that a task adds up; fewest lanes; tokens of a window in scoring.
-COUNTED, CHUNK, FAN_IN, NARROW, AT_ONCE = 400_000, 1 << 22, 64, 32, 1 << 14
+#: Distinct words that a task counts before it sends them on; bytes of texts that it splits at once (one text at least); tokens that a task runs through the model at once; vectors that a task adds up; fewest lanes; tokens of a window in scoring.
+COUNTED, SPLIT, CHUNK, FAN_IN, NARROW, AT_ONCE = 400_000, 1 << 20, 1 << 22, 64, 32, 1 << 14
 LN10 = math.log(10)
 
 
@@ -68,6 +67,11 @@ class Vocabulary:
     rest_tokens: int
     rest_distinct: int
 
+    @property
+    def stored(self) -> str:
+        """The type in which ids are stored."""
+        return "<u2" if len(self.weights) <= 1 << 16 else "<i4"
+
 
 def classes_of(weights: np.ndarray, classes: int) -> np.ndarray:
     """First ids of classes that hold about equal shares of the roots of the weights; ids go by falling weight."""
@@ -81,9 +85,11 @@ class Gru:
 
     def __init__(self, vocab_size: int, first: np.ndarray, s: Settings, dtype=np.float32):
         self.s, self.first, self.dtype, self.n = s, np.asarray(first), dtype, vocab_size
-        self.class_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         h, d, c = s.hidden, s.embedded, len(first) - 1
-        self.shapes = {"e": (vocab_size, d), "wx": (d, 3 * h), "wh": (h, 3 * h), "b": (3 * h,), "wc": (h, c), "bc": (c,), "wo": (vocab_size, h), "bo": (vocab_size,)}
+        self.widths = np.diff(self.first)
+        self.class_of = np.repeat(np.arange(c), self.widths).astype(np.min_scalar_type(c))  # small integers are sorted by counting
+        #: ``x``, ``c`` and ``o`` are the weights of inputs, of classes and of words, the biases last.
+        self.shapes = {"e": (vocab_size, d), "x": (d + 1, 3 * h), "wh": (h, 3 * h), "c": (h + 1, c), "o": (vocab_size, h + 1)}
         self.size = sum(math.prod(x) for x in self.shapes.values())
 
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -91,7 +97,7 @@ class Gru:
         for k, shape in self.shapes.items():
             out[k] = flat[at : at + math.prod(shape)].reshape(shape)
             at += math.prod(shape)
-        return out
+        return out | {"wx": out["x"][:-1], "b": out["x"][-1], "wc": out["c"][:-1], "bc": out["c"][-1], "wo": out["o"][:, :-1], "bo": out["o"][:, -1]}
 
     def first_parameters(self, weights: np.ndarray, seed: int = 12) -> np.ndarray:
         """Small random weights, and biases that make the network give the words' shares."""
@@ -104,69 +110,93 @@ class Gru:
         p["bc"][:], p["bo"][:] = np.log(of_class / of_class.sum()), np.log(w / of_class[self.class_of])
         return flat.astype(self.dtype)
 
-    def states(self, p: dict, gx: np.ndarray, keep: np.ndarray, h: np.ndarray, save: bool = False):
-        """States after each step of a window, from the inputs' gates; ``keep`` is 0 where a document begins."""
+    def inputs(self, p: dict, seen: np.ndarray) -> np.ndarray:
+        """The ids' embeddings and a 1 for the bias, step by lane by component."""
+        x = np.ones((*seen.shape, self.s.embedded + 1), self.dtype)
+        x[..., :-1] = np.take(p["e"], seen, axis=0)
+        return x
+
+    def states(self, p: dict, x: np.ndarray, keep: np.ndarray, h: np.ndarray, save: bool = False):
+        """States after each step of a window, step by component by lane; ``keep`` is 0 where a document begins, ``h`` the state before, component by lane."""
         n, half = self.s.hidden, self.dtype(0.5)
         scale = np.repeat(np.asarray([half, half, 1], self.dtype), n)  # a logistic curve is a tanh of half the argument
-        gx, wh, resets = gx * scale, p["wh"] * scale, ~keep.all(1)
-        out = np.empty((*gx.shape[:2], n), self.dtype)
-        saved = [np.empty((*gx.shape[:2], w), self.dtype) for w in (n, 2 * n, n, n)] if save else None
-        for t in range(len(gx)):
+        wh, resets = np.ascontiguousarray((p["wh"] * scale).T), ~keep.all(1)
+        gates = np.matmul((p["x"] * scale).T, x.transpose(0, 2, 1))
+        out = np.empty((len(gates), n, gates.shape[2]), self.dtype)
+        # kept for the gradient: the states before each step, both gates and the new state, and what they got from the state before
+        before, gh = (np.empty_like(out), np.empty_like(gates)) if save else (None, np.empty_like(gates[:1]))
+        for t in range(len(gates)):
             if resets[t]:
-                h = h * keep[t][:, None]
-            gh = h @ wh
-            zr = np.tanh(gx[t, :, : 2 * n] + gh[:, : 2 * n])
+                h = h * keep[t]
+            now, zr, new = gh[t if save else 0], gates[t, : 2 * n], gates[t, 2 * n :]
+            np.matmul(wh, h, out=now)
+            zr += now[: 2 * n]
+            np.tanh(zr, out=zr)
             zr += 1
             zr *= half
-            new = zr[:, n:] * gh[:, 2 * n :]
-            new += gx[t, :, 2 * n :]
+            new += zr[n:] * now[2 * n :]
             np.tanh(new, out=new)
             if save:
-                saved[0][t], saved[1][t], saved[2][t], saved[3][t] = h, zr, new, gh[:, 2 * n :]
-            np.subtract(h, new, out=out[t])
-            out[t] *= zr[:, :n]
-            out[t] += new
-            h = out[t]
-        return out, saved
+                before[t] = h
+            h = np.subtract(h, new, out=out[t])
+            h *= zr[:n]
+            h += new
+        return out, (before, gates, gh)
 
     def outputs(self, p: dict, h: np.ndarray, want: np.ndarray, grad: dict | None = None):
         """Natural log probability of each wanted id after its state; with ``grad``, also the gradient at the states of the negative sum."""
         order = np.argsort(self.class_of[want], kind="stable")  # rows of a class are a slice from here on
-        mine, ids, at = np.column_stack([h[order], np.ones(len(h), self.dtype)]), want[order], np.arange(len(want))
-        cls = self.class_of[ids]
-        of_class, of_word = np.vstack([p["wc"], p["bc"]]), np.column_stack([p["wo"], p["bo"]])
+        mine, ids = np.ones((len(h), self.s.hidden + 1), self.dtype), want[order]
+        mine[:, :-1] = h[order]
+        cls = self.class_of[ids].astype(np.int64)
         # states lie within 1, so exponents cannot overflow unless weights are this large
-        large = max(np.abs(of_class).sum(0).max(), np.abs(of_word).sum(1).max()) > 60
-
-        def soft(rows: np.ndarray, weights: np.ndarray, target: np.ndarray):
-            logits = rows @ weights
-            if large:
-                logits -= logits.max(1, keepdims=True)
-            wanted = logits[at[: len(rows)], target]
-            np.exp(logits, out=logits)
-            total = logits @ np.ones(logits.shape[1], self.dtype)
-            if grad is not None:
-                logits *= (1 / total)[:, None]
-                logits[at[: len(rows)], target] -= 1
-            return wanted - np.log(total), logits
-
-        value, e = soft(mine, of_class, cls)
-        value = value.astype(np.float64)
+        large = max((np.ones(len(p["c"]), self.dtype) @ np.abs(p["c"])).max(), (np.abs(p["o"]) @ np.ones(p["o"].shape[1], self.dtype)).max()) > 60
+
+        logits = mine @ p["c"]
+        if large:
+            logits -= logits.max(1, keepdims=True)
+        at = np.arange(len(ids)) * logits.shape[1] + cls
+        wanted = logits.reshape(-1)[at]
+        np.exp(logits, out=logits)
+        total = logits @ np.ones(logits.shape[1], self.dtype)
+        value = (wanted - np.log(total)).astype(np.float64)
         if grad is not None:
-            both = mine.T @ e
-            grad["wc"][:], grad["bc"][:] = both[:-1], both[-1]
-            dh = e @ p["wc"].T
-        cuts = np.searchsorted(cls, np.arange(len(self.first)))
-        for c in np.flatnonzero(np.diff(cuts)):
-            lo, hi, s = self.first[c], self.first[c + 1], slice(cuts[c], cuts[c + 1])
-            if hi - lo == 1:
-                continue
-            more, e = soft(mine[s], of_word[lo:hi].T, ids[s] - lo)
-            value[s] += more
+            # the rows are divided by their totals in the narrower factors of the products
+            logits.reshape(-1)[at] -= total
+            share = (1 / total)[:, None]
+            np.matmul((mine * share).T, logits, out=grad["c"])
+            dh = logits @ p["wc"].T
+            dh *= share
+
+        # words within their class: the logits of all rows lie in one vector, row after row; a class of one word needs none
+        widths, cuts = np.where(self.widths > 1, self.widths, 0), np.searchsorted(cls, np.arange(len(self.first)))
+        rows = np.flatnonzero(widths[cls])
+        if len(rows):
+            wide = widths[cls[rows]]
+            begins = np.cumsum(wide) - wide
+            ends = np.concatenate([[0], np.cumsum(np.diff(cuts) * widths)]).tolist()
+            lines = np.empty(ends[-1], self.dtype)
+            parts = [(slice(cuts[c], cuts[c + 1]), slice(self.first[c], self.first[c + 1]), lines[ends[c] : ends[c + 1]].reshape(-1, widths[c])) for c in np.flatnonzero(np.diff(cuts) * widths)]
+            for s, w, part in parts:
+                np.matmul(mine[s], p["o"][w].T, out=part)
+            if large:
+                lines -= np.repeat(np.maximum.reduceat(lines, begins), wide)
+            at = begins + ids[rows] - self.first[cls[rows]]
+            wanted = lines[at]
+            np.exp(lines, out=lines)
+            total = np.add.reduceat(lines, begins)
+            value[rows] += wanted - np.log(total)
             if grad is not None:
-                both = e.T @ mine[s]
-                grad["wo"][lo:hi], grad["bo"][lo:hi] = both[:, :-1], both[:, -1]
-                dh[s] += e @ p["wo"][lo:hi]
+                lines[at] -= total
+                share = np.zeros((len(ids), 1), self.dtype)
+                share[rows, 0] = 1 / total
+                mine *= share
+                more = np.zeros_like(dh)
+                for s, w, part in parts:
+                    np.matmul(part.T, mine[s], out=grad["o"][w])
+                    np.matmul(part, p["wo"][w], out=more[s])
+                more *= share
+                dh += more
         out = np.empty_like(value)
         out[order] = value
         if grad is None:
@@ -178,36 +208,38 @@ class Gru:
     def learn(self, p: dict, read_ids: np.ndarray, want: np.ndarray, live: np.ndarray, keep: np.ndarray, h: np.ndarray):
         """(gradient of the negative log probability of a window, its log probability, the state after it)."""
         flat = np.zeros(self.size, self.dtype)
-        g, n, steps = self.views(flat), self.s.hidden, len(want)
-        x = p["e"][read_ids]
-        hs, (before, zr, new, ghn) = self.states(p, x @ p["wx"] + p["b"], keep, h, save=True)
-        value, d_out = self.outputs(p, hs[live], want[live], g)
-        dh_all = np.zeros_like(hs)
-        dh_all[live] = d_out
-        z, r = zr[..., :n], zr[..., n:]
-        at_z, at_new = (before - new) * z * (1 - z), (1 - z) * (1 - new * new)
-        at_r = at_new * ghn * r * (1 - r)
-        rec, d_new, carried, back, resets = np.empty((*want.shape, 3 * n), self.dtype), np.empty_like(hs), np.zeros_like(h), np.ascontiguousarray(p["wh"].T), ~keep.all(1)
-        for t in reversed(range(steps)):
-            dh = dh_all[t] + carried
-            np.multiply(dh, at_z[t], out=rec[t, :, :n])
-            np.multiply(dh, at_r[t], out=rec[t, :, n : 2 * n])
-            np.multiply(dh, at_new[t], out=d_new[t])
-            np.multiply(d_new[t], r[t], out=rec[t, :, 2 * n :])
-            carried = rec[t] @ back
-            dh *= z[t]
-            carried += dh
+        g, n, x = self.views(flat), self.s.hidden, self.inputs(p, read_ids)
+        hs, (before, gates, gh) = self.states(p, x, keep, h.T, save=True)
+        at = np.flatnonzero(live)
+        rows = np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(-1, n)
+        value, d_out = self.outputs(p, rows[at], want.reshape(-1)[at], g)
+        rows[:] = 0
+        rows[at] = d_out
+        dh = np.ascontiguousarray(rows.reshape(*want.shape, n).transpose(0, 2, 1))
+        z, r, new = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
+        rec = np.empty((len(want), 3, *hs.shape[1:]), self.dtype)  # first what a step's gradient is multiplied by, then the products
+        np.multiply((before - new) * z, 1 - z, out=rec[:, 0])
+        at_new = (1 - z) * (1 - new * new)
+        np.multiply(at_new, r, out=rec[:, 2])
+        np.multiply(rec[:, 2] * gh[:, 2 * n :], 1 - r, out=rec[:, 1])
+        resets = ~keep.all(1)
+        for t in reversed(range(len(want))):
+            if t + 1 < len(want):
+                dh[t] += carried
+            rec[t] *= dh[t]
+            carried = p["wh"] @ rec[t].reshape(3 * n, -1)
+            carried += dh[t] * z[t]
             if resets[t]:
-                carried *= keep[t][:, None]
-        g["wh"][:] = before.reshape(-1, n).T @ rec.reshape(-1, 3 * n)
-        rec[..., 2 * n :] = d_new
-        rows = rec.reshape(-1, 3 * n)
-        g["wx"][:], g["b"][:] = x.reshape(-1, x.shape[-1]).T @ rows, rows.sum(0)
-        ids, dx = read_ids.reshape(-1), rows @ p["wx"].T
+                carried *= keep[t]
+        g["wh"][:] = np.matmul(before, rec.reshape(gates.shape).transpose(0, 2, 1)).sum(0)
+        np.multiply(dh, at_new, out=rec[:, 2])
+        back = rec.reshape(gates.shape).transpose(0, 2, 1)
+        g["x"][:] = np.matmul(x.transpose(0, 2, 1), back).sum(0)
+        ids, dx = read_ids.reshape(-1).astype(np.min_scalar_type(self.n)), np.matmul(back, p["wx"].T).reshape(len(rows), -1)
         order = np.argsort(ids, kind="stable")
         starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
         g["e"][ids[order][starts]] = np.add.reduceat(dx[order], starts, axis=0)
-        return flat, value.sum(), hs[-1]
+        return flat, value.sum(), hs[-1].T
 
 
 def lanes_of(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +265,7 @@ def windows_of(ids: np.ndarray, lengths: np.ndarray, lanes: int, window: int | N
     at, loads = lanes_of(lengths, lanes)
     starts = np.zeros(len(ids), bool)
     starts[np.cumsum(lengths) - lengths] = True
-    before, t = np.concatenate([[END], ids[:-1]]), 0
+    before, t = np.concatenate([np.full(1, END, ids.dtype), ids[:-1]]), 0
     while t < len(at):
         n = int((loads > t).sum())
         steps = window or max(1, min(AT_ONCE // n, 256))
@@ -243,14 +275,14 @@ def windows_of(ids: np.ndarray, lengths: np.ndarray, lanes: int, window: int | N
         yield here, np.where(live, before[here], END), np.where(live, ids[here], END), live, ~(starts[here] & live), here.shape[1]
 
 
-def score_group(net: Gru, p: dict, ids: np.ndarray, lengths: np.ndarray, gates: np.ndarray | None = None) -> np.ndarray:
-    """Natural log probability of each document of a group; ``gates`` are the inputs' gates of all ids."""
-    gates = p["e"] @ p["wx"] + p["b"] if gates is None else gates
-    value, h = np.zeros(len(ids)), np.zeros((net.s.lanes, net.s.hidden), net.dtype)
+def score_group(net: Gru, p: dict, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Natural log probability of each document of a group."""
+    value, h = np.zeros(len(ids)), np.zeros((net.s.hidden, net.s.lanes), net.dtype)
     for here, seen, want, live, keep, n in windows_of(ids, lengths, net.s.lanes):
-        hs, _ = net.states(p, gates[seen], keep.astype(net.dtype), h[:n])
+        hs, _ = net.states(p, net.inputs(p, seen), keep.astype(net.dtype), h[:, :n])
+        at = np.flatnonzero(live)
         # the state after reading the word before predicts the word
-        value[here[live]] = net.outputs(p, hs[live], want[live])
+        value[here.reshape(-1)[at]] = net.outputs(p, hs.transpose(0, 2, 1).reshape(-1, net.s.hidden)[at], want.reshape(-1)[at])
         h = hs[-1]
     return np.add.reduceat(value, np.cumsum(lengths) - lengths)
 
@@ -282,31 +314,42 @@ class Learner:
         self.tokens += len(ids)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return split(text, lower=True)
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """(rows, their words, words of each row), a bounded size of texts at a time."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(size, SPLIT + (size[begin - 1] if begin else 0), "right")))
+            part = batch.slice(begin, end - begin)
+            yield part, *split_column(part.column(column), lower=True)
+            begin = end
+    pa.default_memory_pool().release_unused()  # workers live on after the task
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, training tokens, all tokens) of a task's texts, in parts of a bounded size; the empty word is the end of a text."""
-    learned, other = Counter(), Counter()
-
-    def part() -> pa.RecordBatch:
-        words = list(learned.keys() | other.keys())
-        mine = np.fromiter(map(learned.__getitem__, words), np.int64, len(words))
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(mine), pa.array(mine + np.fromiter(map(other.__getitem__, words), np.int64, len(words)))], names=["word", "n", "n_all"])
-        learned.clear()
-        other.clear()
-        return out
-
-    for batch in batches:
-        for text, held in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            words = _words(text.as_py())
-            for k in range(0, max(1, len(words)), COUNTED):
-                (other if held else learned).update(words[k : k + COUNTED])
-                if len(learned) + len(other) > COUNTED:
-                    yield part()
-            (other if held else learned)[b""] += 1
-    yield part()
+    kept, size = [], 0
+
+    def added() -> pa.Table:
+        sums = pa.TableGroupBy(pa.concat_tables(kept), "word", use_threads=False).aggregate([("n", "sum"), ("n_all", "sum")])
+        return sums.select(["word", "n_sum", "n_all_sum"]).rename_columns(["word", "n", "n_all"])
+
+    for rows, words, lengths in _texts(batches, 0):
+        learned = ~rows.column(1).to_numpy(zero_copy_only=False)
+        found = words.dictionary_encode()
+        at, n = found.indices.to_numpy(), len(found.dictionary)
+        counts = [np.append(np.bincount(k, minlength=n), ends) for k, ends in ((at[np.repeat(learned, lengths)], learned.sum()), (at, len(learned)))]
+        kept.append(pa.table([pa.concat_arrays([found.dictionary, pa.array([b""], pa.binary())]), *counts], names=["word", "n", "n_all"]))
+        size += n + 1
+        if size > 2 * COUNTED:
+            kept = [added()]
+            size = len(kept[0])
+            if size > COUNTED:
+                yield from kept[0].combine_chunks().to_batches()
+                kept, size = [], 0
+    if kept:
+        yield from added().combine_chunks().to_batches()
 
 
 def held_out(doc: str):
@@ -341,29 +384,39 @@ def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
 _TOKENS = "key long, doc_id long, held_out boolean, slice int, n_tokens long, n_known long, known_log double, rest long, rest_log double, ids binary, rare array<struct<word:binary,n:long>>"
 
 
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of bytes; ``ends`` are the rows' ends among the values."""
+    at = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(values)])
+
+
 def _tokens(v: Vocabulary):
     """Texts as ids of the model, with sums over the words that the task knows; the others are listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = {w: k for k, w in enumerate(v.words)}
-        end_log = math.log10(v.end + 1.0)
-        for batch in batches:
-            rows, rare_words, rare_times, rare_ends = [], [], [], [0]
-            keys = [batch.column(k).to_pylist() for k in range(4)]
-            for key, doc, held, part, text in zip(*keys, batch.column(4), strict=True):
-                words = _words(text.as_py())
-                codes = np.fromiter(map(code.get, words, repeat(-1)), np.int64, len(words))
-                ids = np.append(v.ids[codes], END).astype("<i4")
-                outside = ids == UNKNOWN
-                rare = Counter(map(words.__getitem__, np.flatnonzero(codes < 0).tolist()))
-                rare_words.extend(rare.keys())
-                rare_times.extend(rare.values())
-                rare_ends.append(len(rare_words))
-                logs = v.logs[codes]
-                rows.append((key, doc, held, -1 if held else part, len(ids), int(v.known[codes].sum()) + (v.end > 0), float(logs.sum()) + end_log, int(outside.sum()), float(logs[outside[:-1]].sum()), ids.tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.binary()]
-            others = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int64())], ["word", "n"]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)), others], names=[x.split()[0] for x in _TOKENS.split(", ", 10)])
+        mine, end_log = pa.array(v.words, pa.binary()), math.log10(v.end + 1.0)
+        for rows, words, lengths in _texts(batches, 4):
+            docs = np.repeat(np.arange(len(lengths)), lengths)
+            codes = pc.fill_null(pc.index_in(words, value_set=mine), -1).to_numpy()
+            of_words, logs = v.ids[codes], v.logs[codes]
+            ids = np.full(len(words) + len(lengths), END, v.stored)
+            ids[np.arange(len(words)) + docs] = of_words
+            outside = of_words == UNKNOWN
+
+            def sums(values: np.ndarray, docs=docs, n=len(lengths)) -> np.ndarray:
+                return np.bincount(docs, values, n).astype(np.float64)  # without any word they would be integers
+
+            other = np.flatnonzero(codes < 0)
+            found = words.take(pa.array(other)).dictionary_encode()
+            each, times = np.unique(docs[other] * max(1, len(found.dictionary)) + found.indices.to_numpy(), return_counts=True)
+            of_doc, word = np.divmod(each, max(1, len(found.dictionary)))
+            pairs = pa.StructArray.from_arrays([found.dictionary.take(pa.array(word)), pa.array(times, pa.int64())], ["word", "n"])
+            others = pa.ListArray.from_arrays(pa.array(np.searchsorted(of_doc, np.arange(len(lengths) + 1)), pa.int32()), pairs)
+            held = rows.column(2).to_numpy(zero_copy_only=False)
+            part = np.where(held, -1, rows.column(3).to_numpy()).astype(np.int32)
+            n_known = sums(v.known[codes]).astype(np.int64) + (v.end > 0)
+            sizes = lengths + 1
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], *map(pa.array, (part, sizes, n_known, sums(logs) + end_log, sums(outside).astype(np.int64), sums(logs * outside))), _lists(ids, np.cumsum(sizes)), others], names=[x.split()[0] for x in _TOKENS.split(", ", 10)])
 
     return run
 
@@ -374,7 +427,7 @@ def tokenised(docs: DataFrame, v: Vocabulary, s: Settings, *, text: str, doc: st
     return materialise(rows.select("key", "doc_id", "held", part.alias("slice"), "text").mapInArrow(_tokens(v), _TOKENS), "lm-tokens", by="slice")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+def _groups(batches: Iterator[pa.RecordBatch], column: int, stored: str) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
     """Rows in groups of about ``CHUNK`` tokens, their ids and the documents' lengths."""
     rows, texts, held = [], [], 0
 
@@ -383,7 +436,7 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[li
         return list(rows), np.concatenate(texts), lengths
 
     for batch in batches:
-        part = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(column)]
+        part = [np.frombuffer(x.as_buffer(), stored) for x in batch.column(column)]
         begin = 0
         for k, x in enumerate(part):
             texts.append(x)
@@ -400,10 +453,10 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[li
         yield group()
 
 
-def _learn(net_of, flat: np.ndarray):
+def _learn(net_of, flat: np.ndarray, stored: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Learner(net_of(), flat)
-        for _, ids, lengths in _groups(batches, 0):
+        for _, ids, lengths in _groups(batches, 0, stored):
             learner.group(ids, lengths)
         if learner.tokens:
             yield pa.RecordBatch.from_arrays([pa.array([learner.tokens]), pa.array([(learner.flat.astype(np.float64) * learner.tokens).tobytes()], pa.binary())], names=["tokens", "total"])
@@ -426,9 +479,9 @@ def train(tokens: DataFrame, v: Vocabulary, s: Settings) -> np.ndarray:
     """Parameters after all rounds.  Between rounds the driver adds up at most ``FAN_IN`` vectors, one at a time."""
     net = Gru(len(v.weights), v.first, s)
     flat = np.concatenate([net.first_parameters(v.weights), np.full(net.size, 1e-6, np.float32)]).astype(np.float32)
-    size, first = len(v.weights), v.first
+    size, first, stored = len(v.weights), v.first, v.stored
     for k in range(s.rounds):
-        out = materialise(tokens.where(F.col("slice") == k).select("ids").mapInArrow(_learn(lambda: Gru(size, first, s), flat), "tokens long, total binary"), "lm-round")
+        out = materialise(tokens.where(F.col("slice") == k).select("ids").mapInArrow(_learn(lambda: Gru(size, first, s), flat, stored), "tokens long, total binary"), "lm-round")
         n, parts = out.count(), out
         while n > FAN_IN:  # levels of sums
             n = -(-n // FAN_IN)
@@ -445,13 +498,12 @@ def train(tokens: DataFrame, v: Vocabulary, s: Settings) -> np.ndarray:
 _SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, rest long, rest_log double, model_log double"
 
 
-def _score(net_of, params: np.ndarray):
+def _score(net_of, params: np.ndarray, stored: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = net_of()
         p = net.views(params)
-        gates = p["e"] @ p["wx"] + p["b"]
-        for rows, ids, lengths in _groups(batches, 8):
-            value = score_group(net, p, ids, lengths, gates) / LN10
+        for rows, ids, lengths in _groups(batches, 8, stored):
+            value = score_group(net, p, ids, lengths) / LN10
             at = 0
             for batch in rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:8], pa.array(value[at : at + batch.num_rows])], names=[x.split()[0] for x in _SCORED.split(", ")])
@@ -475,7 +527,7 @@ def log_likelihood(docs: DataFrame, *, text: str = "text", doc: str = "doc_id",
     tokens = tokenised(docs, v, settings, text=text, doc=doc)
     params = train(tokens, v, settings)
     size, first = len(v.weights), v.first
-    scored = materialise(tokens.select(*[x.split()[0] for x in _SCORED.split(", ")[:8]], "ids").mapInArrow(_score(lambda: Gru(size, first, settings), params), _SCORED), "lm-scores")
+    scored = materialise(tokens.select(*[x.split()[0] for x in _SCORED.split(", ")[:8]], "ids").mapInArrow(_score(lambda: Gru(size, first, settings), params, v.stored), _SCORED), "lm-scores")
     # words that no task looks up are rare in the whole corpus, so none of them is a hot key
     rare = tokens.select("key", F.explode("rare").alias("x")).select("key", "x.word", F.col("x.n").alias("times")).join(counts.where("n > 0").select("word", "n"), "word")
     log = F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("rare_log")

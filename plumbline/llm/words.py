@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Words of which a worker remembers the hash; beyond it, hashes are computed anew.
@@ -31,6 +33,16 @@ def split(text: str | None, *, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
+def split_column(texts: pa.Array, *, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The words, as ``split`` has them, of all texts of a column of strings, one text after the other, and how many each text has."""
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    ends, words = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+    full = pc.binary_length(words).to_numpy() > 0  # a blank at either end leaves an empty word
+    counts = np.diff(np.concatenate([[0], np.cumsum(full)])[ends - ends[0]])
+    return (words if full.all() else words.filter(pa.array(full))).cast(pa.binary()), counts
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _A
     x = (x ^ (x >> np.uint64(27))) * _B

@@ -1,13 +1,17 @@
 import math
+import time
 import zlib
 from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.llm import recurrent
 from plumbline.llm.recurrent import END, Gru, Learner, Settings, classes_of, cut, lanes_of, log_likelihood, op12_recurrent_lm, score_group
+from plumbline.llm.words import split, split_column
 
 from .odd import empty, odd, odd_rows, rows_of
 
@@ -82,6 +86,86 @@ def test_gradient():
         assert g[k] == pytest.approx((both[0] - both[1]) / 2e-6, abs=2e-6)
 
 
+def test_large_weights():
+    """Exponents beyond what a float holds: rows of both softmaxes are lowered by their largest first."""
+    r = np.random.default_rng(4)
+    net, flat = network()
+    p, lengths = net.views(flat * 4000), np.asarray([5, 20, 1, 8])
+    assert flat.max() * 4000 > math.log(np.finfo(float).max) and np.isfinite(score_group(net, p, texts(r, lengths, net.n), lengths)).all()
+    logits = lambda x, w, b: (x @ w + b) - (x @ w + b).max()
+    h, want = np.full((1, net.s.hidden), 0.9), np.asarray([7])
+    c = net.class_of[7]
+    a, e = logits(h[0], p["wc"], p["bc"]), logits(h[0], p["wo"][net.first[c] : net.first[c + 1]].T, p["bo"][net.first[c] : net.first[c + 1]])
+    assert net.outputs(p, h, want)[0] == pytest.approx(a[c] - np.log(np.exp(a).sum()) + e[7 - net.first[c]] - np.log(np.exp(e).sum()))
+
+
+ODD = ["", " ", None, "a", " a ", "a  b\x1cc\u3000d", "\u0130STANBUL \u0391\u0392 ABC\x85abc\xa0x", "\t\n\x0b\x0c\r x\x00y\x1d \x1f", "  \x85", "x" * 5000, " " * 5000, "".join(map(chr, range(0x3000)))]
+
+
+def test_columns_are_split_as_texts():
+    for lower in (False, True):
+        for part in (pa.array(ODD), pa.array(ODD).slice(3, 6), pa.array(ODD, pa.large_string()), pa.array([None], pa.string()), pa.array([], pa.string())):
+            words, counts = split_column(part, lower=lower)
+            plain = [split(x, lower=lower) for x in part.to_pylist()]
+            assert words.to_pylist() == [w for x in plain for w in x] and counts.tolist() == [len(x) for x in plain]
+
+
+def text_passes(rows, words=65_536):
+    """What the tasks make of (id, held out, text): counts by word, and the rows of tokens."""
+    docs, held, column = pa.array([i for i, *_ in rows]), pa.array([h for _, h, _ in rows]), pa.array([t for *_, t in rows], pa.string())
+    counts = {}
+    for batch in recurrent._count(iter([pa.RecordBatch.from_arrays([column, held], names=["text", "held"])])):
+        for w, *n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[w] = [a + b for a, b in zip(counts.get(w, (0, 0)), n, strict=True)]
+    top = sorted((w for w in counts if w), key=lambda w: (-counts[w][1], w))[:words]
+    n = np.asarray([counts[w][0] for w in top], np.int64)
+    ids = np.append(np.where((np.arange(len(n)) < 4000) & (n > 0), 2 + np.arange(len(n)), recurrent.UNKNOWN), recurrent.UNKNOWN).astype(np.int32)
+    v = recurrent.Vocabulary(top, ids, np.append(np.log10(n + 1.0), 0), np.append(n > 0, False), np.asarray([0, 1]), np.ones(ids.max() + 1), 0, 0, counts[b""][0], 0, 0)
+    batch = pa.RecordBatch.from_arrays([docs, docs, held, pa.array([0] * len(rows), pa.int32()), column], names=list("abcde"))
+    return counts, v, lambda: [r for b in recurrent._tokens(v)(iter([batch])) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("split_at,counted", [(1 << 20, 400_000), (1, 3), (600, 40)])
+def test_text_passes(monkeypatch, split_at, counted):
+    """Texts in parts of any size, sums that are sent on or kept: as word by word."""
+    monkeypatch.setattr(recurrent, "SPLIT", split_at)
+    monkeypatch.setattr(recurrent, "COUNTED", counted)
+    rows = [(k, k % 3 == 1, t) for k, t in enumerate([*ODD, *(f"w{k % 7} W{k} end w{k % 7}" for k in range(90)), *ODD])]
+    counts, v, tokens = text_passes(rows, 20)
+    tokens_of = {k: split(t, lower=True) for k, _, t in rows}
+    each = [Counter(w for k, held, _ in rows if not held or all_ for w in [*tokens_of[k], b""]) for all_ in (False, True)]
+    assert counts == {w: [each[0][w], n] for w, n in each[1].items()}
+    code = {w: k for k, w in enumerate(v.words)}
+    for (k, held, _), r in zip(rows, tokens(), strict=True):
+        codes = [code.get(w, -1) for w in tokens_of[k]]
+        rare = Counter(w for w, c in zip(tokens_of[k], codes, strict=True) if c < 0)
+        assert (r["key"], r["doc_id"], r["held_out"], r["slice"], r["n_tokens"]) == (k, k, held, -1 if held else 0, len(codes) + 1)
+        assert np.frombuffer(r["ids"], v.stored).tolist() == [*(int(v.ids[c]) for c in codes), END] and {x["word"]: x["n"] for x in r["rare"]} == rare
+        assert r["n_known"] == 1 + sum(bool(v.known[c]) for c in codes) and r["rest"] == sum(v.ids[c] == recurrent.UNKNOWN for c in codes)
+        assert r["known_log"] == pytest.approx(math.log10(v.end + 1) + sum(v.logs[c] for c in codes)) and r["rest_log"] == pytest.approx(sum(v.logs[c] for c in codes if v.ids[c] == recurrent.UNKNOWN))
+
+
+def test_text_passes_are_cheap(spark):
+    """Counting a task's words takes less time than a plain loop over them."""
+    texts_of = [t for _, t, *_ in rows_of(spark, "/root/testdata/sf0.01")] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(texts_of, pa.string()), pa.array([False] * len(texts_of))], names=["text", "held"])
+
+    def plain():
+        c = Counter()
+        for t in texts_of:
+            c.update(split(t, lower=True))
+
+    def seconds(run):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: list(recurrent._count(iter([batch])))) < seconds(plain)
+
+
 def test_learns_an_order():
     """Words that alternate are foretold after learning; documents longer than a run are learned from whole."""
     s = replace(TINY, rate=0.1)
