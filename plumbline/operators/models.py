@@ -177,8 +177,11 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder that ``spark.checkpoint.dir`` names, so what follows neither plans nor computes it again; as it is where none is named."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    """``df`` written to the shared folder that ``spark.checkpoint.dir`` names, so what follows neither plans nor computes it again.
+
+    Where none is named, the executors hold it until the session ends or clears its cache.
+    """
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def small(df: DataFrame) -> DataFrame:

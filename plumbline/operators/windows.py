@@ -13,11 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import settled
 from .quantiles import percentiles, wide
 from .simulate import hashed
 
 STATIC, DYNAMIC, NOT_DYNAMIC = "static", "dynamic", "not_dynamic"
 MOST_STEPS = 50
+#: A share of a value under which sums of the same numbers in another order differ.
+LAST_BITS = 2.0**-46
 
 
 def _years(width: float) -> dict[str, Column]:
@@ -65,14 +68,24 @@ def windows(df: DataFrame, *, width: float = 5, by: Sequence[str] = ("bundle",),
     return df.withColumns(_years(width)).join(window_years(df, width=width, by=by, **how), [*by, "_up", "_dn"]).drop("_up", "_dn")
 
 
+def _beside(c: str, share: float) -> Column:
+    """A value moved up by a share of its size, or down if the share is negative."""
+    return F.col(c) * F.when(F.col(c) < 0, 1 - share).otherwise(1 + share)
+
+
 def trimmed(df: DataFrame, *, width: float = 5, least: int = 10, low: float = 0.05, high: float = 0.95, most: int | None = None, by: Sequence[str] = ("bundle",)) -> DataFrame:
-    """Dynamic windows; of those that needed no widening, the rows strictly between two percentiles, at most ``most`` by hash of the subject."""
-    key = [*by, "centre"]
+    """Dynamic windows; of those that needed no widening, the rows strictly between two percentiles, at most ``most`` by hash of the subject.
+
+    The rows are settled first: a percentile often is a row's own value, and sums computed
+    anew, in another order, may differ from it in their last bits.  So may sums of equal
+    rows: values that the last bits alone tell from a percentile count as equal to it.
+    """
+    df, key = settled(df), [*by, "centre"]
     years = window_years(df, width=width, least=least, by=by)
     cut = wide(window_percentiles(df, (low, high), width=width, least=least, by=by), key, {"_low": low, "_high": high})
     size = cells(df, width=width, by=by).join(years, [*by, "_up", "_dn"]).groupBy(*key).agg(F.sum("n").alias("_n"))
     w = df.withColumns(_years(width)).join(years, [*by, "_up", "_dn"]).drop("_up", "_dn")
-    out = w.join(cut.join(size, key), key).where((F.col("_n") <= least) | (F.col("widened") > 0) | ((F.col("mean") > F.col("_low")) & (F.col("mean") < F.col("_high"))))
+    out = w.join(cut.join(size, key), key).where((F.col("_n") <= least) | (F.col("widened") > 0) | ((F.col("mean") > _beside("_low", LAST_BITS)) & (F.col("mean") < _beside("_high", -LAST_BITS))))
     if most is not None:
         first = Window.partitionBy(*key).orderBy(F.coalesce(hashed(F.col("sid")), F.xxhash64("sid")), "sid")
         out = out.withColumn("_r", F.row_number().over(first)).where((F.col("_r") <= most) | (F.col("widened") > 0)).drop("_r")

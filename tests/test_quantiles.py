@@ -1,6 +1,7 @@
 """Percentiles, windows and folds against plain computations over all rows."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -103,3 +104,15 @@ def test_left_out_subjects_equal_refits(spark):
                 beta = np.linalg.solve(a, x.T @ y + pull @ prior)
                 errors.append((mine[2] - np.asarray([1.0, 0.5, 0.5, mine[3]]) @ beta) ** 2)
             assert got[ridge] == pytest.approx(np.mean(errors), rel=1e-6)
+
+
+@pytest.mark.parametrize("alike, inside", [(1, range(2, 19)), (3, range(3, 18))])
+@pytest.mark.parametrize("level", [100.0, -1000.0])
+def test_trimmed_rows_are_those_that_the_percentiles_are_of(spark, alike, inside, level):
+    """Values that differ in their last bit each time they are computed, as sums do; both percentiles are a row's own value, or that of rows alike."""
+    rows = [(k, f"b{b}", 30.0 + k % 3, level + 7.0 * (k // alike) + b) for b in range(20) for k in range(21)]
+    last_bit = F.udf(lambda x: math.nextafter(x, random.choice((-1e9, x, 1e9))), "double").asNondeterministic()
+    df = spark.createDataFrame(rows, "sid int, bundle string, age double, mean double").withColumn("mean", last_bit("mean"))
+    got = windows.trimmed(df, width=4, least=12).groupBy("bundle", "centre").agg(F.sort_array(F.collect_list("sid")).alias("sids")).collect()
+    assert {(r["bundle"], r["centre"]) for r in got} == {(f"b{b}", c) for b in range(20) for c in (30, 31)}
+    assert all(r["sids"] == list(inside) for r in got)
