@@ -18,6 +18,7 @@ def fit_apply_check(ref: DataFrame, mov: DataFrame, *, method: str = "clinical",
 
     ``model``, ``harmonized`` (the result columns), ``model_view``, ``curve_view``,
     ``raw_distances`` and ``harmonized_distances``.  All diseases are harmonized; controls are compared.
+    Both tables are read many times: ``settled`` ones are not computed anew each time.
     """
     ref, mov = filters.ignore_bundles(ref, ignore), filters.ignore_bundles(mov, ignore)
     model = fit_model(method, ref, mov, options)

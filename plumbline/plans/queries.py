@@ -547,8 +547,9 @@ def model_round_trip(obs, ref, mov):
 
 @query
 def fit_apply_check(obs, ref, mov):
-    """The whole run on all rows of the moving site: distances before and after."""
-    out = jobs.fit_apply_check(ref, obs.where(F.col("site") == MOVING), method="clinical", options=CLINICAL)
+    """The whole run on all rows of the moving site: distances before and after.  Both sites' rows are drawn from the tables once."""
+    rows = settled(obs.where(F.col("site").isin(REFERENCE, MOVING)))
+    out = jobs.fit_apply_check(reference(rows), rows.where(F.col("site") == MOVING), method="clinical", options=CLINICAL)
     both = out["raw_distances"].withColumn("stage", F.lit("raw")).unionByName(out["harmonized_distances"].withColumn("stage", F.lit("harmonized")))
     return rounded(both, 6)
 

@@ -5,9 +5,12 @@ import math
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from plumbline.plans import queries
 from plumbline.plans.oracle import oracle_sql
 from plumbline.plans.queries import QUERIES
-from plumbline.sources.cohort import TABLES
+from plumbline.sources.cohort import TABLES, cohort
 
 
 @pytest.fixture(scope="session")
@@ -35,3 +38,16 @@ def test_matches_sql(spark, sf, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(oracle_sql())
+
+
+def test_whole_run_draws_its_rows_once(spark, sf, monkeypatch):
+    """Each time the rows are drawn, the order tables are shuffled, and the files stay on disk."""
+    drawn = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        drawn.add(1)
+        return x
+
+    monkeypatch.setattr(queries, "cohort", lambda *of: cohort(*of).withColumn("mean", F.udf(seen, "double")("mean")))
+    assert QUERIES["fit_apply_check"](spark, sf).count() == 12
+    assert 0 < drawn.value <= cohort(spark, sf).count()
